@@ -1,0 +1,41 @@
+"""Headers of the raw files seen so far, so that discovery opens only new files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from weirline.sources.files import list_files
+from weirline.sources.layouts import HEADER_SCHEMA, file_headers
+
+
+class HeaderLedger:
+    """A Parquet table with one row per raw file version and its header line.
+
+    A file is known by path and modification time, so a rewritten file is looked
+    at again. Losing the ledger costs a full discovery and nothing else.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, location: str, pattern: str = "*.csv") -> None:
+        self._spark = spark
+        self._path = path
+        self._location = location
+        self._pattern = pattern
+
+    def _listed(self) -> DataFrame:
+        return list_files(self._spark, self._location, self._pattern)
+
+    def _known(self) -> DataFrame:
+        return self._spark.read.schema(HEADER_SCHEMA).parquet(self._path)
+
+    def refresh(self) -> None:
+        """Add the files that have arrived since the last time."""
+        version = ["path", "modificationTime"]
+        self._spark.createDataFrame([], HEADER_SCHEMA).write.mode("ignore").parquet(self._path)
+        new = self._listed().join(self._known().select(*version), version, "left_anti")
+        found = file_headers(self._spark, self._location, self._pattern, files=new)
+        found.hint("rebalance").write.mode("append").option("compression", "snappy").parquet(self._path)
+
+    def current(self) -> DataFrame:
+        """Headers of the file versions that are there now."""
+        version = ["path", "modificationTime"]
+        return self._known().join(self._listed().select(*version), version, "left_semi").dropDuplicates(version)
