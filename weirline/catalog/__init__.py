@@ -1,3 +1,4 @@
+from weirline.catalog.discovery import Discovery, HeaderLedger, discover
 from weirline.catalog.tables import (
     add_new_columns,
     create_database,
@@ -11,9 +12,12 @@ from weirline.catalog.tables import (
 )
 
 __all__ = [
+    "Discovery",
+    "HeaderLedger",
     "add_new_columns",
     "create_database",
     "deleted_partitions",
+    "discover",
     "fit_to_table",
     "quoted",
     "register_partitions",

@@ -35,8 +35,8 @@ def register_raw_table(
     """External table of text columns over CSV files that have a header line.
 
     Partition columns are text as well, so that ``month=04`` stays ``04``. CSV
-    columns bind by position; ``update_raw_table`` refuses files for which that
-    would put a value under the wrong name.
+    columns bind by position, so reading tasks compare each header line with the
+    table and fail where they differ.
     """
     fields = ", ".join(f"{quoted_column(c)} STRING" for c in (*columns, *partition_columns))
     partitioned = (
@@ -44,7 +44,7 @@ def register_raw_table(
     )
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {quoted(table)} ({fields}) USING csv "
-        f"OPTIONS (header 'true') {partitioned} LOCATION {_text(location)}"
+        f"OPTIONS (header 'true', enforceSchema 'false') {partitioned} LOCATION {_text(location)}"
     )
 
 
@@ -89,7 +89,8 @@ def update_raw_table(spark: SparkSession, table: str, layouts: Sequence[Sequence
     registered; a file without a newer column reads it as null. Files whose
     columns are not the first columns of the table, in table order, are refused
     here, since the table would bind their values to the wrong names; read those
-    with ``weirline.sources.read_layouts``.
+    with ``weirline.sources.read_layouts``. Once headers differ in length, reading
+    tasks no longer compare them, and this check is the only one.
     """
     registered = spark.table(table).schema
     partitions = {c.name for c in spark.catalog.listColumns(table) if c.isPartition}
@@ -101,6 +102,8 @@ def update_raw_table(spark: SparkSession, table: str, layouts: Sequence[Sequence
             raise ValueError(f"files with header {list(layout)} do not fit table columns {merged}")
     added = StructType([StructField(c, registered[columns[0]].dataType) for c in merged[len(columns) :]])
     new = add_new_columns(spark, table, added)
+    if any(len(layout) != len(merged) for layout in layouts):
+        spark.sql(f"ALTER TABLE {quoted(table)} SET SERDEPROPERTIES ('enforceSchema' = 'true')")
     if partitions:
         register_partitions(spark, table)
     return new

@@ -81,7 +81,12 @@ class LakeNames:
 
 @dataclass(frozen=True)
 class JobConfig:
-    """Arguments of one curate job. The first six have no default."""
+    """Arguments of one curate job. The first six have no default.
+
+    A bookmarked job takes each raw file once and keeps its progress under
+    ``state_path``; any other job curates the whole table on every run.
+    ``max_files`` or ``max_bytes`` cut a large backlog into several commits.
+    """
 
     job_name: str
     source_database: str
@@ -94,6 +99,10 @@ class JobConfig:
     cleaned_path: str | None = None
     partition_keys: tuple[str, ...] = CURATED_PARTITIONS
     cleaned_partition_keys: tuple[str, ...] = RAW_PARTITIONS
+    rebalance: bool = True
+    raw_pattern: str = "*.csv"
+    max_files: int | None = None
+    max_bytes: int | None = None
     rules: CurateRules = CurateRules()
 
     def __post_init__(self) -> None:
@@ -147,6 +156,7 @@ class JobConfig:
             parser.add_argument(f"--{name}", required=True)
         parser.add_argument("--STATE_PATH")
         parser.add_argument("--CLEANED_PATH")
+        parser.add_argument("--MAX_BYTES", type=int)
         parser.add_argument("--PARTITION_KEYS", default=",".join(RAW_PARTITIONS))
         parser.add_argument(
             "--job-bookmark-option",
@@ -165,5 +175,6 @@ class JobConfig:
             bookmark=args.bookmark == "job-bookmark-enable",
             state_path=args.STATE_PATH,
             cleaned_path=args.CLEANED_PATH,
+            max_bytes=args.MAX_BYTES,
             cleaned_partition_keys=tuple(k.strip() for k in args.PARTITION_KEYS.split(",") if k.strip()),
         )

@@ -1,4 +1,4 @@
-from weirline.operators.cleaning import append_column, drop_missing, filter_rows, replace_column
+from weirline.operators.cleaning import append_column, drop_missing, filter_rows, keys_present, replace_column
 from weirline.operators.counts import first_rows, grouped_count, observe_rows, row_counts
 from weirline.operators.mapping import FieldMapping, apply_mapping, select_all
 from weirline.operators.resolve import make_columns, observed_types, resolve_choice
@@ -11,6 +11,7 @@ __all__ = [
     "filter_rows",
     "first_rows",
     "grouped_count",
+    "keys_present",
     "make_columns",
     "observe_rows",
     "observed_types",

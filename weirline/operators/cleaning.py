@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
+
+from weirline.functions import field
 
 
 def replace_column(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -22,9 +25,22 @@ def append_column(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, value)
 
 
+def keys_present(df: DataFrame, keys: Sequence[str]) -> Column:
+    """True where no key is missing. Without keys it is true everywhere."""
+    present = F.lit(True)
+    for key in keys:
+        present = present & field(key).isNotNull()
+        if isinstance(df.schema[key].dataType, (DoubleType, FloatType)):
+            present = present & ~F.isnan(field(key))
+    return present
+
+
 def drop_missing(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Drop rows in which any key is null (or NaN, for a floating-point key)."""
-    return df.dropna(how="any", subset=list(keys))
+    """Drop rows in which any key is null (or NaN, for a floating-point key).
+
+    Same rows as ``dropna``, but as plain null checks, which reach a file scan.
+    """
+    return df.where(keys_present(df, keys))
 
 
 def filter_rows(df: DataFrame, expression: str) -> DataFrame:

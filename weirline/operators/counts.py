@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -27,19 +25,12 @@ def row_counts(df: DataFrame, kept: Column) -> DataFrame:
     )
 
 
-def keys_present(keys: Sequence[Column]) -> Column:
-    present = F.lit(True)
-    for key in keys:
-        present = present & key.isNotNull()
-    return present
-
-
 def observe_rows(df: DataFrame, observation: Observation | str) -> DataFrame:
     """Count the rows flowing past this point of the plan, without another job.
 
     The number arrives with the action that runs the plan. It is exact where no
     shuffle follows. Upstream of a shuffle, a map stage that Spark reruns after
-    losing an executor adds its rows again; use ``row_counts`` where an exact
-    figure matters more than a second pass.
+    losing an executor adds its rows again; write with ``rebalance=False``, or
+    use ``row_counts``, where the figure must be exact even then.
     """
     return df.observe(observation, F.count(F.lit(1)).alias("rows"))

@@ -90,7 +90,10 @@ class TagPolicy:
 
 
 class AccessRules:
-    """All policies in force. What no policy allows is denied."""
+    """All policies in force. What no policy allows is denied.
+
+    Tables of the catalog go by ``database.table``, in any case.
+    """
 
     def __init__(
         self,
@@ -100,9 +103,10 @@ class AccessRules:
     ) -> None:
         self._policies: dict[tuple[str, str], Policy] = {}
         for p in policies:
-            if (p.principal, p.table) in self._policies:
+            key = p.principal, p.table.lower()
+            if key in self._policies:
                 raise ValueError(f"two policies for {p.principal} on {p.table}")
-            self._policies[p.principal, p.table] = p
+            self._policies[key] = p
         self._tag_policies: dict[str, TagPolicy] = {}
         for t in tag_policies:
             if t.principal in self._tag_policies:
@@ -110,9 +114,10 @@ class AccessRules:
             self._tag_policies[t.principal] = t
         self._tags: dict[tuple[str, str], str] = {}
         for tag in tags:
-            if (tag.table, tag.column) in self._tags:
+            key = tag.table.lower(), tag.column
+            if key in self._tags:
                 raise ValueError(f"two tags on {tag.table}.{tag.column}")
-            self._tags[tag.table, tag.column] = tag.value
+            self._tags[key] = tag.value
 
     @classmethod
     def from_tables(
@@ -143,6 +148,7 @@ class AccessRules:
 
     def policy(self, principal: str, table: str, table_columns: Sequence[str], permission: str = SELECT) -> Policy:
         """The rule that applies: the table's own, else every-table, else tags."""
+        table = table.lower()
         found = self._policies.get((principal, table)) or self._policies.get((principal, EVERY_TABLE))
         if found is None:
             found = self._by_tags(principal, table, table_columns)
@@ -168,9 +174,20 @@ def restrict(df: DataFrame, policy: Policy) -> DataFrame:
     return df.select(*[field(c) for c in visible])
 
 
-def _bounded(spark: SparkSession, df: DataFrame, policy: Policy) -> str:
+def _visible_part(
+    spark: SparkSession, rules: AccessRules, principal: str, table: str, source: DataFrame | None, permission: str
+) -> DataFrame:
+    if source is None:
+        # One table has many spellings; rules are looked up by its full name.
+        found = spark.catalog.getTable(table)
+        source = spark.table(table)
+        table = f"{found.database}.{found.name}" if found.database else found.name
+    return restrict(source, rules.policy(principal, table, source.columns, permission))
+
+
+def _behind_view(df: DataFrame) -> str:
     view = f"governed_{uuid.uuid4().hex}"
-    restrict(df, policy).createOrReplaceTempView(view)
+    df.createOrReplaceTempView(view)
     return view
 
 
@@ -179,11 +196,10 @@ def govern(
 ) -> DataFrame:
     """The part of ``table`` that ``principal`` may read.
 
-    ``source`` is the frame that holds the table where it is not in the catalog.
+    ``source`` is the frame that holds the table where it is not in the catalog;
+    the rules then know it by the name given.
     """
-    df = spark.table(table) if source is None else source
-    policy = rules.policy(principal, table, df.columns)
-    return spark.table(_bounded(spark, df, policy))
+    return spark.table(_behind_view(_visible_part(spark, rules, principal, table, source, SELECT)))
 
 
 def govern_as_view(
@@ -195,15 +211,12 @@ def govern_as_view(
     source: DataFrame | None = None,
 ) -> None:
     """Register what ``principal`` may read as a temporary view, for SQL."""
-    df = spark.table(table) if source is None else source
-    restrict(df, rules.policy(principal, table, df.columns)).createOrReplaceTempView(view)
+    _visible_part(spark, rules, principal, table, source, SELECT).createOrReplaceTempView(view)
 
 
 def describe_governed(
     spark: SparkSession, rules: AccessRules, principal: str, table: str, source: DataFrame | None = None
 ) -> DataFrame:
     """``column_name`` and ``data_type`` of the columns the principal may see."""
-    df = spark.table(table) if source is None else source
-    policy = rules.policy(principal, table, df.columns, DESCRIBE)
-    described = spark.sql(f"DESCRIBE TABLE {_bounded(spark, df, policy)}")
-    return described.select(F.col("col_name").alias("column_name"), "data_type")
+    view = _behind_view(_visible_part(spark, rules, principal, table, source, DESCRIBE))
+    return spark.sql(f"DESCRIBE TABLE {view}").select(F.col("col_name").alias("column_name"), "data_type")

@@ -1,14 +1,12 @@
 from weirline.plans.analyst import answer
-from weirline.plans.arrival import Discovery, RunReport, discover, run_arrivals
+from weirline.plans.arrival import RunReport, run_arrivals
 from weirline.plans.curate import curate, curate_counted, run_batch
 
 __all__ = [
-    "Discovery",
     "RunReport",
     "answer",
     "curate",
     "curate_counted",
-    "discover",
     "run_arrivals",
     "run_batch",
 ]

@@ -6,21 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirline.catalog import deleted_partitions, update_raw_table
-from weirline.catalog.ledger import HeaderLedger
+from weirline.catalog import deleted_partitions, discover, quoted, update_raw_table
 from weirline.config import JobConfig
 from weirline.plans.curate import curate_counted
-from weirline.sources.layouts import Layout, find_layouts
 from weirline.streaming.gate import require_layouts
 from weirline.streaming.ingest import RunCounts, ingest_into, raw_stream
 
 
-@dataclass(frozen=True)
-class Discovery:
-    headers: DataFrame
-    layouts: list[Layout]
-
-
 @dataclass(frozen=True)
 class RunReport:
     """What one arrival-driven run did. ``deleted`` is a lazy report."""
@@ -31,28 +23,14 @@ class RunReport:
     deleted: DataFrame | None
 
 
-def discover(spark: SparkSession, location: str, state_path: str, pattern: str = "*.csv") -> Discovery:
-    """Header lines below ``location``; only files not seen before are opened."""
-    ledger = HeaderLedger(spark, f"{state_path}/headers", location, pattern)
-    ledger.refresh()
-    headers = ledger.current()
-    return Discovery(headers, find_layouts(headers))
-
-
 def _raw_table(spark: SparkSession, table: str) -> tuple[str, list[str], list[str]]:
-    described = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first()
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(table)}").where("col_name = 'Location'").first()
     listed = spark.catalog.listColumns(table)
     partitions = [c.name for c in listed if c.isPartition]
     return described.data_type, [c.name for c in listed if not c.isPartition], partitions
 
 
-def run_arrivals(
-    spark: SparkSession,
-    config: JobConfig,
-    allow_added: bool = False,
-    max_files: int | None = None,
-    max_bytes: int | None = None,
-) -> RunReport:
+def run_arrivals(spark: SparkSession, config: JobConfig, allow_added: bool = False) -> RunReport:
     """One run: discover, stop if a file does not belong, else curate the new files.
 
     Run it on any schedule; without new files it adds nothing. With
@@ -60,17 +38,24 @@ def run_arrivals(
     reading tasks cannot compare headers then, so the check is repeated at the
     end and fails the run if a file that does not belong came in meanwhile.
     """
-    if not config.state_path:
-        raise ValueError("an incremental run needs state_path")
+    if not config.bookmark:
+        raise ValueError("a job without bookmark is run by run_batch")
     location, columns, partitions = _raw_table(spark, config.source)
-    found = discover(spark, location, config.state_path)
+    found = discover(spark, location, config.state_path, config.raw_pattern)
     reading = require_layouts(found.layouts, columns, allow_added)
     new_columns = update_raw_table(spark, config.source, [x.columns for x in found.layouts])
     one_layout = all(list(x.columns) == reading for x in found.layouts)
 
     def stream() -> DataFrame:
         return raw_stream(
-            spark, location, reading, partitions, one_layout, max_files=max_files, max_bytes=max_bytes
+            spark,
+            location,
+            reading,
+            partitions,
+            one_layout,
+            config.raw_pattern,
+            config.max_files,
+            config.max_bytes,
         )
 
     counts = ingest_into(
@@ -79,6 +64,7 @@ def run_arrivals(
         config.target_path,
         config.partition_keys,
         config.target,
+        config.rebalance,
     )
     cleaned = None
     if config.cleaned_path:
@@ -87,8 +73,9 @@ def run_arrivals(
             f"{config.state_path}/cleaned",
             config.cleaned_path,
             config.cleaned_partition_keys,
+            rebalance=config.rebalance,
         )
     if not one_layout:
-        require_layouts(discover(spark, location, config.state_path).layouts, columns, allow_added)
-    deleted = deleted_partitions(spark, config.source, location, "*.csv") if partitions else None
+        require_layouts(discover(spark, location, config.state_path, config.raw_pattern).layouts, columns, allow_added)
+    deleted = deleted_partitions(spark, config.source, location, config.raw_pattern) if partitions else None
     return RunReport(counts, cleaned, new_columns, deleted)

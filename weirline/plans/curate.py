@@ -53,11 +53,13 @@ def run_batch(spark: SparkSession, config: JobConfig) -> RunCounts:
     One write, in which both counts are taken. A cleaned zone, when asked for,
     is a second write with its own pass over the source.
     """
+    if config.bookmark:
+        raise ValueError("a bookmarked job is run by run_arrivals; its target must not get other writes")
     source = scan_table(spark, config.source)
     raw_rows, clean_rows = Observation(), Observation()
     curated = curate_counted(source, config.rules, (), raw_rows, clean_rows)
-    append_to_table(curated, config.target, config.target_path, config.partition_keys)
+    append_to_table(curated, config.target, config.target_path, config.partition_keys, config.rebalance)
     if config.cleaned_path:
         cleaned = curate(source, config.rules, config.cleaned_partition_keys)
-        append_parquet(cleaned, config.cleaned_path, config.cleaned_partition_keys)
+        append_parquet(cleaned, config.cleaned_path, config.cleaned_partition_keys, config.rebalance)
     return RunCounts(raw_rows.get["rows"], clean_rows.get["rows"], 1)

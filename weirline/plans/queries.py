@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from weirline.catalog import (
     create_database,
     deleted_partitions,
+    discover,
     register_partitions,
     register_raw_table,
     schema_rows,
     update_raw_table,
 )
-from weirline.config import CUSTOMER_KEYS, CurateRules, JobConfig, LakeNames
+from weirline.config import CurateRules, JobConfig, LakeNames
 from weirline.functions import field, parse_date
 from weirline.operators import (
     append_column,
@@ -28,13 +29,13 @@ from weirline.operators import (
     drop_missing,
     first_rows,
     grouped_count,
+    keys_present,
     make_columns,
     replace_column,
     resolve_choice,
     row_counts,
     select_all,
 )
-from weirline.operators.counts import keys_present
 from weirline.operators.governance import (
     EVERY_TABLE,
     AccessRules,
@@ -50,8 +51,6 @@ from weirline.plans.curate import curate, curate_counted, run_batch
 from weirline.scratch import new_workspace
 from weirline.sinks import ResultStore, append_parquet, append_to_table, spread_for_partitions
 from weirline.sources import (
-    file_headers,
-    find_layouts,
     group_compatible,
     infer_columns,
     read_layouts,
@@ -293,7 +292,7 @@ def raw_clean_counts_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both counts from one aggregate over the raw text, exact under task reruns."""
     raw = _raw_customers(spark, sf_dir, new_workspace(spark, "raw-clean-one-pass"))
     typed = apply_mapping(raw, RULES.mapping)
-    return row_counts(typed, keys_present([field(k) for k in CUSTOMER_KEYS]))
+    return row_counts(typed, keys_present(typed, RULES.keys))
 
 
 # Mixed types.
@@ -497,10 +496,11 @@ def governed_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def infer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    location = new_workspace(spark, "infer-schema") + "/raw/orders"
+    workspace = new_workspace(spark, "infer-schema")
+    location = f"{workspace}/raw/orders"
     _drop_csv(_orders_by_month(spark, sf_dir), location, YEAR_MONTH)
-    headers = file_headers(spark, location)
-    schema = infer_columns(spark, location, headers, find_layouts(headers))
+    found = discover(spark, location, f"{workspace}/state")
+    schema = infer_columns(spark, location, found.headers, found.layouts)
     return schema_rows(spark, schema, YEAR_MONTH)
 
 
@@ -556,23 +556,23 @@ def inherit_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = f"{_database(spark, workspace)}.supplier"
     register_raw_table(spark, table, location, older.columns, YEAR_MONTH)
     _drop_csv(newer.select("*", F.lit("2026").alias("year"), F.lit("01").alias("month")), location, YEAR_MONTH)
-    update_raw_table(spark, table, [x.columns for x in find_layouts(file_headers(spark, location))])
+    found = discover(spark, location, f"{workspace}/state")
+    update_raw_table(spark, table, [x.columns for x in found.layouts])
     return apply_mapping(scan_table(spark, table), _SUPPLIER_MAPPING)
 
 
 @query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def combine_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reordered headers beside files of another kind: only the former combine."""
-    location = new_workspace(spark, "combine-compatible") + "/raw"
-    older, newer = (p.columns for p in _supplier_parts(spark, sf_dir))
+    workspace = new_workspace(spark, "combine-compatible")
+    location = f"{workspace}/raw"
     supplier = _table(spark, sf_dir, "supplier")
     _drop_csv(supplier.where("s_nationkey < 13"), location)
-    _drop_csv(supplier.where("s_nationkey >= 13").select(*reversed(newer)), location)
+    _drop_csv(supplier.where("s_nationkey >= 13").select(*reversed(supplier.columns)), location)
     _drop_csv(_table(spark, sf_dir, "part"), location)
-    headers = file_headers(spark, location)
-    groups = group_compatible(find_layouts(headers))
-    wanted = next(g for g in groups if set(older) <= set(g[0].columns))
-    return apply_mapping(read_layouts(spark, location, headers, wanted), _SUPPLIER_MAPPING)
+    found = discover(spark, location, f"{workspace}/state")
+    wanted = next(g for g in group_compatible(found.layouts) if "s_suppkey" in g[0].columns)
+    return apply_mapping(read_layouts(spark, location, found.headers, wanted), _SUPPLIER_MAPPING)
 
 
 def _registered_orders(spark: SparkSession, sf_dir: str, workspace: str) -> tuple[str, str, DataFrame]:

@@ -11,6 +11,7 @@ from weirline.catalog import add_new_columns, fit_to_table
 from weirline.functions import field
 
 _COMPRESSION = "snappy"
+_SALT = "__weirline_salt"
 
 
 def _adaptive(df: DataFrame) -> bool:
@@ -25,30 +26,37 @@ def spread_for_partitions(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Bring rows of one partition value together, without making one task hold them.
 
     Adaptive execution splits a large value over many tasks and merges small ones
-    into one, by measured size. Where it is off, a value is spread over a third
-    of the shuffle partitions by a hash of its rows: a value that holds a third
-    of all rows then gives each task its even share. The hash depends on the row
-    alone, so a rerun after a lost executor sends each row to the same place.
+    into one, by measured size. Where it is off, each value is spread over a
+    third of the shuffle partitions, by the reading task a row comes from: a value
+    that holds a third of all rows then gives each task its even share, and so
+    does one row that occurs over and over. A rerun after a lost executor sends
+    each row to the same place again.
     """
     if not keys:
         return df
     columns = [field(k) for k in keys]
     if _adaptive(df):
         return df.hint("rebalance", *columns)
-    rest = [field(c) for c in df.columns if c not in keys]
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64(*rest), F.lit(max(1, -(-partitions // 3)))) if rest else F.lit(0)
-    return df.repartition(partitions, *columns, salt)
+    salt = F.pmod(F.spark_partition_id(), F.lit(-(-partitions // 3)))
+    return df.withColumn(_SALT, salt).repartition(partitions, *columns, field(_SALT)).drop(_SALT)
 
 
-def append_parquet(df: DataFrame, location: str, keys: Sequence[str] = ()) -> None:
-    writer = spread_for_partitions(df, keys).write.mode("append").option("compression", _COMPRESSION)
+def append_parquet(df: DataFrame, location: str, keys: Sequence[str] = (), rebalance: bool = True) -> None:
+    """Append files. Without ``rebalance`` nothing is shuffled: each task writes
+    one file per partition value it meets, which suits few values and large tasks.
+    """
+    if rebalance:
+        df = spread_for_partitions(df, keys)
+    writer = df.write.mode("append").option("compression", _COMPRESSION)
     if keys:
         writer = writer.partitionBy(*keys)
     writer.parquet(location)
 
 
-def append_to_table(df: DataFrame, table: str, location: str | None = None, keys: Sequence[str] = ()) -> None:
+def append_to_table(
+    df: DataFrame, table: str, location: str | None = None, keys: Sequence[str] = (), rebalance: bool = True
+) -> None:
     """Append and update the catalog: create the table, or add what it lacks.
 
     Columns the table does not have are added; columns the frame does not have
@@ -59,12 +67,9 @@ def append_to_table(df: DataFrame, table: str, location: str | None = None, keys
     if spark.catalog.tableExists(table):
         add_new_columns(spark, table, df.schema)
         df = fit_to_table(df, spark.table(table).schema)
-    writer = (
-        spread_for_partitions(df, keys)
-        .write.format("parquet")
-        .mode("append")
-        .option("compression", _COMPRESSION)
-    )
+    if rebalance:
+        df = spread_for_partitions(df, keys)
+    writer = df.write.format("parquet").mode("append").option("compression", _COMPRESSION)
     if keys:
         writer = writer.partitionBy(*keys)
     if location is not None:

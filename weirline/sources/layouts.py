@@ -7,12 +7,12 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirline.sources.files import list_files, partition_columns
+from weirline.sources.files import partition_columns
 from weirline.sources.scans import scan_raw_csv, text_schema
 
 HEADER_SCHEMA = "path string, modificationTime timestamp, length bigint, header string"
@@ -21,6 +21,9 @@ HEADER_SCHEMA = "path string, modificationTime timestamp, length bigint, header
 # It bounds what the driver holds, and passing it is an error, not a cut.
 MAX_LAYOUTS = 10_000
 
+_FILES_PER_TASK = 64
+_MAX_TASKS = 10_000
+
 _OPENED_BY_ARROW = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
 
 
@@ -70,16 +73,17 @@ def _first_line(path: str) -> str:
     return line.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
 
 
-def _with_first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _with_first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield batch.assign(header=[_first_line(p) for p in batch["path"]])
+        headers = pa.array([_first_line(p) for p in batch.column("path").to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns, headers], names=[*batch.schema.names, "header"])
 
 
-def _headers_by_opening(files: DataFrame) -> DataFrame:
-    # A listing comes in few partitions, and opening files is what takes time.
-    slots = files.sparkSession.sparkContext.defaultParallelism
-    spread = files.repartition(4 * slots, "path")
-    return spread.mapInPandas(_with_first_lines, HEADER_SCHEMA)
+def _headers_by_opening(files: DataFrame, count: int) -> DataFrame:
+    # A listing is small in bytes, so Spark would keep it in few tasks; opening
+    # the files is what takes time, and tasks are sized by that.
+    tasks = min(-(-count // _FILES_PER_TASK), _MAX_TASKS)
+    return files.repartition(tasks, "path").mapInArrow(_with_first_lines, HEADER_SCHEMA)
 
 
 def _headers_by_scanning(spark: SparkSession, files: DataFrame, location: str, pattern: str) -> DataFrame:
@@ -105,21 +109,17 @@ def _headers_by_scanning(spark: SparkSession, files: DataFrame, location: str, p
 
 
 def file_headers(
-    spark: SparkSession, location: str, pattern: str = "*.csv", files: DataFrame | None = None, scan: bool | None = None
+    spark: SparkSession, location: str, files: DataFrame, count: int, pattern: str = "*.csv", scan: bool | None = None
 ) -> DataFrame:
-    """The first line of each file: ``path, modificationTime, length, header``.
+    """The first line of each of the ``count`` listed files: the listing and ``header``.
 
-    ``files`` narrows the work to part of a listing. Tasks open the files and
-    read one block of each. On storage that only the JVM can reach (or with
-    ``scan=True``) all lines are read instead and the first of each file kept.
-    Files without content are left out.
+    Tasks open the files and read one block of each. On storage that only the
+    JVM can reach (or with ``scan=True``) all lines of these files' age and
+    younger are read instead, and the first of each file kept.
     """
-    if files is None:
-        files = list_files(spark, location, pattern)
-    files = files.where("length > 0")
     if scan is None:
         scan = not _arrow_can_open(location)
-    return _headers_by_scanning(spark, files, location, pattern) if scan else _headers_by_opening(files)
+    return _headers_by_scanning(spark, files, location, pattern) if scan else _headers_by_opening(files, count)
 
 
 def parse_header(header: str) -> tuple[str, ...]:
@@ -168,12 +168,18 @@ def merged_columns(layouts: Sequence[Layout]) -> list[str]:
     return list(dict.fromkeys(c for layout in layouts for c in layout.columns))
 
 
-def _layout_paths(headers: DataFrame) -> dict[str, list[str]]:
+def _layout_paths(
+    location: str, headers: DataFrame, layouts: Sequence[Layout]
+) -> dict[str, list[str]]:
     """What to read for each header: whole directories, or files where mixed.
 
     Every scan keeps its file list on the driver; this is the same list, folded
-    to directories wherever all files of one directory agree.
+    to directories wherever all files of one directory agree, and to the
+    location itself where all files do.
     """
+    total = headers.count()
+    if len(layouts) == 1 and layouts[0].files == total:
+        return {layouts[0].header: [location]}
     placed = headers.select("header", "path", F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("directory"))
     kinds = placed.groupBy("directory").agg(F.min("header").alias("low"), F.max("header").alias("high"))
     whole = kinds.where("low = high").select(F.col("low").alias("header"), F.col("directory").alias("path"))
@@ -201,7 +207,7 @@ def read_layouts(
         raise ValueError("there is no layout to read")
     if partitions is None:
         partitions = partition_columns(headers.select("path"))
-    paths = _layout_paths(headers)
+    paths = _layout_paths(location, headers, layouts)
     frames = [
         scan_raw_csv(spark, paths[layout.header], layout.columns, partitions, location, pattern) for layout in layouts
     ]
@@ -237,7 +243,7 @@ def infer_columns(
     """
     if partitions is None:
         partitions = partition_columns(headers.select("path"))
-    paths = _layout_paths(headers)
+    paths = _layout_paths(location, headers, layouts)
     types: dict[str, str] = {}
     for layout in layouts:
         inferred = (

@@ -77,6 +77,7 @@ def ingest_into(
     location: str,
     keys: Sequence[str] = (),
     table: str | None = None,
+    rebalance: bool = True,
 ) -> RunCounts:
     """Write what is new to Parquet at ``location``, then stop.
 
@@ -85,9 +86,10 @@ def ingest_into(
     batch that is run again after a crash is not seen twice. With ``table`` the
     location is also a catalog table. The folder belongs to this one stream.
     """
+    if rebalance:
+        curated = spread_for_partitions(curated, keys)
     writer = (
-        spread_for_partitions(curated, keys)
-        .writeStream.format("parquet")
+        curated.writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .option("compression", "snappy")
