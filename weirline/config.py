@@ -85,6 +85,7 @@ class JobConfig:
 
     A bookmarked job takes each raw file once and keeps its progress under
     ``state_path``; any other job curates the whole table on every run.
+    With ``added_columns``, raw files may have columns after the known ones.
     ``max_files`` or ``max_bytes`` cut a large backlog into several commits.
     """
 
@@ -101,6 +102,7 @@ class JobConfig:
     cleaned_partition_keys: tuple[str, ...] = RAW_PARTITIONS
     rebalance: bool = True
     raw_pattern: str = "*.csv"
+    added_columns: bool = False
     max_files: int | None = None
     max_bytes: int | None = None
     rules: CurateRules = CurateRules()

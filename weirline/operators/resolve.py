@@ -15,6 +15,15 @@ from weirline.functions import field, strict_cast
 SPECIFICITY = ("boolean", "int", "bigint", "double", "date", "timestamp", "string")
 DEFAULT_TYPES = ("int", "bigint", "double", "string")
 
+# Casting takes "1" and "y" for true, "1d" for 1.0, "2023" for a date and drops
+# the time of day; such text is not of that type.
+_TEXT_SHAPES = {
+    "boolean": "^(?i:true|false)$",
+    "double": r"[^dDfF]$|(?i:inf)$",
+    "date": r"^\d{4}-\d{2}-\d{2}$",
+    "timestamp": r"^\d{4}-\d{2}-\d{2}([ T].+)?$",
+}
+
 # Which variant kinds may feed a typed column. Checked before extraction, since
 # extraction itself would convert (for example truncate 1.5 to 1).
 _VARIANT_KINDS = {
@@ -35,12 +44,20 @@ def _ordered(types: Sequence[str]) -> list[str]:
     return [t for t in SPECIFICITY if t in wanted]
 
 
+def _from_text(column: Column, data_type: str) -> Column:
+    """A cast that leaves out text which casting would shorten or reinterpret."""
+    value = strict_cast(column, data_type)
+    if data_type in _TEXT_SHAPES:
+        return F.when(F.trim(column).rlike(_TEXT_SHAPES[data_type]), value)
+    return value
+
+
 def _candidates(df: DataFrame, name: str, types: Sequence[str]) -> dict[str, Column]:
     """For each type, the value in that type, or null where it does not fit."""
     column = field(name)
     data_type = df.schema[name].dataType
     if isinstance(data_type, StringType):
-        return {t: strict_cast(column, t) for t in types}
+        return {t: _from_text(column, t) for t in types}
     if isinstance(data_type, VariantType):
         kind = F.schema_of_variant(column)
         return {

@@ -30,11 +30,11 @@ def _raw_table(spark: SparkSession, table: str) -> tuple[str, list[str], list[st
     return described.data_type, [c.name for c in listed if not c.isPartition], partitions
 
 
-def run_arrivals(spark: SparkSession, config: JobConfig, allow_added: bool = False) -> RunReport:
+def run_arrivals(spark: SparkSession, config: JobConfig) -> RunReport:
     """One run: discover, stop if a file does not belong, else curate the new files.
 
     Run it on any schedule; without new files it adds nothing. With
-    ``allow_added``, headers of different lengths are read side by side. The
+    ``added_columns``, headers of different lengths are read side by side. The
     reading tasks cannot compare headers then, so the check is repeated at the
     end and fails the run if a file that does not belong came in meanwhile.
     """
@@ -42,7 +42,8 @@ def run_arrivals(spark: SparkSession, config: JobConfig, allow_added: bool = Fal
         raise ValueError("a job without bookmark is run by run_batch")
     location, columns, partitions = _raw_table(spark, config.source)
     found = discover(spark, location, config.state_path, config.raw_pattern)
-    reading = require_layouts(found.layouts, columns, allow_added)
+    required = config.rules.raw_columns if config.added_columns else None
+    reading = require_layouts(found.layouts, columns, required)
     new_columns = update_raw_table(spark, config.source, [x.columns for x in found.layouts])
     one_layout = all(list(x.columns) == reading for x in found.layouts)
 
@@ -76,6 +77,6 @@ def run_arrivals(spark: SparkSession, config: JobConfig, allow_added: bool = Fal
             rebalance=config.rebalance,
         )
     if not one_layout:
-        require_layouts(discover(spark, location, config.state_path, config.raw_pattern).layouts, columns, allow_added)
+        require_layouts(discover(spark, location, config.state_path, config.raw_pattern).layouts, columns, required)
     deleted = deleted_partitions(spark, config.source, location, config.raw_pattern) if partitions else None
     return RunReport(counts, cleaned, new_columns, deleted)

@@ -28,4 +28,12 @@ class ResultStore:
     def read(self, spark: SparkSession, location: str, schema: StructType | str) -> DataFrame:
         if not location.startswith(self._root + "/") or ".." in location.split("/"):
             raise ValueError(f"{location} is not below {self._root}")
-        return spark.read.schema(schema).option("header", "true").option("enforceSchema", "false").csv(location)
+        # Null is written as nothing and an empty text as two quotes; a null marker
+        # that cannot occur keeps them apart.
+        return (
+            spark.read.schema(schema)
+            .option("header", "true")
+            .option("enforceSchema", "false")
+            .option("nullValue", "\0")
+            .csv(location)
+        )

@@ -5,9 +5,10 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +25,15 @@ MAX_LAYOUTS = 10_000
 _FILES_PER_TASK = 64
 _MAX_TASKS = 10_000
 
-_OPENED_BY_ARROW = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+_OPENED_BY_ARROW = {
+    "file": "file",
+    "hdfs": "hdfs",
+    "s3": "s3",
+    "s3a": "s3",
+    "gs": "gs",
+    "abfs": "abfs",
+    "abfss": "abfss",
+}
 
 
 @dataclass(frozen=True)
@@ -37,32 +46,32 @@ class Layout:
     example: str
 
 
-def _arrow_uri(path: str) -> str:
+@cache
+def _filesystem(scheme: str, authority: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(f"{_OPENED_BY_ARROW[scheme]}://{authority}/")
+
+
+def _located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a Spark path, and the path within it."""
     scheme, colon, rest = path.partition(":")
     if not colon:
-        return "file://" + path
-    return _OPENED_BY_ARROW[scheme] + ":" + ("//" + rest if not rest.startswith("//") else rest)
+        scheme, rest = "file", path
+    authority, _, inner = rest[2:].partition("/") if rest.startswith("//") else ("", "", rest)
+    filesystem, base = _filesystem(scheme, authority)
+    return filesystem, f"{base.rstrip('/')}/{inner.lstrip('/')}"
 
 
 def _arrow_can_open(location: str) -> bool:
     """Whether this process reaches the storage without going through the JVM."""
-    scheme = location.partition(":")[0] if ":" in location else "file"
-    if scheme not in _OPENED_BY_ARROW:
-        return False
-    from pyarrow import fs
-
     try:
-        filesystem, inner = fs.FileSystem.from_uri(_arrow_uri(location))
-        filesystem.get_file_info(inner)
-        return True
-    except Exception:
+        filesystem, inner = _located(location)
+        return filesystem.get_file_info(inner).type == fs.FileType.Directory
+    except (KeyError, OSError, pa.ArrowException):
         return False
 
 
 def _first_line(path: str) -> str:
-    from pyarrow import fs
-
-    filesystem, inner = fs.FileSystem.from_uri(_arrow_uri(path))
+    filesystem, inner = _located(path)
     line = b""
     with filesystem.open_input_stream(inner, compression="detect") as stream:
         while b"\n" not in line:

@@ -11,21 +11,28 @@ class DiscoveryFailed(RuntimeError):
     """Discovery found files that do not belong to the table."""
 
 
-def require_layouts(layouts: Sequence[Layout], columns: Sequence[str], allow_added: bool = False) -> list[str]:
+def require_layouts(
+    layouts: Sequence[Layout], columns: Sequence[str], required: Sequence[str] | None = None
+) -> list[str]:
     """Check header lines against the table's columns; give the columns to read.
 
-    Columns bind by position, so each header must be ``columns`` exactly. With
-    ``allow_added`` a header may go on with further columns, and headers may
-    differ in how many of those they have, as long as none contradicts another.
+    Columns bind by position, so each header must be ``columns`` exactly. Where
+    ``required`` is given, headers and table may differ in how many columns they
+    have: none may contradict another, and each has at least the required ones.
     """
     columns = list(columns)
-    longest = max((list(x.columns) for x in layouts), key=len, default=columns) if allow_added else columns
-    bad = [
-        x
-        for x in layouts
-        if list(x.columns[: len(columns)]) != columns or list(x.columns) != longest[: len(x.columns)]
-    ]
-    if bad:
+    reading = columns
+    if required is not None:
+        reading = max([columns, *(list(x.columns) for x in layouts)], key=len)
+
+    def fits(layout: Layout) -> bool:
+        own = list(layout.columns)
+        if required is None:
+            return own == columns
+        return own == reading[: len(own)] and set(required) <= set(own)
+
+    bad = [x for x in layouts if not fits(x)]
+    if bad or columns != reading[: len(columns)]:
         shown = "; ".join(f"{x.files} file(s) such as {x.example} start with {x.header!r}" for x in bad[:5])
         raise DiscoveryFailed(f"{len(bad)} header(s) do not match {columns}: {shown}")
-    return longest
+    return reading
