@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import cache, reduce
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
@@ -46,53 +46,62 @@ class Layout:
     example: str
 
 
-@cache
-def _filesystem(scheme: str, authority: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(f"{_OPENED_BY_ARROW[scheme]}://{authority}/")
+def _arrow_access() -> tuple[Callable, Callable]:
+    """How a task finds a file and reads its first line.
 
-
-def _located(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a Spark path, and the path within it."""
-    scheme, colon, rest = path.partition(":")
-    if not colon:
-        scheme, rest = "file", path
-    authority, _, inner = rest[2:].partition("/") if rest.startswith("//") else ("", "", rest)
-    filesystem, base = _filesystem(scheme, authority)
-    return filesystem, f"{base.rstrip('/')}/{inner.lstrip('/')}"
+    Built as closures, which Spark sends to its workers whole, so that workers
+    need no copy of this package.
+    """
+    schemes = dict(_OPENED_BY_ARROW)
+    filesystems: dict[str, tuple[fs.FileSystem, str]] = {}
+
+    def located(path: str) -> tuple[fs.FileSystem, str]:
+        """The file system of a Spark path, and the path within it."""
+        scheme, colon, rest = path.partition(":")
+        if not colon:
+            scheme, rest = "file", path
+        authority, _, inner = rest[2:].partition("/") if rest.startswith("//") else ("", "", rest)
+        root = f"{schemes[scheme]}://{authority}/"
+        if root not in filesystems:
+            filesystems[root] = fs.FileSystem.from_uri(root)
+        filesystem, base = filesystems[root]
+        return filesystem, f"{base.rstrip('/')}/{inner.lstrip('/')}"
+
+    def first_line(path: str) -> str:
+        filesystem, inner = located(path)
+        line = b""
+        with filesystem.open_input_stream(inner, compression="detect") as stream:
+            while b"\n" not in line:
+                block = stream.read(64 * 1024)
+                if not block:
+                    break
+                line += block
+        return line.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
+
+    def with_first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            headers = pa.array([first_line(p) for p in batch.column("path").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, headers], names=[*batch.schema.names, "header"])
+
+    return located, with_first_lines
 
 
 def _arrow_can_open(location: str) -> bool:
     """Whether this process reaches the storage without going through the JVM."""
+    located, _ = _arrow_access()
     try:
-        filesystem, inner = _located(location)
+        filesystem, inner = located(location)
         return filesystem.get_file_info(inner).type == fs.FileType.Directory
     except (KeyError, OSError, pa.ArrowException):
         return False
 
 
-def _first_line(path: str) -> str:
-    filesystem, inner = _located(path)
-    line = b""
-    with filesystem.open_input_stream(inner, compression="detect") as stream:
-        while b"\n" not in line:
-            block = stream.read(64 * 1024)
-            if not block:
-                break
-            line += block
-    return line.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
-
-
-def _with_first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        headers = pa.array([_first_line(p) for p in batch.column("path").to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([*batch.columns, headers], names=[*batch.schema.names, "header"])
-
-
 def _headers_by_opening(files: DataFrame, count: int) -> DataFrame:
     # A listing is small in bytes, so Spark would keep it in few tasks; opening
     # the files is what takes time, and tasks are sized by that.
     tasks = min(-(-count // _FILES_PER_TASK), _MAX_TASKS)
-    return files.repartition(tasks, "path").mapInArrow(_with_first_lines, HEADER_SCHEMA)
+    _, with_first_lines = _arrow_access()
+    return files.repartition(tasks, "path").mapInArrow(with_first_lines, HEADER_SCHEMA)
 
 
 def _headers_by_scanning(spark: SparkSession, files: DataFrame, location: str, pattern: str) -> DataFrame:
