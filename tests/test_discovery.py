@@ -4,7 +4,14 @@ import shutil
 import pytest
 from conftest import CLEAN, HEADER, PARTITIONS, drop
 
-from weirline.catalog import deleted_partitions, discover, register_partitions, register_raw_table, update_raw_table
+from weirline.catalog import (
+    deleted_partitions,
+    describe_raw_table,
+    discover,
+    register_partitions,
+    register_raw_table,
+    update_raw_table,
+)
 from weirline.catalog.discovery import HeaderLedger
 from weirline.config import CurateRules
 from weirline.sources import (
@@ -88,7 +95,7 @@ def test_added_column(spark, tmp_path):
     drop(root, "b.csv", [f"{line},gold" for line in CLEAN[3:]], HEADER + ",loyalty", "year=2026/month=05")
     d = found(spark, tmp_path, root)
     assert len(d.layouts) == 2 and len(group_compatible(d.layouts)) == 1
-    df = read_layouts(spark, str(root), d.headers, d.layouts)
+    df = read_layouts(spark, d)
     assert df.columns == [*HEADER.split(","), "loyalty", *PARTITIONS]
     assert {(r.month, r.loyalty) for r in df.collect()} == {("04", None), ("05", "gold")}
     assert df.count() == 8
@@ -101,7 +108,7 @@ def test_reordered_headers_in_one_folder(spark, tmp_path):
     drop(root, "c.csv", ["300,100,200"], "c,a,b", "year=2026/month=05")
     d = found(spark, tmp_path, root)
     assert len(group_compatible(d.layouts)) == 1
-    df = read_layouts(spark, str(root), d.headers, d.layouts)
+    df = read_layouts(spark, d)
     got = {(r.a, r.b, r.c, r.month) for r in df.collect()}
     assert got == {("1", "2", None, "04"), ("3", "4", None, "04"), ("10", "20", None, "04"), ("100", "200", "300", "05")}
 
@@ -119,7 +126,7 @@ def test_files_that_came_after_discovery_do_not_bind_by_position(spark, tmp_path
     d = found(spark, tmp_path, root)
     drop(root, "late.csv", ["20,10"], "b,a")
     with pytest.raises(Exception, match="header"):
-        read_layouts(spark, str(root), d.headers, d.layouts).collect()
+        read_layouts(spark, d).collect()
 
 
 def test_too_many_headers_is_an_error(spark, monkeypatch):
@@ -137,7 +144,7 @@ def test_inferred_types(spark, tmp_path):
     drop(root, "a.csv", ["1,1.5,x,2023-01-05,1"], "i,d,s,t,mixed")
     drop(root, "b.csv", ["3000000000,2,y,2023-01-06,z,true"], "i,d,s,t,mixed,extra", "year=2026/month=05")
     d = found(spark, tmp_path, root)
-    schema = infer_columns(spark, str(root), d.headers, d.layouts)
+    schema = infer_columns(spark, d)
     assert [(f.name, f.dataType.simpleString()) for f in schema.fields] == [
         ("i", "bigint"),
         ("d", "double"),
@@ -199,6 +206,16 @@ def test_partitions_are_registered_and_reported_when_gone(spark, tmp_path, datab
     assert spark.sql(f"SHOW PARTITIONS {table}").count() == 3
 
 
+def test_described_table_with_awkward_columns(spark, tmp_path, database):
+    table, columns = f"{database}.t", ["Location", "Provider", "a b"]
+    register_raw_table(spark, table, str(tmp_path / "raw"), columns, PARTITIONS)
+    described = describe_raw_table(spark, table)
+    assert described.location.endswith("/raw")
+    assert (described.columns, described.partition_columns) == (columns, list(PARTITIONS))
+    register_raw_table(spark, f"{database}.u", str(tmp_path / "raw"), columns)
+    assert describe_raw_table(spark, f"{database}.u").partition_columns == []
+
+
 def test_raw_table_follows_the_headers(spark, tmp_path, database):
     root, table = tmp_path / "raw", f"{database}.customers"
     drop(root, "a.csv", ["1,2"], "a,b")

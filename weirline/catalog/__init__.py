@@ -1,8 +1,9 @@
-from weirline.catalog.discovery import Discovery, HeaderLedger, discover
+from weirline.catalog.discovery import HeaderLedger, discover
 from weirline.catalog.tables import (
     add_new_columns,
     create_database,
     deleted_partitions,
+    describe_raw_table,
     fit_to_table,
     quoted,
     register_partitions,
@@ -12,11 +13,11 @@ from weirline.catalog.tables import (
 )
 
 __all__ = [
-    "Discovery",
     "HeaderLedger",
     "add_new_columns",
     "create_database",
     "deleted_partitions",
+    "describe_raw_table",
     "discover",
     "fit_to_table",
     "quoted",

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 
 from weirline.sources.files import list_files
-from weirline.sources.layouts import HEADER_SCHEMA, Layout, file_headers, find_layouts
+from weirline.sources.layouts import HEADER_SCHEMA, Discovery, file_headers, find_layouts
 
 
 class HeaderLedger:
@@ -50,15 +48,6 @@ class HeaderLedger:
         return self._known().join(self._listed().select(*version), version, "left_semi").dropDuplicates(version)
 
 
-@dataclass(frozen=True)
-class Discovery:
-    """The files of a location with their header lines, and the different layouts."""
-
-    location: str
-    headers: DataFrame
-    layouts: list[Layout]
-
-
 def discover(
     spark: SparkSession, location: str, state_path: str, pattern: str = "*.csv", scan: bool | None = None
 ) -> Discovery:

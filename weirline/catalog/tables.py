@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from weirline.functions import field
 from weirline.sources.files import list_files, partition_path
@@ -52,6 +53,24 @@ def quoted_column(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+class RawTable(NamedTuple):
+    location: str
+    columns: list[str]
+    partition_columns: list[str]
+
+
+def describe_raw_table(spark: SparkSession, table: str) -> RawTable:
+    names = spark.table(table).columns
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(table)}").collect()
+    # The columns come first; partition columns are then listed again, and the
+    # table's details follow, each under a heading.
+    headings = [r.col_name for r in rows]
+    details = headings.index("# Detailed Table Information", len(names))
+    location = next(r.data_type for r in rows[details:] if r.col_name == "Location")
+    again = set(headings[len(names) : details])
+    return RawTable(location, [c for c in names if c not in again], [c for c in names if c in again])
+
+
 def register_partitions(spark: SparkSession, table: str) -> None:
     """Add the partitions found under the table's location; none is ever dropped."""
     spark.sql(f"MSCK REPAIR TABLE {quoted(table)} ADD PARTITIONS")
@@ -92,15 +111,13 @@ def update_raw_table(spark: SparkSession, table: str, layouts: Sequence[Sequence
     with ``weirline.sources.read_layouts``. Once headers differ in length, reading
     tasks no longer compare them, and this check is the only one.
     """
-    registered = spark.table(table).schema
-    partitions = {c.name for c in spark.catalog.listColumns(table) if c.isPartition}
-    columns = [f.name for f in registered.fields if f.name not in partitions]
+    _, columns, partitions = describe_raw_table(spark, table)
     longest = max(layouts, key=len, default=columns)
     merged = columns + list(longest[len(columns) :])
     for layout in layouts:
         if list(layout) != merged[: len(layout)]:
             raise ValueError(f"files with header {list(layout)} do not fit table columns {merged}")
-    added = StructType([StructField(c, registered[columns[0]].dataType) for c in merged[len(columns) :]])
+    added = StructType([StructField(c, StringType()) for c in merged[len(columns) :]])
     new = add_new_columns(spark, table, added)
     if any(len(layout) != len(merged) for layout in layouts):
         spark.sql(f"ALTER TABLE {quoted(table)} SET SERDEPROPERTIES ('enforceSchema' = 'true')")

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirline.catalog import deleted_partitions, discover, quoted, update_raw_table
+from weirline.catalog import deleted_partitions, describe_raw_table, discover, update_raw_table
 from weirline.config import JobConfig
 from weirline.plans.curate import curate_counted
 from weirline.streaming.gate import require_layouts
@@ -23,13 +23,6 @@ class RunReport:
     deleted: DataFrame | None
 
 
-def _raw_table(spark: SparkSession, table: str) -> tuple[str, list[str], list[str]]:
-    described = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(table)}").where("col_name = 'Location'").first()
-    listed = spark.catalog.listColumns(table)
-    partitions = [c.name for c in listed if c.isPartition]
-    return described.data_type, [c.name for c in listed if not c.isPartition], partitions
-
-
 def run_arrivals(spark: SparkSession, config: JobConfig) -> RunReport:
     """One run: discover, stop if a file does not belong, else curate the new files.
 
@@ -40,7 +33,7 @@ def run_arrivals(spark: SparkSession, config: JobConfig) -> RunReport:
     """
     if not config.bookmark:
         raise ValueError("a job without bookmark is run by run_batch")
-    location, columns, partitions = _raw_table(spark, config.source)
+    location, columns, partitions = describe_raw_table(spark, config.source)
     found = discover(spark, location, config.state_path, config.raw_pattern)
     required = config.rules.raw_columns if config.added_columns else None
     reading = require_layouts(found.layouts, columns, required)

@@ -500,7 +500,7 @@ def infer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     location = f"{workspace}/raw/orders"
     _drop_csv(_orders_by_month(spark, sf_dir), location, YEAR_MONTH)
     found = discover(spark, location, f"{workspace}/state")
-    schema = infer_columns(spark, location, found.headers, found.layouts)
+    schema = infer_columns(spark, found, YEAR_MONTH)
     return schema_rows(spark, schema, YEAR_MONTH)
 
 
@@ -572,7 +572,7 @@ def combine_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
     _drop_csv(_table(spark, sf_dir, "part"), location)
     found = discover(spark, location, f"{workspace}/state")
     wanted = next(g for g in group_compatible(found.layouts) if "s_suppkey" in g[0].columns)
-    return apply_mapping(read_layouts(spark, location, found.headers, wanted), _SUPPLIER_MAPPING)
+    return apply_mapping(read_layouts(spark, found, wanted), _SUPPLIER_MAPPING)
 
 
 def _registered_orders(spark: SparkSession, sf_dir: str, workspace: str) -> tuple[str, str, DataFrame]:

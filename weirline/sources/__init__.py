@@ -1,5 +1,6 @@
 from weirline.sources.files import list_files, partition_columns, partition_path
 from weirline.sources.layouts import (
+    Discovery,
     Layout,
     file_headers,
     find_layouts,
@@ -10,6 +11,7 @@ from weirline.sources.layouts import (
 from weirline.sources.scans import scan_parquet, scan_raw_csv, scan_table, text_schema
 
 __all__ = [
+    "Discovery",
     "Layout",
     "file_headers",
     "find_layouts",

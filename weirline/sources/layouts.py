@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weirline.functions import field
 from weirline.sources.files import partition_columns
-from weirline.sources.scans import scan_raw_csv, text_schema
+from weirline.sources.scans import scan_raw_csv
 
 HEADER_SCHEMA = "path string, modificationTime timestamp, length bigint, header string"
 
@@ -46,6 +47,15 @@ class Layout:
     example: str
 
 
+@dataclass(frozen=True)
+class Discovery:
+    """The files of a location with their header lines, and the different layouts."""
+
+    location: str
+    headers: DataFrame
+    layouts: list[Layout]
+
+
 def _arrow_access() -> tuple[Callable, Callable]:
     """How a task finds a file and reads its first line.
 
@@ -186,19 +196,16 @@ def merged_columns(layouts: Sequence[Layout]) -> list[str]:
     return list(dict.fromkeys(c for layout in layouts for c in layout.columns))
 
 
-def _layout_paths(
-    location: str, headers: DataFrame, layouts: Sequence[Layout]
-) -> dict[str, list[str]]:
+def _layout_paths(found: Discovery) -> dict[str, list[str]]:
     """What to read for each header: whole directories, or files where mixed.
 
     Every scan keeps its file list on the driver; this is the same list, folded
     to directories wherever all files of one directory agree, and to the
     location itself where all files do.
     """
-    total = headers.count()
-    if len(layouts) == 1 and layouts[0].files == total:
-        return {layouts[0].header: [location]}
-    placed = headers.select("header", "path", F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("directory"))
+    if len(found.layouts) == 1:
+        return {found.layouts[0].header: [found.location]}
+    placed = found.headers.select("header", "path", F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("directory"))
     kinds = placed.groupBy("directory").agg(F.min("header").alias("low"), F.max("header").alias("high"))
     whole = kinds.where("low = high").select(F.col("low").alias("header"), F.col("directory").alias("path"))
     mixed = placed.join(kinds.where("low <> high").select("directory"), "directory", "left_semi")
@@ -210,27 +217,30 @@ def _layout_paths(
 
 def read_layouts(
     spark: SparkSession,
-    location: str,
-    headers: DataFrame,
-    layouts: Sequence[Layout],
+    found: Discovery,
+    layouts: Sequence[Layout] | None = None,
     partitions: Sequence[str] | None = None,
     pattern: str = "*.csv",
 ) -> DataFrame:
     """One frame over files with different headers, each value under its own name.
 
     Each layout is a scan with its own schema; their union has every column that
-    occurs, null where a file lacks it. No rows are shuffled.
+    occurs, null where a file lacks it. No rows are shuffled. By default all
+    layouts found are read.
     """
+    if layouts is None:
+        layouts = found.layouts
     if not layouts:
         raise ValueError("there is no layout to read")
     if partitions is None:
-        partitions = partition_columns(headers.select("path"))
-    paths = _layout_paths(location, headers, layouts)
+        partitions = partition_columns(found.headers)
+    paths = _layout_paths(found)
     frames = [
-        scan_raw_csv(spark, paths[layout.header], layout.columns, partitions, location, pattern) for layout in layouts
+        scan_raw_csv(spark, paths[layout.header], layout.columns, partitions, found.location, pattern)
+        for layout in layouts
     ]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return union.select(*text_schema([*merged_columns(layouts), *partitions]).fieldNames())
+    return union.select(*[field(c) for c in [*merged_columns(layouts), *partitions]])
 
 
 _NUMERIC = ["int", "bigint", "double"]
@@ -249,9 +259,7 @@ def wider_type(one: str, other: str) -> str:
 
 def infer_columns(
     spark: SparkSession,
-    location: str,
-    headers: DataFrame,
-    layouts: Sequence[Layout],
+    found: Discovery,
     partitions: Sequence[str] | None = None,
     sampling_ratio: float = 1.0,
 ) -> T.StructType:
@@ -260,10 +268,10 @@ def infer_columns(
     Reads all rows unless ``sampling_ratio`` asks for fewer to be parsed.
     """
     if partitions is None:
-        partitions = partition_columns(headers.select("path"))
-    paths = _layout_paths(location, headers, layouts)
+        partitions = partition_columns(found.headers)
+    paths = _layout_paths(found)
     types: dict[str, str] = {}
-    for layout in layouts:
+    for layout in found.layouts:
         inferred = (
             spark.read.option("header", "true")
             .option("inferSchema", "true")
@@ -272,7 +280,7 @@ def infer_columns(
             .schema
         )
         for name, f in zip(layout.columns, inferred.fields):
-            found = f.dataType.simpleString()
-            types[name] = wider_type(types[name], found) if name in types else found
-    columns = [T.StructField(c, T.DataType.fromDDL(types[c])) for c in merged_columns(layouts)]
+            kind = f.dataType.simpleString()
+            types[name] = wider_type(types[name], kind) if name in types else kind
+    columns = [T.StructField(c, T.DataType.fromDDL(types[c])) for c in merged_columns(found.layouts)]
     return T.StructType(columns + [T.StructField(p, T.StringType()) for p in partitions])
