@@ -23,14 +23,14 @@ HEADLINE = (
     "raw_clean_counts",
     "governed_curated_count",
     "governed_cells",
-    "apply_mapping_orders",
-    "parse_date_orders",
+    "apply_mapping",
+    "parse_date",
     "resolve_make_cols",
     "partitioned_roundtrip",
     "infer_schema",
     "combine_compatible",
-    "register_partitions_orders",
-    "deleted_partitions_orders",
+    "register_partitions",
+    "deleted_partitions",
     "incremental_ingest",
     "arrival_run",
     "batch_run",

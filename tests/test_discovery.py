@@ -1,4 +1,5 @@
 import gzip
+import os
 import shutil
 
 import pytest
@@ -79,14 +80,22 @@ def test_headers_of_every_kind_of_file(spark, tmp_path, scan):
 def test_ledger_opens_only_new_files(spark, tmp_path):
     root = tmp_path / "raw"
     first = drop(root, "a.csv", ["1"], "a")
-    ledger = HeaderLedger(spark, str(tmp_path / "ledger"), str(root))
-    assert [ledger.refresh(), ledger.refresh()] == [1, 0]
+    ledger = HeaderLedger(spark, str(tmp_path / "ledger"))
+
+    def listed():
+        return list_files(spark, str(root))
+
+    assert [ledger.refresh(listed(), str(root)), ledger.refresh(listed(), str(root))] == [1, 0]
     drop(root, "b.csv", ["1"], "b")
-    assert ledger.refresh() == 1
-    assert by_file(ledger.current()) == {"a.csv": "a", "b.csv": "b"}
+    assert ledger.refresh(listed(), str(root)) == 1
+    assert by_file(ledger.current(listed())) == {"a.csv": "a", "b.csv": "b"}
     first.unlink()
-    assert ledger.refresh() == 0
-    assert by_file(ledger.current()) == {"b.csv": "b"}
+    assert ledger.refresh(listed(), str(root)) == 0
+    assert by_file(ledger.current(listed())) == {"b.csv": "b"}
+    drop(root, "b.csv", ["1"], "rewritten")
+    os.utime(root / "year=2026" / "month=04" / "b.csv", (1_600_000_000, 1_600_000_000))
+    assert ledger.refresh(listed(), str(root)) == 1
+    assert by_file(ledger.current(listed())) == {"b.csv": "rewritten"}
 
 
 def test_added_column(spark, tmp_path):
@@ -196,10 +205,10 @@ def test_partitions_are_registered_and_reported_when_gone(spark, tmp_path, datab
     assert spark.table(table).count() == 0
     register_partitions(spark, table)
     assert spark.table(table).count() == 24
-    assert deleted_partitions(spark, table, str(root)).collect() == []
+    assert deleted_partitions(spark, table, list_files(spark, str(root))).collect() == []
     shutil.rmtree(root / "year=2026" / "month=05")
     (root / "year=2026" / "month=06" / "a.csv").unlink()
-    assert sorted(r.partition for r in deleted_partitions(spark, table, str(root)).collect()) == [
+    assert sorted(r.partition for r in deleted_partitions(spark, table, list_files(spark, str(root))).collect()) == [
         "year=2026/month=05",
         "year=2026/month=06",
     ]

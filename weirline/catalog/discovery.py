@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weirline.sources.files import list_files
-from weirline.sources.layouts import HEADER_SCHEMA, Discovery, file_headers, find_layouts
+from weirline.sources.layouts import HEADER_SCHEMA, Discovery, can_open, file_headers, find_layouts
+
+
+_VERSION = ["path", "modificationTime"]
 
 
 class HeaderLedger:
@@ -15,44 +19,41 @@ class HeaderLedger:
     at again. Losing the ledger costs a full discovery and nothing else.
     """
 
-    def __init__(
-        self, spark: SparkSession, path: str, location: str, pattern: str = "*.csv", scan: bool | None = None
-    ) -> None:
+    def __init__(self, spark: SparkSession, path: str) -> None:
         self._spark = spark
         self._path = path
-        self._location = location
-        self._pattern = pattern
-        self._scan = scan
-
-    def _listed(self) -> DataFrame:
-        return list_files(self._spark, self._location, self._pattern)
 
     def _known(self) -> DataFrame:
         return self._spark.read.schema(HEADER_SCHEMA).parquet(self._path)
 
-    def refresh(self) -> int:
-        """Look at the files that have arrived since the last time; give their number."""
-        version = ["path", "modificationTime"]
+    def refresh(self, listed: DataFrame, location: str, pattern: str = "*.csv", scan: bool | None = None) -> int:
+        """Look at the listed files that are not known yet; give their number."""
         self._spark.createDataFrame([], HEADER_SCHEMA).write.mode("ignore").parquet(self._path)
-        listed = self._listed().where("length > 0")
-        new = listed.join(self._known().select(*version), version, "left_anti")
-        count = new.count()
+        new = listed.join(self._known().select(*_VERSION), _VERSION, "left_anti")
+        count, example = new.agg(F.count(F.lit(1)), F.min("path")).first()
         if count:
-            found = file_headers(self._spark, self._location, new, count, self._pattern, self._scan)
+            if scan is None:
+                scan = not can_open(example)
+            found = file_headers(self._spark, location, new, count, pattern, scan)
             found.hint("rebalance").write.mode("append").option("compression", "snappy").parquet(self._path)
         return count
 
-    def current(self) -> DataFrame:
-        """Headers of the file versions that are there now."""
-        version = ["path", "modificationTime"]
-        return self._known().join(self._listed().select(*version), version, "left_semi").dropDuplicates(version)
+    def current(self, listed: DataFrame) -> DataFrame:
+        """Headers of the file versions that are listed."""
+        return self._known().join(listed.select(*_VERSION), _VERSION, "left_semi").dropDuplicates(_VERSION)
 
 
 def discover(
     spark: SparkSession, location: str, state_path: str, pattern: str = "*.csv", scan: bool | None = None
 ) -> Discovery:
-    """Header lines below ``location``; only files not seen before are opened."""
-    ledger = HeaderLedger(spark, f"{state_path}/headers", location, pattern, scan)
-    ledger.refresh()
-    headers = ledger.current()
+    """Header lines of the files below ``location`` that are not empty.
+
+    The location is listed once, and only files not seen before are opened. They
+    are opened where they are; ``scan`` reads them through Spark instead, which
+    is also what happens on storage that only the JVM can reach.
+    """
+    listed = list_files(spark, location, pattern).where("length > 0")
+    ledger = HeaderLedger(spark, f"{state_path}/headers")
+    ledger.refresh(listed, location, pattern, scan)
+    headers = ledger.current(listed)
     return Discovery(location, headers, find_layouts(headers))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from weirline.functions import field
-from weirline.sources.files import list_files, partition_path
+from weirline.sources.files import partition_path
 
 
 def quoted(name: str) -> str:
@@ -126,14 +126,14 @@ def update_raw_table(spark: SparkSession, table: str, layouts: Sequence[Sequence
     return new
 
 
-def deleted_partitions(spark: SparkSession, table: str, location: str, pattern: str = "*") -> DataFrame:
-    """Registered partitions that hold no file any more, as a report.
+def deleted_partitions(spark: SparkSession, table: str, files: DataFrame) -> DataFrame:
+    """Registered partitions to which none of the listed ``files`` belongs.
 
-    The catalog is left as it is. Both sides are names of partitions, not data:
-    the listing side reads no file content.
+    A report: the catalog is left as it is. Both sides are names of partitions,
+    not data.
     """
     registered = spark.sql(f"SHOW PARTITIONS {quoted(table)}")
-    listed = list_files(spark, location, pattern).select(partition_path("path").alias("partition")).distinct()
+    listed = files.select(partition_path("path").alias("partition")).distinct()
     return registered.join(listed, "partition", "left_anti")
 
 

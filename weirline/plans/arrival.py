@@ -71,5 +71,5 @@ def run_arrivals(spark: SparkSession, config: JobConfig) -> RunReport:
         )
     if not one_layout:
         require_layouts(discover(spark, location, config.state_path, config.raw_pattern).layouts, columns, required)
-    deleted = deleted_partitions(spark, config.source, location, config.raw_pattern) if partitions else None
+    deleted = deleted_partitions(spark, config.source, found.headers) if partitions else None
     return RunReport(counts, cleaned, new_columns, deleted)

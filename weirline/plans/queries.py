@@ -53,6 +53,7 @@ from weirline.sinks import ResultStore, append_parquet, append_to_table, spread_
 from weirline.sources import (
     group_compatible,
     infer_columns,
+    list_files,
     read_layouts,
     scan_parquet,
     scan_raw_csv,
@@ -68,10 +69,11 @@ RULES = CurateRules()
 YEAR_MONTH = ("year", "month")
 
 
-def query(sql: str) -> Callable[[Query], Query]:
+def query(sql: str, name: str | None = None) -> Callable[[Query], Query]:
     def register(function: Query) -> Query:
-        QUERIES[function.__name__] = function
-        ORACLE[function.__name__] = sql
+        key = name or function.__name__
+        QUERIES[key] = function
+        ORACLE[key] = sql
         return function
 
     return register
@@ -86,7 +88,9 @@ def _text(column: str | Column) -> Column:
 
 
 def _drop_csv(df: DataFrame, location: str, partitions: tuple[str, ...] = (), mode: str = "append") -> None:
-    writer = spread_for_partitions(df, partitions).write.mode(mode).option("header", "true")
+    # An overwrite replaces the whole folder, whatever the session prefers.
+    writer = spread_for_partitions(df, partitions).write.mode(mode).option("partitionOverwriteMode", "static")
+    writer = writer.option("header", "true")
     if partitions:
         writer = writer.partitionBy(*partitions)
     writer.csv(location)
@@ -206,7 +210,8 @@ ORDERS_AS_TEXT = """
     SELECT CASE WHEN regexp_full_match(order_key, '[+-]?\\d+') THEN TRY_CAST(order_key AS INTEGER) END AS order_id,
            CASE WHEN total <> 'n/a' THEN o_totalprice END AS total_price, status
     FROM ({ORDERS_AS_TEXT}) t
-    """
+    """,
+    name="apply_mapping",
 )
 def apply_mapping_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = _text("o_orderkey")
@@ -235,7 +240,8 @@ def apply_mapping_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       WHEN '2-HIGH' THEN strftime(o_orderdate, '%Y-%-m-%-d')
                                       ELSE strftime(o_orderdate, '%Y-%m-%d') END AS t
           FROM orders) raw
-    """
+    """,
+    name="parse_date",
 )
 def parse_date_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     priority = field("o_orderpriority")
@@ -585,7 +591,10 @@ def _registered_orders(spark: SparkSession, sf_dir: str, workspace: str) -> tupl
     return table, location, orders
 
 
-@query(f"SELECT 'year=' || year || '/month=' || month AS partition, cnt FROM ({ORDERS_PER_MONTH}) t")
+@query(
+    f"SELECT 'year=' || year || '/month=' || month AS partition, cnt FROM ({ORDERS_PER_MONTH}) t",
+    name="register_partitions",
+)
 def register_partitions_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, _, _ = _registered_orders(spark, sf_dir, new_workspace(spark, "register-partitions"))
     counted = grouped_count(scan_table(spark, table), *YEAR_MONTH).select(
@@ -606,13 +615,14 @@ def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     SELECT DISTINCT 'year=' || strftime(o_orderdate, '%Y') || '/month=' || strftime(o_orderdate, '%m') AS partition
     FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01'
-    """
+    """,
+    name="deleted_partitions",
 )
 def deleted_partitions_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All months are registered, then the files are replaced by older months only."""
     table, location, orders = _registered_orders(spark, sf_dir, new_workspace(spark, "deleted-partitions"))
     _drop_csv(orders.where("o_orderdate < '2000-01-01'"), location, YEAR_MONTH, mode="overwrite")
-    return deleted_partitions(spark, table, location)
+    return deleted_partitions(spark, table, list_files(spark, location))
 
 
 # Incremental ingest.

@@ -96,12 +96,12 @@ def _arrow_access() -> tuple[Callable, Callable]:
     return located, with_first_lines
 
 
-def _arrow_can_open(location: str) -> bool:
-    """Whether this process reaches the storage without going through the JVM."""
+def can_open(path: str) -> bool:
+    """Whether this process reaches a file without going through the JVM."""
     located, _ = _arrow_access()
     try:
-        filesystem, inner = located(location)
-        return filesystem.get_file_info(inner).type == fs.FileType.Directory
+        filesystem, inner = located(path)
+        return filesystem.get_file_info(inner).type == fs.FileType.File
     except (KeyError, OSError, pa.ArrowException):
         return False
 
@@ -137,16 +137,14 @@ def _headers_by_scanning(spark: SparkSession, files: DataFrame, location: str, p
 
 
 def file_headers(
-    spark: SparkSession, location: str, files: DataFrame, count: int, pattern: str = "*.csv", scan: bool | None = None
+    spark: SparkSession, location: str, files: DataFrame, count: int, pattern: str = "*.csv", scan: bool = False
 ) -> DataFrame:
     """The first line of each of the ``count`` listed files: the listing and ``header``.
 
-    Tasks open the files and read one block of each. On storage that only the
-    JVM can reach (or with ``scan=True``) all lines of these files' age and
-    younger are read instead, and the first of each file kept.
+    Tasks open the files and read one block of each. With ``scan``, for storage
+    that only the JVM can reach, all lines of files as young as these are read
+    instead, and the first of each file kept.
     """
-    if scan is None:
-        scan = not _arrow_can_open(location)
     return _headers_by_scanning(spark, files, location, pattern) if scan else _headers_by_opening(files, count)
 
 
