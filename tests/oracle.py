@@ -1,4 +1,4 @@
-"""Compare queries with DuckDB: ``python tests/oracle.py <sf_dir> [query …]``."""
+"""Compare queries with DuckDB: ``python tests/oracle.py <sf_dir> [query …] [spark.setting=value …]``."""
 
 from __future__ import annotations
 
@@ -73,8 +73,11 @@ if __name__ == "__main__":
 
     from __spark_entry__ import oracle_sql, queries
 
-    sf_dir, names = sys.argv[1], sys.argv[2:]
-    spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    sf_dir = sys.argv[1]
+    names = [a for a in sys.argv[2:] if "=" not in a]
+    settings = dict(a.split("=", 1) for a in sys.argv[2:] if "=" in a)
+    builder = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+    spark = builder.config("spark.ui.showConsoleProgress", "false").config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     db = connect(sf_dir)
     for name, query in queries().items():
