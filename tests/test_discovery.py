@@ -50,6 +50,22 @@ def test_partition_columns(spark, tmp_path):
         partition_columns(list_files(spark, str(tmp_path / "x")))
 
 
+def test_partitions_count_from_the_location(spark, tmp_path, database):
+    root = tmp_path / "source=crm"
+    drop(root, "a.csv", ["1"], "a")
+    for location in (str(root), f"file:{root}", f"file://{root}/"):
+        files = list_files(spark, location)
+        assert [r.partition for r in files.collect()] == ["year=2026/month=04"]
+        assert partition_columns(files) == ["year", "month"]
+    drop(root / "flat", "b.csv", ["1"], "a", partition="")
+    assert [r.partition for r in list_files(spark, str(root / "flat")).collect()] == [""]
+    drop(tmp_path / "odd", "a.csv", ["1"], "a", partition="year=a b=c/month=%2F")
+    register_raw_table(spark, f"{database}.odd", str(tmp_path / "odd"), ["a"], PARTITIONS)
+    register_partitions(spark, f"{database}.odd")
+    assert spark.table(f"{database}.odd").collect() == [("1", "a b=c", "/")]
+    assert deleted_partitions(spark, f"{database}.odd", list_files(spark, str(tmp_path / "odd"))).count() == 0
+
+
 def by_file(headers):
     return {r.path.rsplit("/", 1)[1]: r.header for r in headers.collect()}
 

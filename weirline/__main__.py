@@ -7,7 +7,6 @@ import sys
 from pyspark.sql import SparkSession
 
 from weirline.config import JobConfig
-from weirline.operators.counts import first_rows
 from weirline.plans import run_arrivals, run_batch
 
 
@@ -20,7 +19,7 @@ def main(argv: list[str]) -> None:
         report = run_arrivals(spark, config)
         counts = report.counts
         if report.deleted is not None:
-            for row in first_rows(report.deleted, 100).collect():
+            for row in report.deleted.toLocalIterator():
                 print(f"partition without files: {row.partition}")
     else:
         counts = run_batch(spark, config)

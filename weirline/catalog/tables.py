@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from weirline.functions import field
-from weirline.sources.files import partition_path
 
 
 def quoted(name: str) -> str:
@@ -126,6 +125,12 @@ def update_raw_table(spark: SparkSession, table: str, layouts: Sequence[Sequence
     return new
 
 
+def _unescaped(partition: str) -> Column:
+    """A partition's name without %-escapes, which writers use to different extents."""
+    decoded = F.try_url_decode(F.replace(partition, F.lit("+"), F.lit("%2B")))
+    return F.coalesce(decoded, F.col(partition))
+
+
 def deleted_partitions(spark: SparkSession, table: str, files: DataFrame) -> DataFrame:
     """Registered partitions to which none of the listed ``files`` belongs.
 
@@ -133,8 +138,9 @@ def deleted_partitions(spark: SparkSession, table: str, files: DataFrame) -> Dat
     not data.
     """
     registered = spark.sql(f"SHOW PARTITIONS {quoted(table)}")
-    listed = files.select(partition_path("path").alias("partition")).distinct()
-    return registered.join(listed, "partition", "left_anti")
+    name = _unescaped("partition").alias("name")
+    listed = files.select(name).distinct()
+    return registered.select("partition", name).join(listed, "name", "left_anti").select("partition")
 
 
 def schema_rows(spark: SparkSession, schema: StructType, partition_columns: Sequence[str] = ()) -> DataFrame:

@@ -26,6 +26,16 @@ STAMP_COLUMN = "ingested_at"
 CURATED_PARTITIONS = ("region",)
 RAW_PARTITIONS = ("year", "month")
 
+# The arguments a job is started with and cannot do without.
+REQUIRED_ARGUMENTS = (
+    "JOB_NAME",
+    "SOURCE_DATABASE",
+    "SOURCE_TABLE",
+    "TARGET_PATH",
+    "TARGET_DATABASE",
+    "TARGET_TABLE",
+)
+
 
 @dataclass(frozen=True)
 class CurateRules:
@@ -36,6 +46,9 @@ class CurateRules:
     keys: tuple[str, ...] = CUSTOMER_KEYS
     stamp: str = STAMP_COLUMN
 
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "mapping", tuple(FieldMapping(*m) for m in self.mapping))
+
     @property
     def raw_columns(self) -> tuple[str, ...]:
         return tuple(m.source for m in self.mapping)
@@ -108,16 +121,9 @@ class JobConfig:
     rules: CurateRules = CurateRules()
 
     def __post_init__(self) -> None:
-        for name in (
-            "job_name",
-            "source_database",
-            "source_table",
-            "target_path",
-            "target_database",
-            "target_table",
-        ):
-            if not getattr(self, name):
-                raise ValueError(f"argument {name} must not be empty")
+        empty = [name for name in REQUIRED_ARGUMENTS if not getattr(self, name.lower())]
+        if empty:
+            raise ValueError(f"arguments must not be empty: {empty}")
         if self.bookmark and not self.state_path:
             raise ValueError("a bookmarked job needs state_path, shared storage for its progress")
 
@@ -147,14 +153,7 @@ class JobConfig:
     def from_arguments(cls, argv: Sequence[str]) -> JobConfig:
         """Parse ``--NAME value`` job arguments; unknown arguments are ignored."""
         parser = argparse.ArgumentParser(prog="weirline", allow_abbrev=False)
-        for name in (
-            "JOB_NAME",
-            "SOURCE_DATABASE",
-            "SOURCE_TABLE",
-            "TARGET_PATH",
-            "TARGET_DATABASE",
-            "TARGET_TABLE",
-        ):
+        for name in REQUIRED_ARGUMENTS:
             parser.add_argument(f"--{name}", required=True)
         parser.add_argument("--STATE_PATH")
         parser.add_argument("--CLEANED_PATH")
@@ -168,12 +167,7 @@ class JobConfig:
         )
         args, _ = parser.parse_known_args(list(argv))
         return cls(
-            job_name=args.JOB_NAME,
-            source_database=args.SOURCE_DATABASE,
-            source_table=args.SOURCE_TABLE,
-            target_path=args.TARGET_PATH,
-            target_database=args.TARGET_DATABASE,
-            target_table=args.TARGET_TABLE,
+            **{name.lower(): getattr(args, name) for name in REQUIRED_ARGUMENTS},
             bookmark=args.bookmark == "job-bookmark-enable",
             state_path=args.STATE_PATH,
             cleaned_path=args.CLEANED_PATH,

@@ -639,7 +639,7 @@ EVENT_RULES = CurateRules(
     dates=(),
     keys=("event_id",),
 )
-_EVENT_COLUMNS = tuple(m[0] for m in EVENT_RULES.mapping)
+_EVENT_COLUMNS = EVENT_RULES.raw_columns
 
 
 def _ingest_events(spark: SparkSession, sf_dir: str, workspace: str) -> tuple[DataFrame, list[int]]:

@@ -2,39 +2,43 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A directory part such as ``/year=2026`` and the run of them before the file name.
-_PARTITION_RUN = r"((?:/[^/=]+=[^/]*)+)/[^/]+$"
-_PARTITION_KEY = r"/([^/=]+)="
+# A run of directory parts such as ``year=2026`` that ends before the file name.
+_PARTITION_RUN = r"(?:^|/)((?:[^/=]+=[^/]*/)+)[^/]+$"
+_PARTITION_KEY = r"(?:^|/)([^/=]+)="
+_SCHEME_AND_AUTHORITY = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?")
+
+
+def _below(path: Column, location: str) -> Column:
+    """What follows ``location`` in a path, whichever way either names the storage."""
+    inner = _SCHEME_AND_AUTHORITY.sub("", location).rstrip("/") + "/"
+    return F.substr(path, F.instr(path, inner) + F.lit(len(inner)))
 
 
 def list_files(spark: SparkSession, location: str, pattern: str = "*") -> DataFrame:
-    """``path, modificationTime, length`` of every file below ``location``.
+    """``path, modificationTime, length, partition`` of every file below ``location``.
 
-    The file content is never selected, so Spark opens no file; large listings
-    are made by tasks in parallel.
+    ``partition`` is the part such as ``year=2026/month=04`` of the path below the
+    location, and empty where there is none. The file content is never selected,
+    so Spark opens no file; large listings are made by tasks in parallel.
     """
-    return (
+    files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .load(location)
-        .select("path", "modificationTime", "length")
     )
-
-
-def partition_path(path: str | Column) -> Column:
-    """The ``year=2026/month=04`` part of a file path; empty where there is none."""
-    return F.ltrim(F.regexp_extract(path, _PARTITION_RUN, 1), F.lit("/"))
+    partition = F.rtrim(F.regexp_extract(_below(F.col("path"), location), _PARTITION_RUN, 1), F.lit("/"))
+    return files.select("path", "modificationTime", "length", partition.alias("partition"))
 
 
 def partition_columns(files: DataFrame) -> list[str]:
     """Names of the partition columns, from the directories of a listing."""
-    keys = F.regexp_extract_all(
-        F.concat(F.lit("/"), partition_path("path")), F.lit(_PARTITION_KEY), F.lit(1)
-    )
+    keys = F.regexp_extract_all("partition", F.lit(_PARTITION_KEY), F.lit(1))
     found = [r.keys for r in files.select(keys.alias("keys")).distinct().limit(2).collect()]
     if len(found) > 1:
         raise ValueError(f"files lie at different partition depths: {found}")

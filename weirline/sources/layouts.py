@@ -17,7 +17,7 @@ from weirline.functions import field
 from weirline.sources.files import partition_columns
 from weirline.sources.scans import scan_raw_csv
 
-HEADER_SCHEMA = "path string, modificationTime timestamp, length bigint, header string"
+HEADER_SCHEMA = "path string, modificationTime timestamp, length bigint, partition string, header string"
 
 # More different headers than this under one prefix is not one set of tables.
 # It bounds what the driver holds, and passing it is an error, not a cut.
@@ -133,7 +133,7 @@ def _headers_by_scanning(spark: SparkSession, files: DataFrame, location: str, p
     normal = F.regexp_replace("path", r"^file:/+", "file:/")
     joined = files.withColumn("k", normal).join(first.select(normal.alias("k"), "header"), "k")
     header = F.regexp_replace(F.regexp_replace("header", "^﻿", ""), "\r$", "")
-    return joined.select("path", "modificationTime", "length", header.alias("header"))
+    return joined.select(*files.columns, header.alias("header"))
 
 
 def file_headers(
