@@ -3,6 +3,7 @@ from datetime import date
 
 import pytest
 from conftest import CLEAN, PARTITIONS, drop
+from pyspark.sql import Observation
 
 from weirline.catalog import create_database, register_partitions, register_raw_table
 from weirline.config import CurateRules, JobConfig, LakeNames
@@ -131,11 +132,12 @@ def test_adaptive_execution_splits_a_hot_value(spark, tmp_path):
     before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
     try:
-        append_parquet(rows, str(tmp_path / "c"), ["region"])
+        written = Observation()
+        append_parquet(rows, str(tmp_path / "c"), ["region"], written=written)
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
     assert len(list((tmp_path / "c" / "region=hot").glob("*.parquet"))) > 3
-    assert scan_parquet(spark, str(tmp_path / "c")).count() == 300000
+    assert scan_parquet(spark, str(tmp_path / "c")).count() == written.get["rows"] == 300000
 
 
 def test_table_gains_columns_and_keeps_types(spark, tmp_path, database):

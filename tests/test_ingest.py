@@ -6,10 +6,10 @@ from conftest import CLEAN, HEADER, PARTITIONS, drop
 
 from weirline.catalog import create_database, register_raw_table
 from weirline.config import CurateRules, JobConfig, LakeNames
-from weirline.operators import grouped_count
-from weirline.plans import curate_counted, run_arrivals
+from weirline.operators import grouped_count, observe_rows
+from weirline.plans import curate, run_arrivals
 from weirline.sources import scan_parquet
-from weirline.streaming import DiscoveryFailed, ingest_into, raw_stream
+from weirline.streaming import RAW_ROWS, DiscoveryFailed, ingest_into, raw_stream
 
 RULES = CurateRules()
 
@@ -24,7 +24,7 @@ class Ingest:
 
     def run(self, **options):
         stream = raw_stream(self.spark, str(self.raw), RULES.raw_columns, PARTITIONS, **options)
-        return ingest_into(curate_counted(stream, RULES), self.checkpoint, self.out, ["region"])
+        return ingest_into(curate(observe_rows(stream, RAW_ROWS), RULES), self.checkpoint, self.out, ["region"])
 
     def rows(self):
         return scan_parquet(self.spark, self.out)

@@ -31,6 +31,6 @@ def observe_rows(df: DataFrame, observation: Observation | str) -> DataFrame:
     The number arrives with the action that runs the plan. It is exact where no
     shuffle follows. Upstream of a shuffle, a map stage that Spark reruns after
     losing an executor adds its rows again; write with ``rebalance=False``, or
-    use ``row_counts``, where the figure must be exact even then.
+    use ``row_counts``, where such a figure must be exact even then.
     """
     return df.observe(observation, F.count(F.lit(1)).alias("rows"))

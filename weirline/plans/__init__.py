@@ -1,12 +1,11 @@
 from weirline.plans.analyst import answer
 from weirline.plans.arrival import RunReport, run_arrivals
-from weirline.plans.curate import curate, curate_counted, run_batch
+from weirline.plans.curate import curate, run_batch
 
 __all__ = [
     "RunReport",
     "answer",
     "curate",
-    "curate_counted",
     "run_arrivals",
     "run_batch",
 ]

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weirline.catalog import deleted_partitions, describe_raw_table, discover, update_raw_table
 from weirline.config import JobConfig
-from weirline.plans.curate import curate_counted
+from weirline.operators import observe_rows
+from weirline.plans.curate import curate
 from weirline.streaming.gate import require_layouts
-from weirline.streaming.ingest import RunCounts, ingest_into, raw_stream
+from weirline.streaming.ingest import RAW_ROWS, RunCounts, ingest_into, raw_stream
 
 
 @dataclass(frozen=True)
@@ -41,7 +42,7 @@ def run_arrivals(spark: SparkSession, config: JobConfig) -> RunReport:
     one_layout = all(list(x.columns) == reading for x in found.layouts)
 
     def stream() -> DataFrame:
-        return raw_stream(
+        arrived = raw_stream(
             spark,
             location,
             reading,
@@ -51,9 +52,10 @@ def run_arrivals(spark: SparkSession, config: JobConfig) -> RunReport:
             config.max_files,
             config.max_bytes,
         )
+        return observe_rows(arrived, RAW_ROWS)
 
     counts = ingest_into(
-        curate_counted(stream(), config.rules),
+        curate(stream(), config.rules),
         f"{config.state_path}/curated",
         config.target_path,
         config.partition_keys,
@@ -63,7 +65,7 @@ def run_arrivals(spark: SparkSession, config: JobConfig) -> RunReport:
     cleaned = None
     if config.cleaned_path:
         cleaned = ingest_into(
-            curate_counted(stream(), config.rules, config.cleaned_partition_keys),
+            curate(stream(), config.rules, config.cleaned_partition_keys),
             f"{config.state_path}/cleaned",
             config.cleaned_path,
             config.cleaned_partition_keys,

@@ -36,17 +36,6 @@ def curate(raw: DataFrame, rules: CurateRules, carry: Sequence[str] = ()) -> Dat
     return drop_missing(df, rules.keys)
 
 
-def curate_counted(
-    raw: DataFrame,
-    rules: CurateRules,
-    carry: Sequence[str] = (),
-    raw_rows: Observation | str = "raw",
-    clean_rows: Observation | str = "clean",
-) -> DataFrame:
-    """``curate`` with the rows before and after counted as they pass."""
-    return observe_rows(curate(observe_rows(raw, raw_rows), rules, carry), clean_rows)
-
-
 def run_batch(spark: SparkSession, config: JobConfig) -> RunCounts:
     """Curate the whole source table and append it to the target.
 
@@ -57,8 +46,8 @@ def run_batch(spark: SparkSession, config: JobConfig) -> RunCounts:
         raise ValueError("a bookmarked job is run by run_arrivals; its target must not get other writes")
     source = scan_table(spark, config.source)
     raw_rows, clean_rows = Observation(), Observation()
-    curated = curate_counted(source, config.rules, (), raw_rows, clean_rows)
-    append_to_table(curated, config.target, config.target_path, config.partition_keys, config.rebalance)
+    curated = curate(observe_rows(source, raw_rows), config.rules)
+    append_to_table(curated, config.target, config.target_path, config.partition_keys, config.rebalance, clean_rows)
     if config.cleaned_path:
         cleaned = curate(source, config.rules, config.cleaned_partition_keys)
         append_parquet(cleaned, config.cleaned_path, config.cleaned_partition_keys, config.rebalance)

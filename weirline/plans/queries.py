@@ -31,6 +31,7 @@ from weirline.operators import (
     grouped_count,
     keys_present,
     make_columns,
+    observe_rows,
     replace_column,
     resolve_choice,
     row_counts,
@@ -47,7 +48,7 @@ from weirline.operators.governance import (
 )
 from weirline.plans.analyst import answer
 from weirline.plans.arrival import run_arrivals
-from weirline.plans.curate import curate, curate_counted, run_batch
+from weirline.plans.curate import curate, run_batch
 from weirline.scratch import new_workspace
 from weirline.sinks import ResultStore, append_parquet, append_to_table, spread_for_partitions
 from weirline.sources import (
@@ -59,7 +60,7 @@ from weirline.sources import (
     scan_raw_csv,
     scan_table,
 )
-from weirline.streaming import DiscoveryFailed, ingest_into, raw_stream
+from weirline.streaming import RAW_ROWS, DiscoveryFailed, ingest_into, raw_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -286,8 +287,8 @@ def raw_clean_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both counts from the write itself."""
     workspace = new_workspace(spark, "raw-clean-counts")
     raw_rows, clean_rows = Observation(), Observation()
-    counted = curate_counted(_raw_customers(spark, sf_dir, workspace), RULES, (), raw_rows, clean_rows)
-    append_parquet(counted, f"{workspace}/curated/customers", ["region"])
+    raw = observe_rows(_raw_customers(spark, sf_dir, workspace), raw_rows)
+    append_parquet(curate(raw, RULES), f"{workspace}/curated/customers", ["region"], written=clean_rows)
     return spark.createDataFrame(
         [(raw_rows.get["rows"], clean_rows.get["rows"])], "raw_rows bigint, clean_rows bigint"
     )
@@ -650,8 +651,8 @@ def _ingest_events(spark: SparkSession, sf_dir: str, workspace: str) -> tuple[Da
     first_half = field("ts") < "2024-01-16"
 
     def run() -> int:
-        stream = curate_counted(raw_stream(spark, location, _EVENT_COLUMNS), EVENT_RULES)
-        return ingest_into(stream, state, f"{workspace}/curated/events", ["event_type"], table).raw_rows
+        stream = observe_rows(raw_stream(spark, location, _EVENT_COLUMNS), RAW_ROWS)
+        return ingest_into(curate(stream, EVENT_RULES), state, f"{workspace}/curated/events", ["event_type"], table).raw_rows
 
     _drop_csv(events.where(first_half), location)
     rows = [run(), run()]

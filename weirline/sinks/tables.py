@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weirline.catalog import add_new_columns, fit_to_table
 from weirline.functions import field
+from weirline.operators.counts import observe_rows
 
 _COMPRESSION = "snappy"
 _SALT = "__weirline_salt"
@@ -42,20 +43,42 @@ def spread_for_partitions(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumn(_SALT, salt).repartition(partitions, *columns, field(_SALT)).drop(_SALT)
 
 
-def append_parquet(df: DataFrame, location: str, keys: Sequence[str] = (), rebalance: bool = True) -> None:
-    """Append files. Without ``rebalance`` nothing is shuffled: each task writes
-    one file per partition value it meets, which suits few values and large tasks.
+def prepare_write(
+    df: DataFrame, keys: Sequence[str], rebalance: bool = True, written: Observation | str | None = None
+) -> DataFrame:
+    """Spread rows for a partitioned write, and count them last of all.
+
+    Counted after the shuffle, each row written is counted once, whichever tasks
+    Spark has to run again.
     """
     if rebalance:
         df = spread_for_partitions(df, keys)
-    writer = df.write.mode("append").option("compression", _COMPRESSION)
+    return df if written is None else observe_rows(df, written)
+
+
+def append_parquet(
+    df: DataFrame,
+    location: str,
+    keys: Sequence[str] = (),
+    rebalance: bool = True,
+    written: Observation | None = None,
+) -> None:
+    """Append files. Without ``rebalance`` nothing is shuffled: each task writes
+    one file per partition value it meets, which suits few values and large tasks.
+    """
+    writer = prepare_write(df, keys, rebalance, written).write.mode("append").option("compression", _COMPRESSION)
     if keys:
         writer = writer.partitionBy(*keys)
     writer.parquet(location)
 
 
 def append_to_table(
-    df: DataFrame, table: str, location: str | None = None, keys: Sequence[str] = (), rebalance: bool = True
+    df: DataFrame,
+    table: str,
+    location: str | None = None,
+    keys: Sequence[str] = (),
+    rebalance: bool = True,
+    written: Observation | None = None,
 ) -> None:
     """Append and update the catalog: create the table, or add what it lacks.
 
@@ -67,9 +90,8 @@ def append_to_table(
     if spark.catalog.tableExists(table):
         add_new_columns(spark, table, df.schema)
         df = fit_to_table(df, spark.table(table).schema)
-    if rebalance:
-        df = spread_for_partitions(df, keys)
-    writer = df.write.format("parquet").mode("append").option("compression", _COMPRESSION)
+    writer = prepare_write(df, keys, rebalance, written).write.format("parquet").mode("append")
+    writer = writer.option("compression", _COMPRESSION)
     if keys:
         writer = writer.partitionBy(*keys)
     if location is not None:

@@ -1,4 +1,4 @@
 from weirline.streaming.gate import DiscoveryFailed, require_layouts
-from weirline.streaming.ingest import RunCounts, ingest_into, raw_stream
+from weirline.streaming.ingest import RAW_ROWS, RunCounts, ingest_into, raw_stream
 
-__all__ = ["DiscoveryFailed", "RunCounts", "ingest_into", "raw_stream", "require_layouts"]
+__all__ = ["RAW_ROWS", "DiscoveryFailed", "RunCounts", "ingest_into", "raw_stream", "require_layouts"]

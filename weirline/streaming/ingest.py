@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from weirline.sinks.tables import spread_for_partitions
+from weirline.sinks.tables import prepare_write
 from weirline.sources.scans import raw_csv_options, text_schema
 
 # Spark's own default forgets files a week older than the newest one and would
@@ -18,6 +18,10 @@ MAX_FILE_AGE = "36500d"
 
 _POLL_SECONDS = 5
 
+# Names under which a run's progress reports its row counts.
+RAW_ROWS = "raw"
+_CLEAN_ROWS = "clean"
+
 
 @dataclass(frozen=True)
 class RunCounts:
@@ -66,8 +70,8 @@ def _drain(query: StreamingQuery) -> RunCounts:
         finished = query.awaitTermination(_POLL_SECONDS)
         for progress in query.recentProgress:
             metrics = progress.observedMetrics
-            if "raw" in metrics and "clean" in metrics:
-                rows[progress.batchId] = (metrics["raw"].rows, metrics["clean"].rows)
+            if RAW_ROWS in metrics and _CLEAN_ROWS in metrics:
+                rows[progress.batchId] = (metrics[RAW_ROWS].rows, metrics[_CLEAN_ROWS].rows)
     return RunCounts(sum(r for r, _ in rows.values()), sum(c for _, c in rows.values()), len(rows))
 
 
@@ -81,15 +85,14 @@ def ingest_into(
 ) -> RunCounts:
     """Write what is new to Parquet at ``location``, then stop.
 
-    ``curated`` is a streaming frame with ``raw`` and ``clean`` row counts
-    observed on it. The sink's own log lists the files of committed batches, so a
+    ``curated`` is a streaming frame on which the rows read are observed under
+    the name ``RAW_ROWS``. The sink's own log lists the files of committed batches, so a
     batch that is run again after a crash is not seen twice. With ``table`` the
     location is also a catalog table. The folder belongs to this one stream.
     """
-    if rebalance:
-        curated = spread_for_partitions(curated, keys)
     writer = (
-        curated.writeStream.format("parquet")
+        prepare_write(curated, keys, rebalance, _CLEAN_ROWS)
+        .writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .option("compression", "snappy")
