@@ -19,7 +19,7 @@ def main(argv: list[str]) -> None:
         report = run_arrivals(spark, config)
         counts = report.counts
         if report.deleted is not None:
-            for row in report.deleted.toLocalIterator():
+            for row in report.deleted.collect():
                 print(f"partition without files: {row.partition}")
     else:
         counts = run_batch(spark, config)

@@ -208,7 +208,7 @@ def _layout_paths(found: Discovery) -> dict[str, list[str]]:
     whole = kinds.where("low = high").select(F.col("low").alias("header"), F.col("directory").alias("path"))
     mixed = placed.join(kinds.where("low <> high").select("directory"), "directory", "left_semi")
     paths: dict[str, list[str]] = {}
-    for row in whole.union(mixed.select("header", "path")).toLocalIterator():
+    for row in whole.union(mixed.select("header", "path")).collect():
         paths.setdefault(row.header, []).append(row.path)
     return paths
 
