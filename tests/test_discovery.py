@@ -135,6 +135,7 @@ def test_reordered_headers_in_one_folder(spark, tmp_path):
     assert len(group_compatible(d.layouts)) == 1
     df = read_layouts(spark, d)
     got = {(r.a, r.b, r.c, r.month) for r in df.collect()}
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
     assert got == {("1", "2", None, "04"), ("3", "4", None, "04"), ("10", "20", None, "04"), ("100", "200", "300", "05")}
 
 

@@ -36,6 +36,8 @@ REQUIRED_ARGUMENTS = (
     "TARGET_TABLE",
 )
 
+DEFAULT_MAX_BYTES = 1 << 40
+
 
 @dataclass(frozen=True)
 class CurateRules:
@@ -99,7 +101,8 @@ class JobConfig:
     A bookmarked job takes each raw file once and keeps its progress under
     ``state_path``; any other job curates the whole table on every run.
     With ``added_columns``, raw files may have columns after the known ones.
-    ``max_files`` or ``max_bytes`` cut a large backlog into several commits.
+    ``max_bytes`` cuts a large backlog into several commits, so that a failure
+    repeats no more than one of them; ``max_files``, where set, does so instead.
     """
 
     job_name: str
@@ -117,7 +120,7 @@ class JobConfig:
     raw_pattern: str = "*.csv"
     added_columns: bool = False
     max_files: int | None = None
-    max_bytes: int | None = None
+    max_bytes: int | None = DEFAULT_MAX_BYTES
     rules: CurateRules = CurateRules()
 
     def __post_init__(self) -> None:
@@ -157,7 +160,7 @@ class JobConfig:
             parser.add_argument(f"--{name}", required=True)
         parser.add_argument("--STATE_PATH")
         parser.add_argument("--CLEANED_PATH")
-        parser.add_argument("--MAX_BYTES", type=int)
+        parser.add_argument("--MAX_BYTES", type=int, default=DEFAULT_MAX_BYTES)
         parser.add_argument("--PARTITION_KEYS", default=",".join(RAW_PARTITIONS))
         parser.add_argument(
             "--job-bookmark-option",

@@ -50,7 +50,7 @@ def run_arrivals(spark: SparkSession, config: JobConfig) -> RunReport:
             one_layout,
             config.raw_pattern,
             config.max_files,
-            config.max_bytes,
+            config.max_bytes if config.max_files is None else None,
         )
         return observe_rows(arrived, RAW_ROWS)
 

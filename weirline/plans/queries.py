@@ -403,6 +403,7 @@ def orders_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Governance.
 
 _LIMITED_COLUMNS = ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+_NOT_SENSITIVE = tuple(c for c in RULES.raw_columns if c != "ssn")
 
 
 def _rules() -> AccessRules:
@@ -412,7 +413,7 @@ def _rules() -> AccessRules:
             Policy("columns", "customer", _LIMITED_COLUMNS),
             Policy("rows", "customer", None, "c_mktsegment = 'BUILDING'"),
             Policy("cells", "customer", _LIMITED_COLUMNS, "c_mktsegment = 'BUILDING' AND c_acctbal > 0"),
-            Policy("cells", "curated_customers", tuple(c for c in RULES.raw_columns if c != "ssn"), "region = 'BUILDING'"),
+            Policy("cells", "curated_customers", _NOT_SENSITIVE, "region = 'BUILDING'"),
         ],
         tag_policies=[TagPolicy("tagged", frozenset({"public", "internal"}))],
         tags=[
@@ -652,7 +653,8 @@ def _ingest_events(spark: SparkSession, sf_dir: str, workspace: str) -> tuple[Da
 
     def run() -> int:
         stream = observe_rows(raw_stream(spark, location, _EVENT_COLUMNS), RAW_ROWS)
-        return ingest_into(curate(stream, EVENT_RULES), state, f"{workspace}/curated/events", ["event_type"], table).raw_rows
+        curated = curate(stream, EVENT_RULES)
+        return ingest_into(curated, state, f"{workspace}/curated/events", ["event_type"], table).raw_rows
 
     _drop_csv(events.where(first_half), location)
     rows = [run(), run()]

@@ -46,8 +46,8 @@ def raw_stream(
     """Files that arrive below ``location``, as text columns.
 
     A file is taken once, by name: one rewritten under the same name is not read
-    again. ``max_files`` or ``max_bytes`` bound a micro-batch; a first run over a
-    large backlog then commits its progress along the way.
+    again. Either ``max_files`` or ``max_bytes`` bounds a micro-batch; a first run
+    over a large backlog then commits its progress along the way.
     """
     reader = (
         spark.readStream.schema(text_schema([*columns, *partition_columns]))
