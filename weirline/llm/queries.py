@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, language, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": language.report,
+    "op6_secret_scans": secrets.report,
     "op9_benchmark_decontamination": decontaminate.report,
 }
 
