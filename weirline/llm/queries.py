@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, secrets
+from . import decontaminate, language, secrets, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": language.report,
+    "op5_token_files": token_files.report,
     "op6_secret_scans": secrets.report,
     "op9_benchmark_decontamination": decontaminate.report,
 }
