@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, prefix_forest, secrets, token_files
+from . import decontaminate, language, prefix_forest, secrets, surrogates, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "op5_token_files": token_files.report,
     "op6_secret_scans": secrets.report,
     "op7_nearest_neighbours": prefix_forest.report,
+    "op8_pii_surrogates": surrogates.report,
     "op9_benchmark_decontamination": decontaminate.report,
 }
 
