@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, prefix_forest, secrets, surrogates, token_files
+from . import decontaminate, language, near_join, prefix_forest, secrets, surrogates, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": language.report,
+    "op3_ngram_jaccard_join": near_join.report,
     "op5_token_files": token_files.report,
     "op6_secret_scans": secrets.report,
     "op7_nearest_neighbours": prefix_forest.report,
