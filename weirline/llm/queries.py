@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, near_join, packing, prefix_forest, secrets, surrogates, token_files
+from . import decontaminate, language, near_join, packing, prefix_forest, recompression, secrets, surrogates, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": language.report,
+    "op2_substring_dedup": recompression.report,
     "op3_ngram_jaccard_join": near_join.report,
     "op4_best_fit_packing": packing.report,
     "op5_token_files": token_files.report,
