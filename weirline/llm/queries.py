@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, near_join, packing, prefix_forest, recompression, secrets, surrogates, token_files
+from . import decontaminate, language, near_join, packing, prefix_forest, recompression, secrets, suffix_arrays, surrogates, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ QUERIES: dict[str, Query] = {
     "op7_nearest_neighbours": prefix_forest.report,
     "op8_pii_surrogates": surrogates.report,
     "op9_benchmark_decontamination": decontaminate.report,
+    "op10_suffix_array_dedup": suffix_arrays.report,
 }
 
 ORACLE: dict[str, str] = {}

@@ -183,24 +183,12 @@ def _kept_words(texts: pa.Array, first: np.ndarray, starts: np.ndarray, ends: np
     return [whole[a : max(a, b - 1)] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
-def _whole_hash(words: np.ndarray, first: np.ndarray, seed: int) -> np.ndarray:
-    """A hash of each text's words in order."""
-    n = np.diff(first)
-    result = np.zeros(len(n), np.uint64)
-    some = np.flatnonzero(n)
-    if len(some):
-        place = (np.arange(len(words)) - np.repeat(first[:-1], n)).astype(np.uint64)
-        result[some] = np.add.reduceat(mix(words ^ mix(place, seed), seed + 1), first[:-1][some])
-    return result
-
-
 def _describe(length: int, rounds: int):
     def describe(texts: pa.Array):
         words, first, starts, ends = words_of(texts)
         anchors = window_anchors(words, first, length, rounds)
         kept = _kept_words(texts, first, starts, ends, np.zeros(len(words), bool))
-        high, low = _whole_hash(words, first, 11), _whole_hash(words, first, 13)
-        return np.diff(first), high, low, anchors.counts, anchors.name, kept
+        return np.diff(first), anchors.counts, anchors.name, kept
 
     return describe
 

@@ -13,6 +13,7 @@ other classes. So no group of copies is ever compared with itself, however large
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,28 +21,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ragged, sha256_of, text_chunks
+from .common import materialise, ragged, text_chunks
 
-#: Of a batch of texts: sizes, two hashes of each whole, names of anchors (how many, all in order), what is kept if all is.
-Describe = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]
+#: Of a batch of texts: sizes, anchors of each, names of all anchors in order, and what is kept of each if all is.
+Describe = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]
 
 _PRINT = "doc_id bigint, tie bigint, n bigint, high bigint, low bigint, names array<bigint>, sha256 string"
 
 
+def digests(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The first 128 bits of each part's SHA-256 as two numbers, and all of it in hex."""
+    full = [hashlib.sha256(p).digest() for p in parts]
+    numbers = np.frombuffer(b"".join(d[:16] for d in full), np.int64).reshape(-1, 2)
+    return numbers[:, 0].copy(), numbers[:, 1].copy(), [d.hex() for d in full]
+
+
 def describe_documents(docs: DataFrame, describe: Describe, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """The documents as doc_id, tie, text; and a row for each with its size, class and anchors, written."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text"):
-            n, high, low, counts, names, kept = describe(batch["text"])
+            n, counts, names, kept = describe(batch["text"])
+            high, low, hexed = digests(kept)
             columns = [
                 batch["doc_id"],
                 batch["tie"],
                 pa.array(n.astype(np.int64)),
-                pa.array(high.view(np.int64)),
-                pa.array(low.view(np.int64)),
+                pa.array(high),
+                pa.array(low),
                 ragged(names.view(np.int64), counts),
-                pa.array(sha256_of(kept)),
+                pa.array(hexed),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "n", "high", "low", "names", "sha256"])
 
@@ -57,7 +66,6 @@ def candidates(named: DataFrame, prints: DataFrame, length: int) -> tuple[DataFr
     These are a row for each class: cls, copies, text and ``shared``, the numbers of
     its anchors whose names stand elsewhere. Both are written.
     """
-    # One more anchor than there are windows cannot be: texts without a window have no anchors.
     classes = prints.where(F.col("n") >= length).groupBy("high", "low").agg(
         F.min(F.struct("doc_id", "tie")).alias("row"), F.count("*").alias("copies"), F.first("names").alias("names")
     )
