@@ -25,18 +25,26 @@ def test_names_come_from_the_prefix():
 
 def test_arguments():
     config = JobConfig.from_arguments([*ARGUMENTS, "--extra", "ignored"])
-    assert config.source == "db.customers" and config.target == "db.curated_customers" and not config.bookmark
+    assert config.source == "db.customers" and config.target == "db.curated_customers" and config.bookmark
     with_state = JobConfig.from_arguments(
         [*ARGUMENTS, "--job-bookmark-option", "job-bookmark-enable", "--STATE_PATH", "/s", "--PARTITION_KEYS", "y, m"]
     )
     assert with_state.bookmark and with_state.cleaned_partition_keys == ("y", "m")
+    once = JobConfig.from_arguments([*ARGUMENTS, "--job-bookmark-option", "job-bookmark-disable"])
+    assert not once.bookmark and once.state_path is None
+
+
+def test_arguments_from_a_prefix():
+    config = JobConfig.from_arguments(["--PREFIX", "acme", "--ROOT", "/lake", "--ADDED_COLUMNS", "--NO_REBALANCE"])
+    assert config.source == "acme_database.customers" and config.target_path == "/lake/curated/customers"
+    assert config.cleaned_path == "/lake/cleaned/customers" and config.state_path == "/lake/state/acme_etl"
+    assert config.bookmark and config.added_columns and not config.rebalance and config.raw_pattern == "*"
 
 
 def test_refused_arguments():
     with pytest.raises(SystemExit):
         JobConfig.from_arguments(ARGUMENTS[:-2])
-    with pytest.raises(ValueError):
-        JobConfig.from_arguments([*ARGUMENTS, "--job-bookmark-option", "job-bookmark-enable"])
+    assert JobConfig.from_arguments(ARGUMENTS).state_path == "/c.state"
     with pytest.raises(ValueError):
         JobConfig("j", "db", "", "/c", "db", "t", bookmark=False)
 
@@ -68,7 +76,8 @@ def test_a_cluster_must_name_its_shared_folder():
     with pytest.raises(ValueError):
         shared_folder(_Session(spark_master="yarn"))
     assert shared_folder(_Session(spark_master="yarn", spark_checkpoint_dir="hdfs://n/c/")) == "hdfs://n/c"
-    assert shared_folder(_Session(spark_master="local[2]")).startswith("file:/")
+    local = _Session(**{"spark_master": "local[2]", "spark_sql_warehouse.dir": "file:/w/"})
+    assert shared_folder(local) == "file:/w"
 
 
 def test_results_stay_below_their_root(spark, tmp_path):

@@ -10,6 +10,7 @@ from weirline.config import CurateRules, JobConfig, LakeNames
 from weirline.operators import grouped_count
 from weirline.plans import curate, run_arrivals, run_batch
 from weirline.sinks import append_parquet, append_to_table
+from weirline.streaming import DiscoveryFailed
 from weirline.sources import scan_parquet, scan_raw_csv
 
 RULES = CurateRules()
@@ -180,9 +181,16 @@ def test_batch_job(spark, tmp_path, database):
 def test_batch_job_fails_on_a_reordered_file(spark, tmp_path, database):
     config, root = lake(spark, tmp_path, database, bookmark=False)
     drop(root, "a.csv", ["A,1,B,e,s,r,2023-01-01,1"], "first_name,customer_id,last_name,email,ssn,region,signup_date,annual_spend")
-    register_partitions(spark, config.source)
-    with pytest.raises(Exception, match="header"):
+    with pytest.raises(DiscoveryFailed, match="header"):
         run_batch(spark, config)
+    assert not spark.catalog.tableExists(config.target)
+
+
+def test_batch_job_without_files(spark, tmp_path, database):
+    config, root = lake(spark, tmp_path, database, bookmark=False)
+    root.mkdir(parents=True)
+    report = run_batch(spark, config)
+    assert (report.raw_rows, report.clean_rows) == (0, 0) and spark.table(config.target).count() == 0
 
 
 def test_batch_and_incremental_jobs_are_kept_apart(spark, tmp_path, database):

@@ -9,6 +9,7 @@ from weirline.catalog import (
     deleted_partitions,
     describe_raw_table,
     discover,
+    register_discovered,
     register_partitions,
     register_raw_table,
     update_raw_table,
@@ -21,9 +22,10 @@ from weirline.sources import (
     list_files,
     partition_columns,
     read_layouts,
+    require_depth,
     scan_parquet,
 )
-from weirline.sources.layouts import Layout, find_layouts, wider_type
+from weirline.sources.layouts import Layout, wider_type
 from weirline.streaming import DiscoveryFailed, require_layouts
 
 
@@ -155,14 +157,54 @@ def test_files_that_came_after_discovery_do_not_bind_by_position(spark, tmp_path
         read_layouts(spark, d).collect()
 
 
-def test_too_many_headers_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr("weirline.sources.layouts.MAX_LAYOUTS", 5)
-    headers = spark.range(6).selectExpr(
-        "concat('p', id) as path", "current_timestamp() as modificationTime", "id as length", "concat('h', id) as header"
-    )
-    with pytest.raises(ValueError):
-        find_layouts(headers)
-    assert len(find_layouts(headers.where("id < 5"))) == 5
+def test_every_visible_file_counts(spark, tmp_path):
+    root = tmp_path / "raw"
+    for name in ("a.csv", "b.CSV", "c.txt", "x/d.csv", "x/y.z/e"):
+        path = root / name
+        drop(path.parent, path.name, ["1"], "a", partition="")
+    (root / "f.csv.gz").write_bytes(gzip.compress(b"a\n1\n"))
+    (root / ".hidden").write_text("b\n2\n")
+    d = found(spark, tmp_path, root)
+    assert d.layouts[0].files == 6 and read_layouts(spark, d).count() == 6
+    drop(root, "other", ["2,3"], "a,b", partition="x")
+    d = found(spark, tmp_path, root)
+    assert sorted(map(tuple, read_layouts(spark, d).collect()), key=str) == [("1", None)] * 6 + [("2", "3")]
+    only = found(spark, tmp_path, root, pattern="*.txt")
+    assert read_layouts(spark, only).count() == 1 and only.pattern == "*.txt"
+
+
+def test_files_beside_the_partitions_are_refused_by_name(spark, tmp_path):
+    root = tmp_path / "raw"
+    drop(root, "a.csv", ["1"], "a")
+    drop(root, "deep.csv", ["1"], "a", partition="year=2026/month=04/more")
+    listed = list_files(spark, str(root))
+    with pytest.raises(ValueError, match="deep.csv"):
+        require_depth(listed, str(root), PARTITIONS)
+    with pytest.raises(ValueError, match="deep.csv"):
+        read_layouts(spark, found(spark, tmp_path, root))
+    require_depth(listed.where("path NOT LIKE '%deep%'"), str(root), PARTITIONS)
+
+
+def test_old_line_ends_and_no_line_end(spark, tmp_path):
+    root = tmp_path / "raw"
+    root.mkdir()
+    (root / "mac.csv").write_bytes(b"a,b\r1,2\r" + b"3,4\r" * 100_000)
+    (root / "none.csv").write_bytes(b"a,c")
+    assert by_file(found(spark, tmp_path, root).headers) == {"mac.csv": "a,b", "none.csv": "a,c"}
+
+
+def test_a_table_from_what_was_discovered(spark, tmp_path, database):
+    root, table = tmp_path / "raw", f"{database}.crawled"
+    drop(root, "a.csv", ["1,x"], "id,name")
+    rows = register_discovered(spark, found(spark, tmp_path, root), table)
+    assert [(r.name, r.type, r.is_partition) for r in rows.collect()] == [
+        ("id", "int", False), ("name", "string", False), ("year", "string", True), ("month", "string", True),
+    ]
+    assert spark.table(table).collect() == [("1", "x", "2026", "04")]
+    drop(root, "b.csv", ["5000000000,y,2.5"], "id,name,spend", partition="year=2026/month=05")
+    rows = register_discovered(spark, found(spark, tmp_path, root), table)
+    assert [r.type for r in rows.collect()][:3] == ["bigint", "string", "double"]
+    assert spark.table(table).columns == ["id", "name", "spend", "year", "month"]
 
 
 def test_inferred_types(spark, tmp_path):
@@ -250,9 +292,11 @@ def test_raw_table_follows_the_headers(spark, tmp_path, database):
     drop(root, "b.csv", ["3,4,5"], "a,b,c", "year=2026/month=05")
     d = found(spark, tmp_path, root)
     assert update_raw_table(spark, table, [x.columns for x in d.layouts]) == ["c"]
-    df = spark.table(table)
-    assert df.columns == ["a", "b", "c", "year", "month"]
-    assert sorted(map(tuple, df.collect())) == [("1", "2", None, "2026", "04"), ("3", "4", "5", "2026", "05")]
+    assert spark.table(table).columns == ["a", "b", "c", "year", "month"]
+    rows = read_layouts(spark, d).collect()
+    assert sorted(map(tuple, rows)) == [("1", "2", None, "2026", "04"), ("3", "4", "5", "2026", "05")]
+    with pytest.raises(Exception, match="header"):
+        spark.table(table).collect()
     for refused in ([("b", "a")], [("a", "b", "x")]):
         with pytest.raises(ValueError):
             update_raw_table(spark, table, refused)

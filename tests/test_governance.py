@@ -164,15 +164,35 @@ def test_unknown_policy_column(spark, customers):
 
 def test_rules_from_tables(spark, customers):
     policies = spark.createDataFrame(
-        [("alice", "*", None, None), ("bob", "customers", list(VISIBLE), "region = 'us-east-1'")],
-        "principal string, table string, columns array<string>, row_filter string",
+        [
+            ("alice", "*", None, None, ["SELECT", "DESCRIBE"]),
+            ("bob", "customers", list(VISIBLE), "region = 'us-east-1'", ["select"]),
+            ("dan", "customers", None, None, ["DESCRIBE"]),
+            ("eve", "customers", None, None, None),
+        ],
+        "principal string, table string, columns array<string>, row_filter string, permissions array<string>",
+    )
+    tag_policies = spark.createDataFrame(
+        [("tina", ["public"], ["SELECT"])], "principal string, values array<string>, permissions array<string>"
     )
-    tag_policies = spark.createDataFrame([("tina", ["public"])], "principal string, values array<string>")
     tags = spark.createDataFrame([("customers", "email", "public")], "table string, column string, value string")
     rules = AccessRules.from_tables(policies, tag_policies, tags)
     assert govern(spark, rules, "alice", "customers", customers).columns == list(COLUMNS)
     assert govern(spark, rules, "bob", "customers", customers).count() == 2
     assert govern(spark, rules, "tina", "customers", customers).columns == ["email"]
+    assert describe_governed(spark, rules, "dan", "customers", customers).count() == len(COLUMNS)
+    for principal, denied in (("dan", govern), ("eve", govern), ("eve", describe_governed), ("tina", describe_governed)):
+        with pytest.raises(AccessDenied):
+            denied(spark, rules, principal, "customers", customers)
+    with pytest.raises(ValueError):
+        AccessRules.from_tables(policies.drop("permissions"))
+
+
+def test_no_view_is_left_behind(spark, customers):
+    frame = govern(spark, RULES, "bob", "curated_customers", customers)
+    described = describe_governed(spark, RULES, "bob", "curated_customers", customers)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("governed_")]
+    assert frame.count() == 2 and described.count() == len(frame.columns)
 
 
 def test_filters_and_columns_reach_the_scan(spark, customers, tmp_path):

@@ -9,7 +9,7 @@ from weirline.config import CurateRules, JobConfig, LakeNames
 from weirline.operators import grouped_count, observe_rows
 from weirline.plans import curate, run_arrivals
 from weirline.sources import scan_parquet
-from weirline.streaming import RAW_ROWS, DiscoveryFailed, ingest_into, raw_stream
+from weirline.streaming import RAW_ROWS, AcceptedFiles, DiscoveryFailed, ingest_into, raw_stream
 
 RULES = CurateRules()
 
@@ -81,7 +81,20 @@ def test_other_files_are_left_alone(ingest):
     drop(ingest.raw, "a.csv", CLEAN[:1])
     drop(ingest.raw, "notes.txt", ["x"])
     drop(ingest.raw.parent / "elsewhere", "b.csv", CLEAN[1:])
-    assert ingest.run().raw_rows == 1
+    assert ingest.run(pattern="*.csv").raw_rows == 1
+
+
+def test_more_batches_than_progress_entries(ingest, spark):
+    for i, line in enumerate(CLEAN):
+        drop(ingest.raw, f"f{i}.csv", [line])
+    setting = "spark.sql.streaming.numRecentProgressUpdates"
+    spark.conf.set(setting, "2")
+    try:
+        counts = ingest.run(max_files=1)
+        assert spark.conf.get(setting) == "2"
+    finally:
+        spark.conf.unset(setting)
+    assert (counts.raw_rows, counts.clean_rows, counts.batches) == (8, 8, 8)
 
 
 def test_reading_tasks_refuse_a_reordered_file(ingest):
@@ -183,11 +196,59 @@ def test_added_column_when_allowed(spark, tmp_path, database):
     report = lake.run(added_columns=True)
     assert report.new_columns == ["loyalty"] and report.counts.clean_rows == 6
     assert lake.rows().count() == 8 and "loyalty" not in lake.rows().columns
-    assert spark.table(lake.config.source).where("loyalty = 'gold'").count() == 6
-    assert spark.table(lake.config.source).count() == 8
+    assert "loyalty" in spark.table(lake.config.source).columns
+    with pytest.raises(Exception, match="header"):
+        spark.table(lake.config.source).collect()
     assert lake.run(added_columns=True).counts.raw_rows == 0
 
 
+def test_file_after_discovery_waits_for_the_next_run(spark, tmp_path, database, monkeypatch):
+    lake = Lake(spark, tmp_path, database)
+    drop(lake.raw, "a.csv", CLEAN[:2])
+    accept = AcceptedFiles.add
+
+    def late(self, *args):
+        accept(self, *args)
+        drop(lake.raw, "late.csv", ["Z,9,B,e,s,r,2023-01-01,1"], HEADER.replace("customer_id,first_name", "first_name,customer_id"))
+
+    monkeypatch.setattr(AcceptedFiles, "add", late)
+    assert lake.run(added_columns=True).counts.raw_rows == 2
+    monkeypatch.undo()
+    with pytest.raises(DiscoveryFailed, match="late.csv"):
+        lake.run(added_columns=True)
+    assert lake.rows().count() == 2
+
+
+def test_batch_repeated_after_a_crash_is_not_seen_twice(spark, tmp_path, database):
+    lake = Lake(spark, tmp_path, database, cleaned_path=str(tmp_path / "lake" / "cleaned" / "customers"))
+    drop(lake.raw, "a.csv", [*CLEAN, "x,A,B,e,s,r,2023-01-01,1"])
+    first = lake.run(max_files=1)
+    assert (first.counts.raw_rows, first.counts.clean_rows) == (9, 8)
+    commits = os.path.join(lake.config.state_path, "curated", "commits")
+    for name in os.listdir(commits):
+        os.unlink(os.path.join(commits, name))
+    again = lake.run()
+    assert again.counts.raw_rows == 9 and lake.rows().count() == 8
+    assert scan_parquet(spark, lake.config.cleaned_path).count() == 8
+    assert {r.partition.split("/")[0] for r in spark.sql(f"SHOW PARTITIONS {lake.config.target}").collect()} == {
+        "region=us-east-1", "region=us-west-2", "region=eu-west-1", "region=ap-southeast-1",
+    }
+
+
+def test_steps_of_a_backlog(spark, tmp_path, database):
+    lake = Lake(spark, tmp_path, database)
+    for i, line in enumerate(CLEAN):
+        drop(lake.raw, f"f{i}.csv", [line])
+    counts = lake.run(max_files=3).counts
+    assert (counts.raw_rows, counts.batches) == (8, 3)
+    assert lake.run(max_bytes=100).counts.batches == 0
+    for i, line in enumerate(CLEAN):
+        drop(lake.raw, f"g{i}.csv", [line])
+    counts = lake.run(max_bytes=500).counts
+    assert counts.raw_rows == 8 and counts.batches > 1
+    assert lake.rows().count() == 16
+
+
 def test_removed_partition_is_reported(spark, tmp_path, database):
     lake = Lake(spark, tmp_path, database)
     gone = drop(lake.raw, "a.csv", CLEAN[:2])

@@ -19,7 +19,8 @@ def main(argv: list[str]) -> None:
         report = run_arrivals(spark, config)
         counts = report.counts
         if report.deleted is not None:
-            for row in report.deleted.collect():
+            # Printed as they come, a part of the report at a time.
+            for row in report.deleted.toLocalIterator():
                 print(f"partition without files: {row.partition}")
     else:
         counts = run_batch(spark, config)

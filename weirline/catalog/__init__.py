@@ -7,6 +7,7 @@ from weirline.catalog.tables import (
     fit_to_table,
     quoted,
     register_partitions,
+    register_discovered,
     register_raw_table,
     schema_rows,
     update_raw_table,
@@ -21,6 +22,7 @@ __all__ = [
     "discover",
     "fit_to_table",
     "quoted",
+    "register_discovered",
     "register_partitions",
     "register_raw_table",
     "schema_rows",

@@ -26,7 +26,7 @@ class HeaderLedger:
     def _known(self) -> DataFrame:
         return self._spark.read.schema(HEADER_SCHEMA).parquet(self._path)
 
-    def refresh(self, listed: DataFrame, location: str, pattern: str = "*.csv", scan: bool | None = None) -> int:
+    def refresh(self, listed: DataFrame, location: str, pattern: str = "*", scan: bool | None = None) -> int:
         """Look at the listed files that are not known yet; give their number."""
         self._spark.createDataFrame([], HEADER_SCHEMA).write.mode("ignore").parquet(self._path)
         new = listed.join(self._known().select(*_VERSION), _VERSION, "left_anti")
@@ -44,16 +44,22 @@ class HeaderLedger:
 
 
 def discover(
-    spark: SparkSession, location: str, state_path: str, pattern: str = "*.csv", scan: bool | None = None
+    spark: SparkSession,
+    location: str,
+    state_path: str,
+    pattern: str = "*",
+    scan: bool | None = None,
+    listed: DataFrame | None = None,
 ) -> Discovery:
     """Header lines of the files below ``location`` that are not empty.
 
-    The location is listed once, and only files not seen before are opened. They
+    Every visible file counts unless ``pattern`` says otherwise. The location is
+    listed once, or not at all where its listing is given, and only files not seen before are opened. They
     are opened where they are; ``scan`` reads them through Spark instead, which
     is also what happens on storage that only the JVM can reach.
     """
-    listed = list_files(spark, location, pattern).where("length > 0")
+    listed = (list_files(spark, location, pattern) if listed is None else listed).where("length > 0")
     ledger = HeaderLedger(spark, f"{state_path}/headers")
     ledger.refresh(listed, location, pattern, scan)
     headers = ledger.current(listed)
-    return Discovery(location, headers, find_layouts(headers))
+    return Discovery(location, headers, find_layouts(headers), pattern)

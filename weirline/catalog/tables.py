@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from weirline.functions import field
+from weirline.sources.files import partition_columns, require_depth
+from weirline.sources.layouts import Discovery, infer_columns, merged_columns
 
 
 def quoted(name: str) -> str:
@@ -107,8 +109,9 @@ def update_raw_table(spark: SparkSession, table: str, layouts: Sequence[Sequence
     registered; a file without a newer column reads it as null. Files whose
     columns are not the first columns of the table, in table order, are refused
     here, since the table would bind their values to the wrong names; read those
-    with ``weirline.sources.read_layouts``. Once headers differ in length, reading
-    tasks no longer compare them, and this check is the only one.
+    with ``weirline.sources.read_layouts``. The table itself never binds values
+    without comparing headers: a scan of it fails as long as its files' headers
+    differ in length, and ``read_layouts`` reads those too.
     """
     _, columns, partitions = describe_raw_table(spark, table)
     longest = max(layouts, key=len, default=columns)
@@ -118,13 +121,25 @@ def update_raw_table(spark: SparkSession, table: str, layouts: Sequence[Sequence
             raise ValueError(f"files with header {list(layout)} do not fit table columns {merged}")
     added = StructType([StructField(c, StringType()) for c in merged[len(columns) :]])
     new = add_new_columns(spark, table, added)
-    if any(len(layout) != len(merged) for layout in layouts):
-        spark.sql(f"ALTER TABLE {quoted(table)} SET SERDEPROPERTIES ('enforceSchema' = 'true')")
     if partitions:
         register_partitions(spark, table)
     return new
 
 
+def register_discovered(spark: SparkSession, found: Discovery, table: str) -> DataFrame:
+    """Create the table of what was discovered, or bring it up to date; gives its schema as rows.
+
+    The table has text columns, named by the header lines, and the partitions of the
+    folders. The rows tell the types that the values have.
+    """
+    partitions = partition_columns(found.headers)
+    require_depth(found.headers, found.location, partitions)
+    if not spark.catalog.tableExists(table):
+        register_raw_table(spark, table, found.location, merged_columns(found.layouts), partitions)
+    update_raw_table(spark, table, [x.columns for x in found.layouts])
+    return schema_rows(spark, infer_columns(spark, found, partitions), partitions)
+
+
 def _unescaped(partition: str) -> Column:
     """A partition's name without %-escapes, which writers use to different extents."""
     decoded = F.try_url_decode(F.replace(partition, F.lit("+"), F.lit("%2B")))

@@ -36,7 +36,9 @@ REQUIRED_ARGUMENTS = (
     "TARGET_TABLE",
 )
 
-DEFAULT_MAX_BYTES = 1 << 40
+
+def _listed(names: str) -> tuple[str, ...]:
+    return tuple(k.strip() for k in names.split(",") if k.strip())
 
 
 @dataclass(frozen=True)
@@ -101,8 +103,8 @@ class JobConfig:
     A bookmarked job takes each raw file once and keeps its progress under
     ``state_path``; any other job curates the whole table on every run.
     With ``added_columns``, raw files may have columns after the known ones.
-    ``max_bytes`` cuts a large backlog into several commits, so that a failure
-    repeats no more than one of them; ``max_files``, where set, does so instead.
+    ``max_bytes`` or ``max_files`` cut a large backlog into several commits, so that
+    a failure repeats no more than one of them; each commit has its own time stamp.
     """
 
     job_name: str
@@ -117,10 +119,10 @@ class JobConfig:
     partition_keys: tuple[str, ...] = CURATED_PARTITIONS
     cleaned_partition_keys: tuple[str, ...] = RAW_PARTITIONS
     rebalance: bool = True
-    raw_pattern: str = "*.csv"
+    raw_pattern: str = "*"
     added_columns: bool = False
     max_files: int | None = None
-    max_bytes: int | None = DEFAULT_MAX_BYTES
+    max_bytes: int | None = None
     rules: CurateRules = CurateRules()
 
     def __post_init__(self) -> None:
@@ -154,26 +156,54 @@ class JobConfig:
 
     @classmethod
     def from_arguments(cls, argv: Sequence[str]) -> JobConfig:
-        """Parse ``--NAME value`` job arguments; unknown arguments are ignored."""
+        """Parse ``--NAME value`` job arguments; unknown arguments are ignored.
+
+        With ``--PREFIX`` and ``--ROOT`` all names and paths have the defaults of
+        that lake, its cleaned zone included; without them the first six are
+        required. A job is incremental unless told otherwise, and then keeps its
+        state beside its target unless told where.
+        """
         parser = argparse.ArgumentParser(prog="weirline", allow_abbrev=False)
+        lake = argparse.ArgumentParser(add_help=False, allow_abbrev=False)
+        lake.add_argument("--PREFIX")
+        lake.add_argument("--ROOT")
+        lake.add_argument("--TABLE", default="customers")
+        given, argv = lake.parse_known_args(list(argv))
+        defaults: dict[str, str] = {}
+        if given.PREFIX and given.ROOT:
+            names = LakeNames(given.PREFIX, given.ROOT)
+            job = cls.for_lake(names, given.TABLE)
+            defaults = {name: getattr(job, name.lower()) for name in REQUIRED_ARGUMENTS}
+            defaults |= {"STATE_PATH": job.state_path, "CLEANED_PATH": names.cleaned(given.TABLE)}
         for name in REQUIRED_ARGUMENTS:
-            parser.add_argument(f"--{name}", required=True)
-        parser.add_argument("--STATE_PATH")
-        parser.add_argument("--CLEANED_PATH")
-        parser.add_argument("--MAX_BYTES", type=int, default=DEFAULT_MAX_BYTES)
+            parser.add_argument(f"--{name}", required=name not in defaults, default=defaults.get(name))
+        parser.add_argument("--STATE_PATH", default=defaults.get("STATE_PATH"))
+        parser.add_argument("--CLEANED_PATH", default=defaults.get("CLEANED_PATH"))
+        parser.add_argument("--MAX_BYTES", type=int)
+        parser.add_argument("--MAX_FILES", type=int)
         parser.add_argument("--PARTITION_KEYS", default=",".join(RAW_PARTITIONS))
+        parser.add_argument("--CURATED_PARTITION_KEYS", default=",".join(CURATED_PARTITIONS))
+        parser.add_argument("--RAW_PATTERN", default="*")
+        parser.add_argument("--ADDED_COLUMNS", action="store_true")
+        parser.add_argument("--NO_REBALANCE", action="store_true")
         parser.add_argument(
             "--job-bookmark-option",
             dest="bookmark",
             choices=("job-bookmark-enable", "job-bookmark-disable"),
-            default="job-bookmark-disable",
+            default="job-bookmark-enable",
         )
         args, _ = parser.parse_known_args(list(argv))
+        bookmark = args.bookmark == "job-bookmark-enable"
         return cls(
             **{name.lower(): getattr(args, name) for name in REQUIRED_ARGUMENTS},
-            bookmark=args.bookmark == "job-bookmark-enable",
-            state_path=args.STATE_PATH,
+            bookmark=bookmark,
+            state_path=args.STATE_PATH or (args.TARGET_PATH.rstrip("/") + ".state" if bookmark else None),
             cleaned_path=args.CLEANED_PATH,
             max_bytes=args.MAX_BYTES,
-            cleaned_partition_keys=tuple(k.strip() for k in args.PARTITION_KEYS.split(",") if k.strip()),
+            max_files=args.MAX_FILES,
+            raw_pattern=args.RAW_PATTERN,
+            added_columns=args.ADDED_COLUMNS,
+            rebalance=not args.NO_REBALANCE,
+            partition_keys=_listed(args.CURATED_PARTITION_KEYS),
+            cleaned_partition_keys=_listed(args.PARTITION_KEYS),
         )

@@ -13,7 +13,8 @@ that a hidden row exists; guard the storage and the session as well.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -128,21 +129,40 @@ class AccessRules:
     ) -> AccessRules:
         """Read rules kept as tables. These hold a row per policy or tag, not data.
 
-        Columns: ``principal, table, columns array<string>, row_filter``;
-        ``principal, values array<string>``; ``table, column, value``.
+        Columns: ``principal, table, columns array<string>, row_filter, permissions
+        array<string>``; ``principal, values array<string>, permissions array<string>``;
+        ``table, column, value``. A row grants its permissions and no others; null
+        permissions grant nothing.
         """
+        for named in (policies, tag_policies):
+            if named is not None and "permissions" not in named.columns:
+                raise ValueError("a table of policies needs a column permissions")
         return cls(
             [
-                Policy(r.principal, r.table, None if r.columns is None else tuple(r.columns), r.row_filter)
-                for r in (policies.select("principal", "table", "columns", "row_filter").collect() if policies else [])
+                Policy(
+                    r.principal,
+                    r.table,
+                    None if r.columns is None else tuple(r.columns),
+                    r.row_filter,
+                    frozenset(p.upper() for p in r.permissions or ()),
+                )
+                for r in (
+                    policies.select("principal", "table", "columns", "row_filter", "permissions").collect()
+                    if policies is not None
+                    else []
+                )
             ],
             [
-                TagPolicy(r.principal, frozenset(r["values"]))
-                for r in (tag_policies.select("principal", "values").collect() if tag_policies else [])
+                TagPolicy(r.principal, frozenset(r["values"]), frozenset(p.upper() for p in r.permissions or ()))
+                for r in (
+                    tag_policies.select("principal", "values", "permissions").collect()
+                    if tag_policies is not None
+                    else []
+                )
             ],
             [
                 ColumnTag(r.table, r.column, r.value)
-                for r in (tags.select("table", "column", "value").collect() if tags else [])
+                for r in (tags.select("table", "column", "value").collect() if tags is not None else [])
             ],
         )
 
@@ -185,10 +205,15 @@ def _visible_part(
     return restrict(source, rules.policy(principal, table, source.columns, permission))
 
 
-def _behind_view(df: DataFrame) -> str:
+@contextmanager
+def _behind_view(df: DataFrame) -> Iterator[str]:
+    """A view for as long as it takes to resolve a query on it; no one else can name it later."""
     view = f"governed_{uuid.uuid4().hex}"
     df.createOrReplaceTempView(view)
-    return view
+    try:
+        yield view
+    finally:
+        df.sparkSession.catalog.dropTempView(view)
 
 
 def govern(
@@ -199,7 +224,8 @@ def govern(
     ``source`` is the frame that holds the table where it is not in the catalog;
     the rules then know it by the name given.
     """
-    return spark.table(_behind_view(_visible_part(spark, rules, principal, table, source, SELECT)))
+    with _behind_view(_visible_part(spark, rules, principal, table, source, SELECT)) as view:
+        return spark.table(view)
 
 
 def govern_as_view(
@@ -218,5 +244,5 @@ def describe_governed(
     spark: SparkSession, rules: AccessRules, principal: str, table: str, source: DataFrame | None = None
 ) -> DataFrame:
     """``column_name`` and ``data_type`` of the columns the principal may see."""
-    view = _behind_view(_visible_part(spark, rules, principal, table, source, DESCRIBE))
-    return spark.sql(f"DESCRIBE TABLE {view}").select(F.col("col_name").alias("column_name"), "data_type")
+    with _behind_view(_visible_part(spark, rules, principal, table, source, DESCRIBE)) as view:
+        return spark.sql(f"DESCRIBE TABLE {view}").select(F.col("col_name").alias("column_name"), "data_type")

@@ -1,6 +1,6 @@
 from weirline.plans.analyst import answer
 from weirline.plans.arrival import RunReport, run_arrivals
-from weirline.plans.curate import curate, run_batch
+from weirline.plans.curate import curate, run_batch, shape
 
 __all__ = [
     "RunReport",
@@ -8,4 +8,5 @@ __all__ = [
     "curate",
     "run_arrivals",
     "run_batch",
+    "shape",
 ]

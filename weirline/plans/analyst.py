@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirline.operators.governance import AccessRules, govern
+from weirline.operators.governance import AccessRules, govern, govern_as_view
 from weirline.sinks import ResultStore
 
 
@@ -15,9 +15,21 @@ def answer(
     rules: AccessRules,
     principal: str,
     table: str,
-    query: Callable[[DataFrame], DataFrame],
+    query: Callable[[DataFrame], DataFrame] | str,
     store: ResultStore,
     name: str,
 ) -> str:
-    """Run ``query`` on the governed table and give the location of its result."""
-    return store.write(query(govern(spark, rules, principal, table)), name)
+    """Run ``query`` on the governed table and give the location of its result.
+
+    A query is a function of the governed frame, or SQL text in which the table goes
+    by its last name. The text is trusted not to name other tables.
+    """
+    if callable(query):
+        return store.write(query(govern(spark, rules, principal, table)), name)
+    view = table.rsplit(".", 1)[-1]
+    govern_as_view(spark, rules, principal, table, view)
+    try:
+        result = spark.sql(query)
+    finally:
+        spark.catalog.dropTempView(view)
+    return store.write(result, name)

@@ -1,17 +1,18 @@
-"""Discover what has arrived, check it, and curate only what is new."""
+"""Discover what has arrived, check it, and curate exactly what was accepted."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from weirline.catalog import deleted_partitions, describe_raw_table, discover, update_raw_table
 from weirline.config import JobConfig
-from weirline.operators import observe_rows
-from weirline.plans.curate import curate
-from weirline.streaming.gate import require_layouts
-from weirline.streaming.ingest import RAW_ROWS, RunCounts, ingest_into, raw_stream
+from weirline.plans.curate import shape
+from weirline.sinks import BATCH_COLUMN, replace_batch, replace_batch_in_table
+from weirline.sources import find_layouts, list_files, read_files, require_depth
+from weirline.streaming import AcceptedFiles, RunCounts, require_layouts
 
 
 @dataclass(frozen=True)
@@ -24,54 +25,60 @@ class RunReport:
     deleted: DataFrame | None
 
 
+def _listing(spark: SparkSession, location: str, config: JobConfig) -> DataFrame:
+    """The one listing of a run, kept beside its state so that all of the run sees the same files."""
+    path = f"{config.state_path}/listing"
+    listed = list_files(spark, location, config.raw_pattern)
+    listed.write.mode("overwrite").parquet(path)
+    return spark.read.schema(listed.schema).parquet(path)
+
+
 def run_arrivals(spark: SparkSession, config: JobConfig) -> RunReport:
-    """One run: discover, stop if a file does not belong, else curate the new files.
+    """One run: discover, stop if a new file does not belong, else curate the new files.
 
-    Run it on any schedule; without new files it adds nothing. With
-    ``added_columns``, headers of different lengths are read side by side. The
-    reading tasks cannot compare headers then, so the check is repeated at the
-    end and fails the run if a file that does not belong came in meanwhile.
+    Run it on any schedule; without new files it adds nothing. Files are accepted
+    first, by name, and only accepted files are read, each by its own header line,
+    so a file that comes in meanwhile waits for the next run. A failed run leaves
+    what it accepted to the next one. A batch of files that is run again replaces
+    what it wrote before: the target has the number of the batch as its last
+    partition column.
     """
     if not config.bookmark:
         raise ValueError("a job without bookmark is run by run_batch")
     location, columns, partitions = describe_raw_table(spark, config.source)
-    found = discover(spark, location, config.state_path, config.raw_pattern)
-    required = config.rules.raw_columns if config.added_columns else None
-    reading = require_layouts(found.layouts, columns, required)
-    new_columns = update_raw_table(spark, config.source, [x.columns for x in found.layouts])
-    one_layout = all(list(x.columns) == reading for x in found.layouts)
+    listed = _listing(spark, location, config)
+    require_depth(listed, location, partitions)
+    found = discover(spark, location, config.state_path, config.raw_pattern, listed=listed)
+    accepted = AcceptedFiles(spark, f"{config.state_path}/accepted")
+    waiting = accepted.without(found.headers)
+    layouts = find_layouts(waiting)
+    new_columns: list[str] = []
+    if layouts:
+        require_layouts(layouts, columns, config.rules.raw_columns if config.added_columns else None)
+        new_columns = update_raw_table(spark, config.source, [x.columns for x in layouts])
+        accepted.add(waiting, config.max_files, config.max_bytes)
 
-    def stream() -> DataFrame:
-        arrived = raw_stream(
-            spark,
-            location,
-            reading,
-            partitions,
-            one_layout,
-            config.raw_pattern,
-            config.max_files,
-            config.max_bytes if config.max_files is None else None,
-        )
-        return observe_rows(arrived, RAW_ROWS)
+    counts: dict[str, list[tuple[int, int]]] = {"curated": [], "cleaned": []}
 
-    counts = ingest_into(
-        curate(stream(), config.rules),
-        f"{config.state_path}/curated",
-        config.target_path,
-        config.partition_keys,
-        config.target,
-        config.rebalance,
-    )
-    cleaned = None
-    if config.cleaned_path:
-        cleaned = ingest_into(
-            curate(stream(), config.rules, config.cleaned_partition_keys),
-            f"{config.state_path}/cleaned",
-            config.cleaned_path,
-            config.cleaned_partition_keys,
-            rebalance=config.rebalance,
+    def curate_batch(files: DataFrame, batch: int) -> None:
+        session = files.sparkSession
+        named = [(r.path, r.header) for r in files.select("path", "header").collect()]
+        raw = read_files(session, named, partitions, location)
+        number = F.lit(batch).cast("bigint").alias(BATCH_COLUMN)
+        observed = Observation(), Observation()
+        curated = shape(raw, config.rules).select("*", number)
+        options = {"rebalance": config.rebalance, "required": config.rules.keys}
+        replace_batch_in_table(
+            curated, config.target, config.target_path, config.partition_keys, counted=observed, **options
         )
-    if not one_layout:
-        require_layouts(discover(spark, location, config.state_path, config.raw_pattern).layouts, columns, required)
-    deleted = deleted_partitions(spark, config.source, found.headers) if partitions else None
-    return RunReport(counts, cleaned, new_columns, deleted)
+        counts["curated"].append(tuple(o.get["rows"] for o in observed))
+        if config.cleaned_path:
+            observed = Observation(), Observation()
+            cleaned = shape(raw, config.rules, config.cleaned_partition_keys).select("*", number)
+            replace_batch(cleaned, config.cleaned_path, config.cleaned_partition_keys, counted=observed, **options)
+            counts["cleaned"].append(tuple(o.get["rows"] for o in observed))
+
+    accepted.process(curate_batch, f"{config.state_path}/curated")
+    deleted = deleted_partitions(spark, config.source, listed) if partitions else None
+    cleaned = RunCounts.of(counts["cleaned"]) if config.cleaned_path else None
+    return RunReport(RunCounts.of(counts["curated"]), cleaned, new_columns, deleted)

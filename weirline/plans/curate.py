@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from weirline.catalog import describe_raw_table, discover, update_raw_table
 from weirline.config import CurateRules, JobConfig
 from weirline.functions import field, parse_date
 from weirline.operators import (
@@ -14,16 +15,16 @@ from weirline.operators import (
     append_column,
     apply_mapping,
     drop_missing,
-    observe_rows,
     replace_column,
 )
+from weirline.scratch import new_workspace
 from weirline.sinks import append_parquet, append_to_table
-from weirline.sources.scans import scan_table
-from weirline.streaming.ingest import RunCounts
+from weirline.sources import list_files, read_layouts, require_depth, text_schema
+from weirline.streaming import RunCounts, require_layouts
 
 
-def curate(raw: DataFrame, rules: CurateRules, carry: Sequence[str] = ()) -> DataFrame:
-    """Map and cast, parse dates, stamp, and drop rows without their keys.
+def shape(raw: DataFrame, rules: CurateRules, carry: Sequence[str] = ()) -> DataFrame:
+    """Map and cast, parse dates, and stamp.
 
     ``carry`` names columns outside the mapping to keep, such as the partition
     columns of the raw files. Works on batch and streaming frames.
@@ -32,23 +33,47 @@ def curate(raw: DataFrame, rules: CurateRules, carry: Sequence[str] = ()) -> Dat
     df = apply_mapping(raw, [*rules.mapping, *kept])
     for name, pattern in rules.dates:
         df = replace_column(df, name, parse_date(field(name), pattern))
-    df = append_column(df, rules.stamp, F.current_timestamp())
-    return drop_missing(df, rules.keys)
+    return append_column(df, rules.stamp, F.current_timestamp())
+
+
+def curate(raw: DataFrame, rules: CurateRules, carry: Sequence[str] = ()) -> DataFrame:
+    """``shape``, and drop rows without their keys."""
+    return drop_missing(shape(raw, rules, carry), rules.keys)
 
 
 def run_batch(spark: SparkSession, config: JobConfig) -> RunCounts:
-    """Curate the whole source table and append it to the target.
+    """Discover, stop if a file does not belong, curate all files and append them to the target.
 
-    One write, in which both counts are taken. A cleaned zone, when asked for,
-    is a second write with its own pass over the source.
+    What discovery accepted is read, each file by its own header line, and new
+    columns and partitions are registered first. One write, in which both counts
+    are taken. A cleaned zone, when asked for, is a second write with its own pass
+    over the same files.
     """
     if config.bookmark:
         raise ValueError("a bookmarked job is run by run_arrivals; its target must not get other writes")
-    source = scan_table(spark, config.source)
+    location, columns, partitions = describe_raw_table(spark, config.source)
+    listed = list_files(spark, location, config.raw_pattern)
+    require_depth(listed, location, partitions)
+    state = config.state_path or new_workspace(spark, "discovery")
+    found = discover(spark, location, state, config.raw_pattern, listed=listed)
+    require_layouts(found.layouts, columns, config.rules.raw_columns if config.added_columns else None)
+    update_raw_table(spark, config.source, [x.columns for x in found.layouts])
+    if found.layouts:
+        source = read_layouts(spark, found, partitions=partitions)
+    else:
+        source = spark.createDataFrame([], text_schema([*columns, *partitions]))
     raw_rows, clean_rows = Observation(), Observation()
-    curated = curate(observe_rows(source, raw_rows), config.rules)
-    append_to_table(curated, config.target, config.target_path, config.partition_keys, config.rebalance, clean_rows)
+    options = {"rebalance": config.rebalance, "required": config.rules.keys}
+    append_to_table(
+        shape(source, config.rules),
+        config.target,
+        config.target_path,
+        config.partition_keys,
+        written=clean_rows,
+        arrived=raw_rows,
+        **options,
+    )
     if config.cleaned_path:
-        cleaned = curate(source, config.rules, config.cleaned_partition_keys)
-        append_parquet(cleaned, config.cleaned_path, config.cleaned_partition_keys, config.rebalance)
+        cleaned = shape(source, config.rules, config.cleaned_partition_keys)
+        append_parquet(cleaned, config.cleaned_path, config.cleaned_partition_keys, **options)
     return RunCounts(raw_rows.get["rows"], clean_rows.get["rows"], 1)

@@ -7,6 +7,7 @@ All of them read whole tables.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -16,6 +17,8 @@ from weirline.catalog import (
     create_database,
     deleted_partitions,
     discover,
+    fit_to_table,
+    register_discovered,
     register_partitions,
     register_raw_table,
     schema_rows,
@@ -48,7 +51,7 @@ from weirline.operators.governance import (
 )
 from weirline.plans.analyst import answer
 from weirline.plans.arrival import run_arrivals
-from weirline.plans.curate import curate, run_batch
+from weirline.plans.curate import curate, run_batch, shape
 from weirline.scratch import new_workspace
 from weirline.sinks import ResultStore, append_parquet, append_to_table, spread_for_partitions
 from weirline.sources import (
@@ -258,8 +261,11 @@ def parse_date_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, TRUE AS stamped FROM orders")
 def ingest_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stamp lies between the call and now, and is one for the whole query."""
+    begun = F.lit(datetime.datetime.now(datetime.timezone.utc))
     stamped = append_column(_table(spark, sf_dir, "orders"), RULES.stamp, F.current_timestamp())
-    return stamped.select("o_orderkey", field(RULES.stamp).isNotNull().alias("stamped"))
+    soon = begun + F.make_dt_interval(F.lit(1))
+    return stamped.select("o_orderkey", field(RULES.stamp).between(begun, soon).alias("stamped"))
 
 
 @query(
@@ -287,8 +293,9 @@ def raw_clean_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both counts from the write itself."""
     workspace = new_workspace(spark, "raw-clean-counts")
     raw_rows, clean_rows = Observation(), Observation()
-    raw = observe_rows(_raw_customers(spark, sf_dir, workspace), raw_rows)
-    append_parquet(curate(raw, RULES), f"{workspace}/curated/customers", ["region"], written=clean_rows)
+    shaped = shape(_raw_customers(spark, sf_dir, workspace), RULES)
+    location = f"{workspace}/curated/customers"
+    append_parquet(shaped, location, ["region"], written=clean_rows, arrived=raw_rows, required=RULES.keys)
     return spark.createDataFrame(
         [(raw_rows.get["rows"], clean_rows.get["rows"])], "raw_rows bigint, clean_rows bigint"
     )
@@ -567,7 +574,8 @@ def inherit_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     _drop_csv(newer.select("*", F.lit("2026").alias("year"), F.lit("01").alias("month")), location, YEAR_MONTH)
     found = discover(spark, location, f"{workspace}/state")
     update_raw_table(spark, table, [x.columns for x in found.layouts])
-    return apply_mapping(scan_table(spark, table), _SUPPLIER_MAPPING)
+    rows = fit_to_table(read_layouts(spark, found, partitions=YEAR_MONTH), spark.table(table).schema)
+    return apply_mapping(rows, _SUPPLIER_MAPPING)
 
 
 @query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
@@ -731,14 +739,183 @@ def batch_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     workspace = new_workspace(spark, "batch-run")
     config = _lake(spark, workspace, "customers", bookmark=False)
     _drop_csv(_render_customers(spark, sf_dir), f"{workspace}/raw/customers", YEAR_MONTH)
-    register_partitions(spark, config.source)
     run_batch(spark, config)
     return grouped_count(scan_table(spark, config.target), "region", "signup_date")
 
 
+_COUNTED = f"SELECT region, COUNT(*) AS cnt FROM ({CURATED_CUSTOMERS}) c GROUP BY region"
+
+
+@query(_COUNTED)
+def batch_run_after_a_late_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A month that arrives after the table was registered is curated as well."""
+    workspace = new_workspace(spark, "batch-late-month")
+    config = _lake(spark, workspace, "customers", bookmark=False)
+    customers = _render_customers(spark, sf_dir)
+    _drop_csv(customers.where("month = '04'"), f"{workspace}/raw/customers", YEAR_MONTH)
+    register_partitions(spark, config.source)
+    _drop_csv(customers.where("month = '05'"), f"{workspace}/raw/customers", YEAR_MONTH)
+    run_batch(spark, config)
+    return grouped_count(scan_table(spark, config.target), "region")
+
+
+@query(
+    f"""
+    SELECT 'refused' AS what, 0 AS rows_written
+    UNION ALL SELECT 'repaired', COUNT(*) FROM ({CURATED_CUSTOMERS}) c
+    """
+)
+def batch_reordered_after_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file with swapped columns, after one with an added column, stops the batch job until it is repaired."""
+    workspace = new_workspace(spark, "batch-reordered")
+    config = _lake(spark, workspace, "customers", bookmark=False, added_columns=True)
+    return _refused_then_repaired(spark, sf_dir, config, workspace, lambda: run_batch(spark, config).clean_rows)
+
+
+@query(
+    f"""
+    SELECT 'refused' AS what, 0 AS rows_written
+    UNION ALL SELECT 'repaired', COUNT(*) FROM ({CURATED_CUSTOMERS}) c
+    """
+)
+def late_reordered_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the incremental job: nothing is written, and the run after the repair is complete."""
+    workspace = new_workspace(spark, "late-reordered")
+    config = _lake(spark, workspace, "customers", added_columns=True)
+    return _refused_then_repaired(spark, sf_dir, config, workspace, lambda: run_arrivals(spark, config).counts.clean_rows)
+
+
+def _refused_then_repaired(
+    spark: SparkSession, sf_dir: str, config: JobConfig, workspace: str, run: Callable[[], int]
+) -> DataFrame:
+    location = f"{workspace}/raw/customers"
+    customers = _render_customers(spark, sf_dir)
+    april, may = customers.where("month = '04'"), customers.where("month = '05'")
+    first, second, *rest = RULES.raw_columns
+    _drop_csv(april.select(*RULES.raw_columns, F.lit("x").alias("added"), *YEAR_MONTH), location, YEAR_MONTH)
+    _drop_csv(may.select(second, first, *rest, *YEAR_MONTH), location, YEAR_MONTH)
+    outcome = []
+    for what in ("refused", "repaired"):
+        if what == "repaired":
+            wide = april.select(*RULES.raw_columns, F.lit("x").alias("added"), *YEAR_MONTH)
+            _drop_csv(wide, location, YEAR_MONTH, mode="overwrite")
+            _drop_csv(may, location, YEAR_MONTH)
+        try:
+            run()
+        except DiscoveryFailed:
+            pass
+        written = spark.table(config.target).count() if spark.catalog.tableExists(config.target) else 0
+        outcome.append((what, written))
+    return spark.createDataFrame(outcome, "what string, rows_written bigint")
+
+
+@query("SELECT DISTINCT 'region=' || COALESCE(region, '__HIVE_DEFAULT_PARTITION__') AS partition FROM"
+       f" ({CURATED_CUSTOMERS}) c")
+def incremental_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog knows the partitions of an incremental target."""
+    workspace = new_workspace(spark, "incremental-partitions")
+    config = _lake(spark, workspace, "customers")
+    customers = _render_customers(spark, sf_dir)
+    for part in (customers.where("month = '04'"), customers.where("month = '05'")):
+        _drop_csv(part, f"{workspace}/raw/customers", YEAR_MONTH)
+        run_arrivals(spark, config)
+    shown = spark.sql(f"SHOW PARTITIONS {config.target}")
+    return shown.select(F.split_part("partition", F.lit("/"), F.lit(1)).alias("partition")).distinct()
+
+
+@query(
+    """
+    SELECT job, COUNT(*) AS rows_read FROM customer, (VALUES ('arrivals'), ('batch')) j(job) GROUP BY job
+    """
+)
+def every_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of any name, packed or not, at any depth, in both jobs."""
+    outcome = []
+    for job in ("arrivals", "batch"):
+        workspace = new_workspace(spark, "every-file")
+        names = LakeNames("weirline_" + workspace.rsplit("-", 1)[1], workspace)
+        config = JobConfig.for_lake(names, "customers", bookmark=job == "arrivals")
+        create_database(spark, config.source_database, f"{workspace}/database")
+        location = f"{workspace}/raw/customers"
+        register_raw_table(spark, config.source, location, RULES.raw_columns)
+        customers = _render_customers(spark, sf_dir).select(*RULES.raw_columns, F.hash("ssn").alias("h"))
+        for n, (folder, packed) in enumerate([("", "none"), ("", "gzip"), ("/sub", "none"), ("/sub/Deep.D", "gzip")]):
+            part = customers.where(F.pmod("h", F.lit(4)) == n).drop("h")
+            # Below the folder of an append, names end in .csv or .csv.gz.
+            part.write.mode("append").option("header", "true").option("compression", packed).csv(location + folder)
+        counts = run_arrivals(spark, config).counts if job == "arrivals" else run_batch(spark, config)
+        outcome.append((job, counts.raw_rows))
+    return spark.createDataFrame(outcome, "job string, rows_read bigint")
+
+
+@query(
+    f"""
+    SELECT zone, region, COUNT(*) AS cnt FROM ({CURATED_CUSTOMERS}) c, (VALUES ('cleaned'), ('curated')) z(zone)
+    GROUP BY zone, region
+    """
+)
+def both_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The incremental job with a cleaned zone: both hold the same rows."""
+    workspace = new_workspace(spark, "both-zones")
+    config = _lake(spark, workspace, "customers", cleaned_path=f"{workspace}/cleaned/customers")
+    _drop_csv(_render_customers(spark, sf_dir), f"{workspace}/raw/customers", YEAR_MONTH)
+    run_arrivals(spark, config)
+    cleaned = scan_parquet(spark, config.cleaned_path, "region string, year string, month string")
+    zones = [("cleaned", cleaned), ("curated", scan_table(spark, config.target))]
+    counted = [grouped_count(df, "region").select(F.lit(zone).alias("zone"), "region", "cnt") for zone, df in zones]
+    return counted[0].unionByName(counted[1])
+
+
+@query(
+    """
+    SELECT o_orderstatus, COUNT(*) AS cnt FROM orders GROUP BY o_orderstatus
+    """
+)
+def crawl_and_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From files to a query by name; no column is named before."""
+    workspace = new_workspace(spark, "crawl")
+    location = f"{workspace}/raw/orders"
+    _drop_csv(_orders_by_month(spark, sf_dir), location, YEAR_MONTH)
+    table = f"{_database(spark, workspace)}.orders"
+    register_discovered(spark, discover(spark, location, f"{workspace}/state"), table)
+    return spark.sql(f"SELECT o_orderstatus, COUNT(*) AS cnt FROM {table} GROUP BY o_orderstatus")
+
+
+@query(
+    """
+    SELECT strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01'
+    GROUP BY 1 HAVING FALSE
+    """
+)
+def partition_of_an_empty_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A partition that holds only an empty file is not reported as gone."""
+    workspace = new_workspace(spark, "empty-file")
+    table, location, orders = _registered_orders(spark, sf_dir, workspace)
+    newest = orders.where("o_orderdate >= '2001-01-01'")
+    _drop_csv(orders.where("o_orderdate < '2001-01-01'"), location, YEAR_MONTH, mode="overwrite")
+    # Files of one empty line each stand where the newest months were.
+    empty = newest.select(F.lit("").alias("value"), *YEAR_MONTH).distinct()
+    empty.write.mode("append").partitionBy(*YEAR_MONTH).text(location)
+    gone = deleted_partitions(spark, table, list_files(spark, location))
+    return gone.select(F.col("partition").alias("month"))
+
+
 # Further sinks.
 
 
+@query("SELECT c_mktsegment, COUNT(*) AS cnt FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY c_mktsegment")
+def governed_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The restricted analyst's SQL text, its result read back from the store."""
+    workspace = new_workspace(spark, "governed-sql")
+    table = f"{_database(spark, workspace)}.customer"
+    append_to_table(_table(spark, sf_dir, "customer"), table, f"{workspace}/curated/customer")
+    rules = AccessRules([Policy("rows", table, None, "c_mktsegment = 'BUILDING'")])
+    store = ResultStore(f"{workspace}/results")
+    text = "SELECT c_mktsegment, COUNT(*) AS cnt FROM customer GROUP BY c_mktsegment"
+    location = answer(spark, rules, "rows", table, text, store, "segments")
+    return store.read(spark, location, "c_mktsegment string, cnt bigint")
+
+
 @query("SELECT c_mktsegment, c_nationkey, COUNT(*) AS cnt FROM customer GROUP BY c_mktsegment, c_nationkey")
 def result_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     workspace = new_workspace(spark, "result-sink")

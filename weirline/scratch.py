@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -13,15 +12,15 @@ _SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``.
 
-    Where that is unset, a local session gets a folder of its own. A cluster
-    session is refused, since no machine-local folder is visible to every executor.
+    Where that is unset, a local session uses its warehouse folder. A cluster
+    session is refused: its warehouse is not made for passing data.
     """
     folder = spark.conf.get(_SETTING, None)
     if folder:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError(f"set {_SETTING} to storage that every executor can reach")
-    return "file:" + tempfile.mkdtemp(prefix="weirline-")
+    return spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").rstrip("/")
 
 
 def new_workspace(spark: SparkSession, label: str) -> str:

@@ -1,4 +1,21 @@
 from weirline.sinks.results import ResultStore
-from weirline.sinks.tables import append_parquet, append_to_table, prepare_write, spread_for_partitions
+from weirline.sinks.tables import (
+    BATCH_COLUMN,
+    append_parquet,
+    append_to_table,
+    prepare_write,
+    replace_batch,
+    replace_batch_in_table,
+    spread_for_partitions,
+)
 
-__all__ = ["ResultStore", "append_parquet", "append_to_table", "prepare_write", "spread_for_partitions"]
+__all__ = [
+    "BATCH_COLUMN",
+    "ResultStore",
+    "append_parquet",
+    "append_to_table",
+    "prepare_write",
+    "replace_batch",
+    "replace_batch_in_table",
+    "spread_for_partitions",
+]

@@ -9,15 +9,19 @@ from pyspark.sql import functions as F
 
 from weirline.catalog import add_new_columns, fit_to_table
 from weirline.functions import field
+from weirline.operators.cleaning import drop_missing
 from weirline.operators.counts import observe_rows
 
 _COMPRESSION = "snappy"
 _SALT = "__weirline_salt"
 
+#: The last partition column of a target that is filled batch by batch.
+BATCH_COLUMN = "ingest_batch"
+
 
 def _adaptive(df: DataFrame) -> bool:
     conf = df.sparkSession.conf
-    settings = ["spark.sql.adaptive.enabled"]
+    settings = ["spark.sql.adaptive.enabled", "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled"]
     if df.isStreaming:
         settings.append("spark.sql.adaptive.streaming.stateless.enabled")
     return all(conf.get(s) == "true" for s in settings)
@@ -44,15 +48,25 @@ def spread_for_partitions(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def prepare_write(
-    df: DataFrame, keys: Sequence[str], rebalance: bool = True, written: Observation | str | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    rebalance: bool = True,
+    written: Observation | str | None = None,
+    arrived: Observation | str | None = None,
+    required: Sequence[str] = (),
 ) -> DataFrame:
-    """Spread rows for a partitioned write, and count them last of all.
+    """Spread rows for a partitioned write, drop those without ``required`` values, and count them.
 
-    Counted after the shuffle, each row written is counted once, whichever tasks
-    Spark has to run again.
+    Rows are counted after the shuffle, before (``arrived``) and after the drop, so
+    each is counted once, whichever tasks Spark has to run again. Only then the
+    dropped rows are shuffled too.
     """
     if rebalance:
         df = spread_for_partitions(df, keys)
+    if arrived is not None:
+        df = observe_rows(df, arrived)
+    if required:
+        df = drop_missing(df, required)
     return df if written is None else observe_rows(df, written)
 
 
@@ -62,11 +76,14 @@ def append_parquet(
     keys: Sequence[str] = (),
     rebalance: bool = True,
     written: Observation | None = None,
+    arrived: Observation | None = None,
+    required: Sequence[str] = (),
 ) -> None:
     """Append files. Without ``rebalance`` nothing is shuffled: each task writes
     one file per partition value it meets, which suits few values and large tasks.
     """
-    writer = prepare_write(df, keys, rebalance, written).write.mode("append").option("compression", _COMPRESSION)
+    df = prepare_write(df, keys, rebalance, written, arrived, required)
+    writer = df.write.mode("append").option("compression", _COMPRESSION)
     if keys:
         writer = writer.partitionBy(*keys)
     writer.parquet(location)
@@ -79,6 +96,8 @@ def append_to_table(
     keys: Sequence[str] = (),
     rebalance: bool = True,
     written: Observation | None = None,
+    arrived: Observation | None = None,
+    required: Sequence[str] = (),
 ) -> None:
     """Append and update the catalog: create the table, or add what it lacks.
 
@@ -90,10 +109,63 @@ def append_to_table(
     if spark.catalog.tableExists(table):
         add_new_columns(spark, table, df.schema)
         df = fit_to_table(df, spark.table(table).schema)
-    writer = prepare_write(df, keys, rebalance, written).write.format("parquet").mode("append")
+    df = prepare_write(df, keys, rebalance, written, arrived, required)
+    writer = df.write.format("parquet").mode("append")
     writer = writer.option("compression", _COMPRESSION)
     if keys:
         writer = writer.partitionBy(*keys)
     if location is not None:
         writer = writer.option("path", location)
     writer.saveAsTable(table)
+
+
+def _prepared_batch(df, keys, rebalance, counted, required) -> DataFrame:
+    arrived, written = counted or (None, None)
+    return prepare_write(df, keys, rebalance, written, arrived, required)
+
+
+_OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
+
+
+def replace_batch(
+    df: DataFrame,
+    location: str,
+    keys: Sequence[str] = (),
+    rebalance: bool = True,
+    counted: tuple[Observation, Observation] | None = None,
+    required: Sequence[str] = (),
+) -> None:
+    """Write one batch, replacing what the same batch wrote before.
+
+    The frame has the number of the batch in ``BATCH_COLUMN``. ``counted`` takes the
+    rows before and after those without ``required`` values are dropped.
+    """
+    df = _prepared_batch(df, keys, rebalance, counted, required)
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", _COMPRESSION)
+    writer.partitionBy(*keys, BATCH_COLUMN).parquet(location)
+
+
+def replace_batch_in_table(
+    df: DataFrame,
+    table: str,
+    location: str | None = None,
+    keys: Sequence[str] = (),
+    rebalance: bool = True,
+    counted: tuple[Observation, Observation] | None = None,
+    required: Sequence[str] = (),
+) -> None:
+    """The same for a catalog table, whose partitions are registered as they are written."""
+    spark = df.sparkSession
+    if spark.catalog.tableExists(table):
+        add_new_columns(spark, table, df.schema)
+    else:
+        empty = spark.createDataFrame([], df.schema).write.format("parquet").mode("ignore")
+        empty = empty.option("compression", _COMPRESSION).partitionBy(*keys, BATCH_COLUMN)
+        (empty.option("path", location) if location is not None else empty).saveAsTable(table)
+    df = fit_to_table(df, spark.table(table).schema)
+    before = spark.conf.get(_OVERWRITE)
+    spark.conf.set(_OVERWRITE, "dynamic")
+    try:
+        _prepared_batch(df, keys, rebalance, counted, required).write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(_OVERWRITE, before)

@@ -1,4 +1,4 @@
-from weirline.sources.files import list_files, partition_columns
+from weirline.sources.files import list_files, partition_columns, require_depth
 from weirline.sources.layouts import (
     Discovery,
     Layout,
@@ -6,6 +6,7 @@ from weirline.sources.layouts import (
     find_layouts,
     group_compatible,
     infer_columns,
+    read_files,
     read_layouts,
 )
 from weirline.sources.scans import scan_parquet, scan_raw_csv, scan_table, text_schema
@@ -19,7 +20,9 @@ __all__ = [
     "infer_columns",
     "list_files",
     "partition_columns",
+    "read_files",
     "read_layouts",
+    "require_depth",
     "scan_parquet",
     "scan_raw_csv",
     "scan_table",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,10 +37,27 @@ def list_files(spark: SparkSession, location: str, pattern: str = "*") -> DataFr
     return files.select("path", "modificationTime", "length", partition.alias("partition"))
 
 
+def require_depth(files: DataFrame, location: str, partitions: Sequence[str]) -> None:
+    """Refuse files that do not lie where a table with these partition columns looks.
+
+    Such a table reads what is directly below its partitions. One without partition
+    columns reads every folder, so that nothing lies too deep.
+    """
+    if not partitions:
+        return
+    keys = F.regexp_extract_all("partition", F.lit(_PARTITION_KEY), F.lit(1))
+    folder = F.regexp_extract(_below(F.col("path"), location), r"^(.*?)/*[^/]+$", 1)
+    expected = F.array(*[F.lit(p) for p in partitions])
+    strays = files.where((keys != expected) | (F.trim(folder, F.lit("/")) != F.col("partition")))
+    found = [r.path for r in strays.select("path").orderBy("path").limit(5).collect()]
+    if found:
+        raise ValueError(f"files that are not directly below {'/'.join(partitions)}: {found}")
+
+
 def partition_columns(files: DataFrame) -> list[str]:
     """Names of the partition columns, from the directories of a listing."""
     keys = F.regexp_extract_all("partition", F.lit(_PARTITION_KEY), F.lit(1))
-    found = [r.keys for r in files.select(keys.alias("keys")).distinct().limit(2).collect()]
+    found = files.groupBy(keys.alias("keys")).agg(F.min("path").alias("example")).orderBy("example").limit(2).collect()
     if len(found) > 1:
-        raise ValueError(f"files lie at different partition depths: {found}")
-    return list(found[0]) if found else []
+        raise ValueError(f"files lie at different partition depths: {[r.example for r in found]}")
+    return list(found[0]["keys"]) if found else []

@@ -9,20 +9,16 @@ from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirline.functions import field
-from weirline.sources.files import partition_columns
-from weirline.sources.scans import scan_raw_csv
+from weirline.functions import field, strict_cast
+from weirline.sources.files import partition_columns, require_depth
+from weirline.sources.scans import literal_path, scan_raw_csv
 
 HEADER_SCHEMA = "path string, modificationTime timestamp, length bigint, partition string, header string"
 
-# More different headers than this under one prefix is not one set of tables.
-# It bounds what the driver holds, and passing it is an error, not a cut.
-MAX_LAYOUTS = 10_000
-
 _FILES_PER_TASK = 64
 _MAX_TASKS = 10_000
 
@@ -54,6 +50,7 @@ class Discovery:
     location: str
     headers: DataFrame
     layouts: list[Layout]
+    pattern: str = "*"
 
 
 def _arrow_access() -> tuple[Callable, Callable]:
@@ -79,14 +76,15 @@ def _arrow_access() -> tuple[Callable, Callable]:
 
     def first_line(path: str) -> str:
         filesystem, inner = located(path)
-        line = b""
+        line = bytearray()
         with filesystem.open_input_stream(inner, compression="detect") as stream:
-            while b"\n" not in line:
-                block = stream.read(64 * 1024)
-                if not block:
+            while block := stream.read(64 * 1024):
+                end = min((i for i in (block.find(b"\n"), block.find(b"\r")) if i >= 0), default=-1)
+                if end >= 0:
+                    line += block[:end]
                     break
                 line += block
-        return line.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
+        return line.decode("utf-8-sig")
 
     def with_first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +135,7 @@ def _headers_by_scanning(spark: SparkSession, files: DataFrame, location: str, p
 
 
 def file_headers(
-    spark: SparkSession, location: str, files: DataFrame, count: int, pattern: str = "*.csv", scan: bool = False
+    spark: SparkSession, location: str, files: DataFrame, count: int, pattern: str = "*", scan: bool = False
 ) -> DataFrame:
     """The first line of each of the ``count`` listed files: the listing and ``header``.
 
@@ -162,11 +160,8 @@ def find_layouts(headers: DataFrame) -> list[Layout]:
             F.min("path").alias("example"),
         )
         .orderBy("seen", "example")
-        .limit(MAX_LAYOUTS + 1)
         .collect()
     )
-    if len(found) > MAX_LAYOUTS:
-        raise ValueError(f"more than {MAX_LAYOUTS} different header lines; are these files without headers?")
     return [Layout(parse_header(r.header), r.header, r.files, r.example) for r in found]
 
 
@@ -218,13 +213,13 @@ def read_layouts(
     found: Discovery,
     layouts: Sequence[Layout] | None = None,
     partitions: Sequence[str] | None = None,
-    pattern: str = "*.csv",
 ) -> DataFrame:
     """One frame over files with different headers, each value under its own name.
 
     Each layout is a scan with its own schema; their union has every column that
     occurs, null where a file lacks it. No rows are shuffled. By default all
-    layouts found are read.
+    layouts found are read. A file without partition columns may lie in any
+    folder; one outside the partition columns is refused.
     """
     if layouts is None:
         layouts = found.layouts
@@ -232,11 +227,37 @@ def read_layouts(
         raise ValueError("there is no layout to read")
     if partitions is None:
         partitions = partition_columns(found.headers)
+    require_depth(found.headers, found.location, partitions)
     paths = _layout_paths(found)
-    frames = [
-        scan_raw_csv(spark, paths[layout.header], layout.columns, partitions, found.location, pattern)
-        for layout in layouts
-    ]
+    return _by_name(spark, paths, layouts, partitions, found.location, found.pattern)
+
+
+def read_files(
+    spark: SparkSession, files: Sequence[tuple[str, str]], partitions: Sequence[str], location: str
+) -> DataFrame:
+    """Some files of a location, each a path with its header line, by name."""
+    paths: dict[str, list[str]] = {}
+    for path, header in files:
+        paths.setdefault(header, []).append(path)
+    layouts = [Layout(parse_header(h), h, len(p), p[0]) for h, p in paths.items()]
+    return _by_name(spark, paths, layouts, partitions, location)
+
+
+def _by_name(
+    spark: SparkSession,
+    paths: dict[str, list[str]],
+    layouts: Sequence[Layout],
+    partitions: Sequence[str],
+    location: str,
+    pattern: str = "*",
+) -> DataFrame:
+    frames = []
+    for layout in layouts:
+        at = paths[layout.header]
+        nested = not partitions and at == [location]
+        read = [location] if nested or at == [location] else [literal_path(p) for p in at]
+        base = None if nested else location
+        frames.append(scan_raw_csv(spark, read, layout.columns, partitions, base, pattern, nested))
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     return union.select(*[field(c) for c in [*merged_columns(layouts), *partitions]])
 
@@ -263,22 +284,37 @@ def infer_columns(
 ) -> T.StructType:
     """Column types from the values, merged over layouts; partitions are text.
 
-    Reads all rows unless ``sampling_ratio`` asks for fewer to be parsed.
+    One aggregate over the text of all files tells which types each column's values
+    have. Reads all rows unless ``sampling_ratio`` asks for fewer.
     """
     if partitions is None:
         partitions = partition_columns(found.headers)
-    paths = _layout_paths(found)
-    types: dict[str, str] = {}
-    for layout in found.layouts:
-        inferred = (
-            spark.read.option("header", "true")
-            .option("inferSchema", "true")
-            .option("samplingRatio", str(sampling_ratio))
-            .csv(paths[layout.header])
-            .schema
-        )
-        for name, f in zip(layout.columns, inferred.fields):
-            kind = f.dataType.simpleString()
-            types[name] = wider_type(types[name], kind) if name in types else kind
-    columns = [T.StructField(c, T.DataType.fromDDL(types[c])) for c in merged_columns(found.layouts)]
+    text = read_layouts(spark, found, partitions=partitions)
+    if sampling_ratio < 1:
+        text = text.sample(sampling_ratio)
+    names = merged_columns(found.layouts)
+    flags = [F.coalesce(F.bool_or(_value_type(field(c)) == t), F.lit(False)).alias(f"{i}:{t}") for i, c in enumerate(names) for t in _TYPES]
+    seen = text.agg(*flags).first()
+    columns = []
+    for i, name in enumerate(names):
+        kinds = [t for t in _TYPES if seen[f"{i}:{t}"]] or ["string"]
+        columns.append(T.StructField(name, T.DataType.fromDDL(reduce(wider_type, kinds))))
     return T.StructType(columns + [T.StructField(p, T.StringType()) for p in partitions])
+
+
+_TYPES = ["int", "bigint", "double", "boolean", "date", "timestamp", "string"]
+
+
+def _value_type(text: Column) -> Column:
+    """The narrowest type that holds a value; null for none."""
+    whole = text.rlike(r"^[+-]?\d+$")
+    return (
+        F.when(text.isNull() | (text == ""), None)
+        .when(whole & strict_cast(text, "int").isNotNull(), "int")
+        .when(whole & strict_cast(text, "bigint").isNotNull(), "bigint")
+        .when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(NaN|Infinity)$"), "double")
+        .when(F.lower(text).isin("true", "false"), "boolean")
+        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & strict_cast(text, "date").isNotNull(), "date")
+        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}") & strict_cast(text, "timestamp").isNotNull(), "timestamp")
+        .otherwise("string")
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,17 +27,27 @@ def raw_csv_options(check_header: bool = True) -> dict[str, str]:
     return {"header": "true", "enforceSchema": str(not check_header).lower()}
 
 
+def literal_path(path: str) -> str:
+    """A path that Spark takes as it stands, whatever signs of a pattern it holds."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def scan_raw_csv(
     spark: SparkSession,
     location: str | Sequence[str],
     columns: Sequence[str],
     partition_columns: Sequence[str] = (),
     base_path: str | None = None,
-    pattern: str = "*.csv",
+    pattern: str = "*",
+    nested: bool = False,
 ) -> DataFrame:
-    """Raw CSV as text columns. Nothing is inferred: ``month=04`` stays ``04``."""
+    """Raw CSV as text columns. Nothing is inferred: ``month=04`` stays ``04``.
+
+    ``nested`` reads folders of any name below a location too; it is for files
+    without partition columns, whose folders mean nothing.
+    """
     reader = spark.read.schema(text_schema([*columns, *partition_columns])).options(**raw_csv_options())
-    reader = reader.option("pathGlobFilter", pattern)
+    reader = reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", str(nested).lower())
     if base_path is not None:
         reader = reader.option("basePath", base_path)
     return reader.csv(location if isinstance(location, str) else list(location))

@@ -17,6 +17,9 @@ from weirline.sources.scans import raw_csv_options, text_schema
 MAX_FILE_AGE = "36500d"
 
 _POLL_SECONDS = 5
+_KEPT_PROGRESS = "spark.sql.streaming.numRecentProgressUpdates"
+# More batches than can end between two looks at the progress.
+_PROGRESS_ENTRIES = 10_000
 
 # Names under which a run's progress reports its row counts.
 RAW_ROWS = "raw"
@@ -31,6 +34,10 @@ class RunCounts:
     clean_rows: int
     batches: int
 
+    @classmethod
+    def of(cls, batches: Sequence[tuple[int, int]]) -> RunCounts:
+        return cls(sum(r for r, _ in batches), sum(c for _, c in batches), len(batches))
+
 
 def raw_stream(
     spark: SparkSession,
@@ -38,7 +45,7 @@ def raw_stream(
     columns: Sequence[str],
     partition_columns: Sequence[str] = (),
     check_header: bool = True,
-    pattern: str = "*.csv",
+    pattern: str = "*",
     max_files: int | None = None,
     max_bytes: int | None = None,
     max_file_age: str = MAX_FILE_AGE,
@@ -46,13 +53,14 @@ def raw_stream(
     """Files that arrive below ``location``, as text columns.
 
     A file is taken once, by name: one rewritten under the same name is not read
-    again. Either ``max_files`` or ``max_bytes`` bounds a micro-batch; a first run
+    again. Without partition columns, folders below are read too. Either ``max_files`` or ``max_bytes`` bounds a micro-batch; a first run
     over a large backlog then commits its progress along the way.
     """
     reader = (
         spark.readStream.schema(text_schema([*columns, *partition_columns]))
         .options(**raw_csv_options(check_header))
         .option("pathGlobFilter", pattern)
+        .option("recursiveFileLookup", str(not partition_columns).lower())
         .option("maxFileAge", max_file_age)
     )
     if max_files is not None:
@@ -63,7 +71,7 @@ def raw_stream(
 
 
 def _drain(query: StreamingQuery) -> RunCounts:
-    # Spark keeps the last hundred progress entries, so they are read as they come.
+    # Spark keeps the last progress entries only, so they are read as they come.
     rows: dict[int, tuple[int, int]] = {}
     finished = False
     while not finished:
@@ -72,7 +80,7 @@ def _drain(query: StreamingQuery) -> RunCounts:
             metrics = progress.observedMetrics
             if RAW_ROWS in metrics and _CLEAN_ROWS in metrics:
                 rows[progress.batchId] = (metrics[RAW_ROWS].rows, metrics[_CLEAN_ROWS].rows)
-    return RunCounts(sum(r for r, _ in rows.values()), sum(c for _, c in rows.values()), len(rows))
+    return RunCounts.of(list(rows.values()))
 
 
 def ingest_into(
@@ -101,4 +109,10 @@ def ingest_into(
     )
     if keys:
         writer = writer.partitionBy(*keys)
-    return _drain(writer.toTable(table) if table else writer.start())
+    conf = curated.sparkSession.conf
+    before = conf.get(_KEPT_PROGRESS)
+    conf.set(_KEPT_PROGRESS, max(int(before), _PROGRESS_ENTRIES))
+    try:
+        return _drain(writer.toTable(table) if table else writer.start())
+    finally:
+        conf.set(_KEPT_PROGRESS, before)
