@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from weirline.scratch import new_workspace
 
-from .common import kept, materialise, spread, table, text_chunks
+from .common import CHUNK_BYTES, kept, materialise, spread, table, text_chunks, utf8
 
 BLOCK = 16384
 FILE_IDS = 1 << 26
@@ -86,7 +86,7 @@ def pack_block(ids: np.ndarray) -> np.ndarray:
     while at < n:
         heads.append(at)
         at += steps[at]
-    head = np.array(heads)
+    head = np.array(heads, np.int64)
     code = code[head]
     place = np.arange(len(head)) + np.concatenate([[0], np.cumsum(code == ESCAPE)[:-1]]) if len(head) else head
     words = np.zeros(len(head) + int((code == ESCAPE).sum()), np.uint64)
@@ -211,15 +211,40 @@ class FileReader:
 
 #: Words that a worker remembers the ids of.
 _REMEMBERED = 400_000
-#: Stands between words that are encoded together; words that hold it are encoded alone.
+#: Stands after each of the words that are encoded together; words that hold it are encoded alone.
 _BETWEEN = "\x00"
+#: Begins the special tokens; texts that hold it are not cut within words.
+_SPECIAL = b"<|"
+
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]] = 2
+_LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
+
+
+def _loosened(texts: pa.Array) -> pa.Array:
+    """Texts in lower ASCII case, with a space where ASCII letters meet punctuation other than an apostrophe."""
+    offsets, data = utf8(texts)
+    if _SPECIAL in data.tobytes():
+        return texts.cast(pa.string()).fill_null("")
+    kind = _KIND[data]
+    meets = np.zeros(len(data), bool)
+    meets[1:] = kind[1:] + kind[:-1] == 3
+    meets[1:] &= kind[1:] != 0
+    meets[1:] &= kind[:-1] != 0
+    moved = np.cumsum(meets)
+    wide = np.full(len(data) + int(meets.sum()), 0x20, np.uint8)
+    wide[np.arange(len(data)) + moved] = np.frombuffer(data.tobytes().translate(_LOWER), np.uint8)
+    ends = (offsets + np.concatenate([[0], moved])[offsets]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(wide))
 
 
 class WordEncoder:
-    """Ids of texts, for a tokenizer to which white space only separates.
+    """Ids of texts, for a tokenizer that lowers case and to which white space only separates.
 
-    Words (runs without ASCII white space) are then encoded each for itself, and
-    one that comes again costs a look-up. The memory is emptied when full.
+    It must also part letters from punctuation, except at apostrophes. Words are then
+    encoded each for itself, in lower case and without the punctuation at their ends,
+    and one that comes again costs a look-up. The memory is emptied when full.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
@@ -227,60 +252,52 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
-        self.between = self._encode([_BETWEEN])[0]
+        between = self._encode([_BETWEEN])
+        if len(between) != 1:
+            raise ValueError("this tokenizer has no id of its own for the separator")
+        self.between = between[0]
         self._forget()
 
     def _forget(self) -> None:
         self.slots: dict[str, int] = {"": 1}
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.pool[0] = self.end_id
-        self.first, self.size = [0, 1], [1, 0]
-        self.used = 1
+        self.pool = np.array([self.end_id], np.uint32)
+        self.first, self.size = np.array([0, 1]), np.array([1, 0])
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _ids_of(self, words: list[str]) -> Iterator[np.ndarray]:
-        plain = [w for w in words if _BETWEEN not in w]
-        joined = [f" {_BETWEEN} ".join(plain[i : i + 512]) for i in range(0, len(plain), 512)]
-        ids_of: Iterator[np.ndarray] = iter(())
-        if len(self.between) == 1:
-            ids_of = (piece for ids in self._encode(joined) for piece in self._pieces(np.array(ids, np.uint32)))
-        else:
-            ids_of = (np.array(ids, np.uint32) for ids in self._encode(plain))
-        for word in words:
-            yield np.array(self._encode([word])[0], np.uint32) if _BETWEEN in word else next(ids_of)
-
-    def _pieces(self, ids: np.ndarray) -> list[np.ndarray]:
-        cuts = np.flatnonzero(ids == self.between[0])
-        return [ids[a:b] for a, b in zip(np.append(0, cuts + 1), np.append(cuts, len(ids)))]
+    def _encode(self, texts: list[str]) -> np.ndarray:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return np.concatenate([np.array(e.ids, np.uint32) for e in encoded]) if encoded else np.zeros(0, np.uint32)
 
     def _remember(self, words: list[str]) -> None:
-        for word, ids in zip(words, self._ids_of(words)):
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.slots[word] = len(self.first)
-            self.first.append(self.used)
-            self.size.append(len(ids))
-            self.used += len(ids)
+        plain = [w for w in words if _BETWEEN not in w]
+        ids = self._encode([f" {_BETWEEN} ".join([*plain[i : i + 512], ""]) for i in range(0, len(plain), 512)])
+        cuts = np.flatnonzero(ids == self.between)
+        sizes = [np.diff(cuts, prepend=-1) - 1]
+        pools = [self.pool, ids[ids != self.between]]
+        odd = [w for w in words if _BETWEEN in w]
+        for word in odd:
+            pools.append(self._encode([word]))
+            sizes.append(np.array([len(pools[-1])]))
+        size = np.concatenate(sizes)
+        self.slots.update(zip([*plain, *odd], range(len(self.first), len(self.first) + len(size))))
+        self.first = np.append(self.first, len(self.pool) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.pool = np.concatenate(pools)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each text with the end id: how many, and all in order."""
         if len(self.slots) > _REMEMBERED:
             self._forget()
-        split = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
+        split = pc.ascii_split_whitespace(_loosened(texts))
         offsets = np.asarray(split.offsets) - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.slots]
-        self._remember(new)
+        self._remember([w for w in words if w not in self.slots])
         slot = np.array([self.slots[w] for w in words], np.int64)
         used = np.insert(slot[np.asarray(coded.indices)], offsets[1:], 0)
-        first, size = np.array(self.first)[used], np.array(self.size)[used]
+        size = self.size[used]
         ends = offsets[1:] + np.arange(1, len(texts) + 1)
         total = np.concatenate([[0], np.cumsum(size)])
-        return np.diff(np.concatenate([[0], total[ends]])), self.pool[spread(first, size)]
+        return np.diff(np.concatenate([[0], total[ends]])), self.pool[spread(self.first[used], size)]
 
 
 class TextEncoder:
@@ -319,7 +336,7 @@ def write_ids(
 
     The manifest has a row for each file: place in the order (``part``, ``file``),
     ``path``, ``n_docs``, ``n_ids`` and ``start``, the ids of all files before it.
-    ``by_word`` is for tokenizers to which white space only separates.
+    ``by_word`` is for tokenizers as :class:`WordEncoder` describes.
     """
     spark = docs.sparkSession
     folder = folder or new_workspace(spark, "llm-tokens")
@@ -336,7 +353,8 @@ def write_ids(
         def finish() -> None:
             rows.append((part, len(rows), f"{folder}/{name}", *open_file.close()))
 
-        for batch in text_chunks(batches, "text"):
+        # A text has no more ids than bytes, but for its end id.
+        for batch in text_chunks(batches, "text", min(CHUNK_BYTES, file_ids)):
             lengths, ids = encode(batch["text"])
             if open_file and open_file.n_ids + len(ids) > file_ids:
                 finish()
