@@ -192,7 +192,6 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("_items").cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("_items")).cast("binary"), 256).alias("items_sha256"),
         (F.size("_hits") > 0).alias("contaminated"),
-        F.col("_spans").alias("spans"),
     )
 
 
