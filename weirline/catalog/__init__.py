@@ -1,4 +1,4 @@
-from weirline.catalog.discovery import HeaderLedger, discover
+from weirline.catalog.discovery import HeaderLedger, discover, known_headers
 from weirline.catalog.tables import (
     add_new_columns,
     create_database,
@@ -21,6 +21,7 @@ __all__ = [
     "describe_raw_table",
     "discover",
     "fit_to_table",
+    "known_headers",
     "quoted",
     "register_discovered",
     "register_partitions",

@@ -43,6 +43,16 @@ class HeaderLedger:
         return self._known().join(listed.select(*_VERSION), _VERSION, "left_semi").dropDuplicates(_VERSION)
 
 
+def known_headers(
+    spark: SparkSession, location: str, state_path: str, pattern: str, scan: bool | None, listed: DataFrame
+) -> DataFrame:
+    """Header lines of the listed files that are not empty; only new files are opened."""
+    listed = listed.where("length > 0")
+    ledger = HeaderLedger(spark, f"{state_path}/headers")
+    ledger.refresh(listed, location, pattern, scan)
+    return ledger.current(listed)
+
+
 def discover(
     spark: SparkSession,
     location: str,
@@ -58,8 +68,6 @@ def discover(
     are opened where they are; ``scan`` reads them through Spark instead, which
     is also what happens on storage that only the JVM can reach.
     """
-    listed = (list_files(spark, location, pattern) if listed is None else listed).where("length > 0")
-    ledger = HeaderLedger(spark, f"{state_path}/headers")
-    ledger.refresh(listed, location, pattern, scan)
-    headers = ledger.current(listed)
+    listed = list_files(spark, location, pattern) if listed is None else listed
+    headers = known_headers(spark, location, state_path, pattern, scan, listed)
     return Discovery(location, headers, find_layouts(headers), pattern)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from weirline.catalog import deleted_partitions, describe_raw_table, discover, update_raw_table
+from weirline.catalog import deleted_partitions, describe_raw_table, known_headers, update_raw_table
 from weirline.config import JobConfig
 from weirline.plans.curate import shape
 from weirline.sinks import BATCH_COLUMN, replace_batch, replace_batch_in_table
@@ -27,10 +27,12 @@ class RunReport:
 
 def _listing(spark: SparkSession, location: str, config: JobConfig) -> DataFrame:
     """The one listing of a run, kept beside its state so that all of the run sees the same files."""
-    path = f"{config.state_path}/listing"
-    listed = list_files(spark, location, config.raw_pattern)
-    listed.write.mode("overwrite").parquet(path)
-    return spark.read.schema(listed.schema).parquet(path)
+    return _kept(list_files(spark, location, config.raw_pattern), f"{config.state_path}/listing")
+
+
+def _kept(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def run_arrivals(spark: SparkSession, config: JobConfig) -> RunReport:
@@ -48,9 +50,10 @@ def run_arrivals(spark: SparkSession, config: JobConfig) -> RunReport:
     location, columns, partitions = describe_raw_table(spark, config.source)
     listed = _listing(spark, location, config)
     require_depth(listed, location, partitions)
-    found = discover(spark, location, config.state_path, config.raw_pattern, listed=listed)
     accepted = AcceptedFiles(spark, f"{config.state_path}/accepted")
-    waiting = accepted.without(found.headers)
+    headers = known_headers(spark, location, config.state_path, config.raw_pattern, None, accepted.without(listed))
+    # What is waiting may be read several times below; none of that goes back to all that was ever seen.
+    waiting = _kept(headers, f"{config.state_path}/waiting")
     layouts = find_layouts(waiting)
     new_columns: list[str] = []
     if layouts:
