@@ -293,11 +293,10 @@ def infer_columns(
     if sampling_ratio < 1:
         text = text.sample(sampling_ratio)
     names = merged_columns(found.layouts)
-    flags = [F.coalesce(F.bool_or(_value_type(field(c)) == t), F.lit(False)).alias(f"{i}:{t}") for i, c in enumerate(names) for t in _TYPES]
-    seen = text.agg(*flags).first()
+    seen = text.agg(*[F.collect_set(_value_type(field(c))).alias(str(i)) for i, c in enumerate(names)]).first()
     columns = []
     for i, name in enumerate(names):
-        kinds = [t for t in _TYPES if seen[f"{i}:{t}"]] or ["string"]
+        kinds = sorted(seen[str(i)], key=_TYPES.index) or ["string"]
         columns.append(T.StructField(name, T.DataType.fromDDL(reduce(wider_type, kinds))))
     return T.StructType(columns + [T.StructField(p, T.StringType()) for p in partitions])
 
@@ -310,6 +309,8 @@ def _value_type(text: Column) -> Column:
     whole = text.rlike(r"^[+-]?\d+$")
     return (
         F.when(text.isNull() | (text == ""), None)
+        # Most text tells by its first sign that it is neither a number nor a date.
+        .when(~text.rlike(r"^[+-]?[\d.NI]") & ~F.lower(text).isin("true", "false"), "string")
         .when(whole & strict_cast(text, "int").isNotNull(), "int")
         .when(whole & strict_cast(text, "bigint").isNotNull(), "bigint")
         .when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(NaN|Infinity)$"), "double")
