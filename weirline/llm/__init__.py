@@ -1,6 +1,8 @@
 """Operators for preparing training data, and their queries."""
 
+import sys
+
 from pyspark import cloudpickle
 
 # Tasks get this code with the plan, so workers need no copy of the package.
-cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["_"]))
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

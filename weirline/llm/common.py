@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from weirline.scratch import new_workspace
 
 #: Text that one step inside a Python task works on at a time, unless one text alone is longer.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

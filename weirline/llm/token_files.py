@@ -354,7 +354,7 @@ def write_ids(
             rows.append((part, len(rows), f"{folder}/{name}", *open_file.close()))
 
         # A text has no more ids than bytes, but for its end id.
-        for batch in text_chunks(batches, "text", min(CHUNK_BYTES, file_ids)):
+        for batch in text_chunks(batches, "text", min(2 * CHUNK_BYTES, file_ids)):
             lengths, ids = encode(batch["text"])
             if open_file and open_file.n_ids + len(ids) > file_ids:
                 finish()
