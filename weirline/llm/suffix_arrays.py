@@ -106,8 +106,8 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
 def _sorted_directly(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """Some suffixes in order of their first ``depth`` bytes.
 
-    Groups of suffixes that agree so far are split by their next eight bytes, after
-    going on to where the members of a group first differ.
+    Groups of suffixes that agree so far are split by their next eight bytes, and
+    then by where, and on which side, each member parts from the first.
     """
     n = len(data)
     padded = np.zeros(n + depth + 16, np.uint8)
@@ -118,36 +118,58 @@ def _sorted_directly(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray
     at = at[np.argsort(eight[at], kind="stable")]
     if len(at) < 2:
         return at
-    roll = Rolling(padded[: n + depth + 8])
     same = np.zeros(len(at), bool)
     same[1:] = eight[at[1:]] == eight[at[:-1]]
     place, group = _tied(same)
+    agreed = 8
+    # Most groups part within a few more bytes; the others are long repeats.
+    while len(place) and agreed <= 24 and agreed < depth:
+        place, group = _split(at, place, group, eight[at[place] + agreed])
+        agreed += 8
+    if not len(place) or agreed >= depth:
+        return at
+    roll = Rolling(padded[: n + depth + 8])
+    known = np.full(len(place), agreed)
     while len(place):
         members = at[place]
         head = np.flatnonzero(np.diff(group, prepend=-1))
         leader = np.repeat(members[head], np.diff(np.append(head, len(group))))
-        # How far each member agrees with the first of its group, by bisection.
-        low, high = np.zeros(len(members), np.int64), np.full(len(members), depth)
-        while (low < high).any():
+        mine = roll.total[members], roll.inverse[members]
+        first = roll.total[leader], roll.inverse[leader]
+        # How far each member agrees with the first of its group: to the end, or by bisection.
+        low, high = known, np.full(len(members), depth)
+        middle = high
+        while True:
+            one = (roll.total[members + middle] - mine[0]) * mine[1]
+            yes = one == (roll.total[leader + middle] - first[0]) * first[1]
+            low, high = np.where(yes, middle, low), np.where(yes, high, middle - 1)
+            if (low >= high).all():
+                break
             middle = (low + high + 1) // 2
-            agrees = roll.of(members, middle) == roll.of(leader, middle)
-            low, high = np.where(agrees, middle, low), np.where(agrees, high, middle - 1)
-        agreed = np.repeat(np.minimum.reduceat(low, head), np.diff(np.append(head, len(group))))
-        open_ = agreed < depth
-        place, group, members, agreed = place[open_], group[open_], members[open_], agreed[open_]
-        if not len(place):
-            break
-        key = eight[members + agreed]
+        # Members that part earlier stand further from the first, on the side of the byte that differs.
+        below = eight[members + low] < eight[leader + low]
+        key = np.where(below, low, np.where(low == depth, depth + 1, 2 * depth + 2 - low))
         by = np.lexsort((key, group))
         at[place] = members[by]
-        key = key[by]
+        key, low = key[by], low[by]
         same = np.zeros(len(place), bool)
-        same[1:] = (key[1:] == key[:-1]) & (group[1:] == group[:-1])
-        again, group = _tied(same)
-        place = place[again]
+        same[1:] = (key[1:] == key[:-1]) & (group[1:] == group[:-1]) & (low[1:] < depth)
+        tied, group = _tied(same)
+        place, known = place[tied], low[tied]
     return at
 
 
+def _split(at: np.ndarray, place: np.ndarray, group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order the members of each group by key; gives those still tied, and their groups."""
+    by = np.lexsort((key, group))
+    at[place] = at[place[by]]
+    key = key[by]
+    same = np.zeros(len(place), bool)
+    same[1:] = (key[1:] == key[:-1]) & (group[1:] == group[:-1])
+    tied, group = _tied(same)
+    return place[tied], group
+
+
 def _tied(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of members of groups of two or more, and their groups; ``same`` says: as the one before."""
     tied = same.copy()
