@@ -192,3 +192,29 @@ def test_surrogates_of_odd_texts(odd, repeated, empty):
     assert listed(done, *odd.columns) == listed(odd, *odd.columns)
     assert surrogates.without_personal_data(repeated).count() == repeated.count()
     assert surrogates.without_personal_data(empty).count() == 0
+
+
+NAMES = [
+    (1, "Mr. McDonald met Mrs. O'Neil.", "McDonald O'Neil"),
+    (2, "Mr. J. Smith, Mr. John McDonald.", "Smith John McDonald"),
+    (3, "Mr. John Paul Smith and Mrs. Anne-Marie Smith-Jones", "John Paul Smith Anne Marie Jones"),
+    (4, "Dr. John Smith saw Prof. Dr. Ludwig van Beethoven", "John Smith Ludwig Beethoven"),
+    (5, "Mr. John Smith came. Smith's son left; SMITH and John stayed.", "John Smith SMITH"),
+    (6, "Mr. J. said: Smith.", ""),
+]
+
+
+def test_whole_names_and_later_mentions(spark):
+    import re
+
+    docs = spark.createDataFrame([r[:2] for r in NAMES], "doc_id bigint, text string")
+    done = {r["_row"].doc_id: r["_text"] for r in surrogates.replace(docs, "k").collect()}
+    for i, text, gone in NAMES:
+        assert not set(re.findall(r"[\w']+", done[i])) & set(gone.split()), done[i]
+    mc, o = re.fullmatch(r"Mr\. (\w+) met Mrs\. ([\w']+)\.", done[1]).groups()
+    smith, john, again = re.fullmatch(r"Mr\. [A-Z]\. (\w+), Mr\. (\w+) (\w+)\.", done[2]).groups()
+    assert again == mc and mc[0].isupper() and mc[2].isupper() and "'" in o
+    assert re.fullmatch(rf"Mr\. {john} \w+ {smith} and Mrs\. \w+-\w+ {smith}-\w+", done[3])
+    assert re.fullmatch(rf"Dr\. {john} {smith} saw Prof\. Dr\. \w+ van \w+", done[4])
+    assert done[5] == f"Mr. {john} {smith} came. {smith}'s son left; {smith.upper()} and {john} stayed."
+    assert re.fullmatch(r"Mr\. [A-Z]\. said: Smith\.", done[6])

@@ -1,7 +1,10 @@
 """Personal data replaced by keyed surrogates, in built-in functions only.
 
 Found are e-mail addresses, IBANs, payment cards, US social security numbers, IPv4
-addresses, phone numbers and names after a title. Each distinct entity (in canonical
+addresses, phone numbers and names after a title: any number of words with inner
+capitals, apostrophes and hyphens, initials and particles. Later bare mentions of a
+found name's words in the same text (in capitals or with one at the start) are
+replaced as well. Each distinct entity (in canonical
 form: e-mails in lower case, numbers as their digits, each part of a name) gets one
 surrogate for the whole corpus, so that what referred to one person still does:
 
@@ -11,7 +14,10 @@ surrogate for the whole corpus, so that what referred to one person still does:
   card its first digit and a right check digit, an IBAN its country, a social
   security number lies in the range never issued;
 * a given name comes from a list for the title's gender and the name's script, a
-  surname keeps its last letter, which bears gender in some languages.
+  surname keeps its last letter, which bears gender in some languages; a given name
+  after a title without gender is the one known from titles with gender, if any is;
+* the last word of a name that is no initial is the surname, hyphened parts stand for
+  themselves, an initial follows its letter and key only; titles and particles stay.
 
 Surrogates come from a hash under ``key``. They are then checked over all entities:
 where two of a kind got the same, or one that occurs in the texts, all but one draw
@@ -20,7 +26,9 @@ without personal data are not shuffled.
 
 Defined cases: a null or empty text stays; equal rows get equal texts; a match is of
 the first kind in the order above that fits it; letters of scripts without a class
-here stay as they are; other columns are kept as they are, whatever their names.
+here stay as they are; capitalised words right after a name count as part of it;
+words before the first titled mention stay; kinds list titled names, not bare
+mentions; other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +46,11 @@ MAX_DRAWS = 60
 # Titles by the gender they tell, given names by gender and script.
 FEMALE = ("Mrs", "Ms", "Miss", "Mme", "Madame", "Mlle", "Frau", "Señora", "Sra", "Signora", "г-жа", "Госпожа", "Κυρία")
 MALE = ("Mr", "Monsieur", "Herr", "Señor", "Sr", "Signor", "г-н", "Господин", "Κύριος")
+NEUTRAL = ("Dr", "Prof", "Doctor", "Professor", "Professeur", "Docteur", "Doktor", "Доктор", "Профессор", "д-р", "проф", "Δρ")
+PARTICLES = (
+    "van von vom der den des de del della dell di da das do dos du d la las le los l el al bin ibn ben bint "
+    "zu zum zur ter ten af av y"
+).split()
 GIVEN = {
     ("Latin", "f"): "anna clara elena emma ines julia laura lena maria nora paula sofia".split(),
     ("Latin", "m"): "adam bruno daniel emil felix hugo jonas leo martin oscar paul simon".split(),
@@ -47,7 +60,20 @@ GIVEN = {
     ("Greek", "m"): "αλεξης γιωργος δημητρης κωστας μανος νικος πετρος στελιος".split(),
 }
 
-_TITLE = "|".join(sorted((*FEMALE, *MALE), key=len, reverse=True))
+_TITLE = "|".join(sorted((*FEMALE, *MALE, *NEUTRAL), key=len, reverse=True))
+_LETTER = r"[\p{L}\p{M}]"
+_SPACE = r"[\x20\xA0]"
+_HEAD = rf"(?:(?:{_TITLE})(?:\.{_SPACE}{{0,2}}|{_SPACE}{{1,2}}))+"
+_PARTICLE = "|".join(PARTICLES)
+#: What an apostrophe joins, but for a possessive.
+_JOINED = rf"(?:['’](?!s(?!{_LETTER})){_LETTER}++)"
+_WORD = rf"(?!(?:{_TITLE})(?!{_LETTER}))\p{{Lu}}{_LETTER}*+(?:{_JOINED}|[-‐‑]{_LETTER}++)*+"
+_PART = rf"(?:(?:{_PARTICLE})(?:{_SPACE}{{1,2}}|['’-]))*+(?:\p{{Lu}}\.|{_WORD})"
+#: The parts of a name that get surrogates, and the words that may mention one.
+_PIECE = rf"(?<!{_LETTER})(?!(?:{_PARTICLE})(?!{_LETTER}))\p{{L}}{_LETTER}*+{_JOINED}*+"
+_MENTION = rf"(?<!{_LETTER})\p{{Lu}}(?=[\p{{L}}\p{{M}}'’]){_LETTER}*+{_JOINED}*+"
+#: The last word of a name that is no initial, with what follows it.
+_LAST = rf"[^\x20\xA0]*{_LETTER}['’]?{_LETTER}[^\x20\xA0]*(?:{_SPACE}+\p{{Lu}}\.?)*$"
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -58,10 +84,10 @@ KINDS = {
         r"(?:\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{2,4}(?:[\x20.-]?\d{2,4}){1,4}"
         r"|(?<!\w)\(\d{3}\)[\x20.-]?\d{3}[\x20.-]\d{4}|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4})(?!\w)"
     ),
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.?\x20\p{{Lu}}\p{{Ll}}+(?:\x20\p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})",
+    "name": rf"(?<!\p{{L}}){_HEAD}{_PART}(?:(?:{_SPACE}{{1,2}}|(?<=\.)){_PART})*+",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
-_NAME = rf"^({_TITLE})\.?\x20(\p{{L}}+)(?:\x20(\p{{L}}+))?$"
+_NAME_KINDS = ("surname", "given-m", "given-f", "given-n")
 
 #: Letters and digits that stand for each other. Canonical forms are in lower case, but for IBANs.
 CLASSES = (
@@ -121,8 +147,33 @@ def _kind(found: Column) -> Column:
     return result
 
 
-def _gender(found: Column) -> Column:
-    return F.when(F.regexp_extract(found, _NAME, 1).isin(*FEMALE), "f").otherwise("m")
+def _gender(head: Column) -> Column:
+    """The gender that titles tell, or n."""
+
+    def one_of(titles: tuple[str, ...]) -> Column:
+        return head.rlike(rf"(?<!\p{{L}})(?:{'|'.join(titles)})(?!\p{{L}})")
+
+    return F.when(one_of(FEMALE), "f").when(one_of(MALE), "m").otherwise("n")
+
+
+def _canonical(word: Column) -> Column:
+    return F.translate(F.lower(word), "’", "'")
+
+
+def _head(found: Column) -> Column:
+    return F.regexp_extract(found, f"^{_HEAD}", 0)
+
+
+def _pieces(found: Column) -> tuple[Column, Column, Column]:
+    """A name's body, its pieces and how many come before the surname's."""
+    body = F.substr(found, F.length(_head(found)) + 1)
+    last = F.regexp_extract(body, _LAST, 0)
+    before = F.substr(body, F.lit(1), F.length(body) - F.length(last))
+
+    def all_of(text: Column) -> Column:
+        return F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
+
+    return body, all_of(body), F.size(all_of(before))
 
 
 def _script(name: Column) -> Column:
@@ -140,12 +191,18 @@ def entities_of(found: Column) -> Column:
     """The entities of a match: kind, canonical form and what of it stays."""
     kind = _kind(found)
     digits = F.regexp_replace(found, r"\D", "")
-    first, second = F.regexp_extract(found, _NAME, 2), F.regexp_extract(found, _NAME, 3)
-    surname = F.when(second == "", first).otherwise(second)
-    given = _entity(F.concat(F.lit("given-"), _gender(found)), F.lower(first), _script(first))
-    last = _entity("surname", F.lower(surname))
+    _, pieces, n_given = _pieces(found)
+    given = F.concat(F.lit("given-"), _gender(_head(found)))
+
+    def part(p: Column, i: Column) -> Column:
+        mine = i < n_given
+        return _entity(
+            F.when(mine, given).otherwise("surname"), _canonical(p), F.when(mine, _script(p)).otherwise(F.lit(""))
+        )
+
+    names = F.filter(F.transform(pieces, part), lambda e: F.length(e["canonical"]) > 1)
     return (
-        F.when(kind == "name", F.when(second == "", F.array(last)).otherwise(F.array(given, last)))
+        F.when(kind == "name", names)
         .when(kind == "email", F.array(_entity(kind, F.lower(found))))
         .when(kind == "iban", F.array(_entity(kind, F.regexp_replace(found, " ", ""))))
         .when(kind == "ip", F.array(_entity(kind, found)))
@@ -189,6 +246,10 @@ def _candidate(kind: Column, canonical: Column, fixed: Column, draw: Column, key
         listed = F.element_at(F.array(*map(F.lit, names)), _draw(seed, 0, F.lit(len(names))) + 1)
         mine = (kind == f"given-{gender}") & (fixed == script) & (draw == 0)
         given = F.when(mine, listed).otherwise(given)
+    for script in ("Latin", "Cyrillic", "Greek"):
+        names = sorted(GIVEN[script, "f"] + GIVEN[script, "m"])
+        listed = F.element_at(F.array(*map(F.lit, names)), _draw(seed, 0, F.lit(len(names))) + 1)
+        given = F.when((kind == "given-n") & (fixed == script) & (draw == 0), listed).otherwise(given)
     kept = F.length(fixed)
     return (
         F.when(kind == "email", email)
@@ -228,20 +289,60 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     raise ValueError(f"no distinct surrogates after {MAX_DRAWS} draws: too many entities of one format")
 
 
-def _rendered(found: Column, surrogates: Column) -> Column:
-    """A match in its own format, with the surrogate in place of what it said."""
-    kind = _kind(found)
+def _entry(surrogates: Column, kind: Column | str, canonical: Column) -> Column:
+    """What a text's map has for an entity: surrogate and first, the number of its first match."""
+    return F.try_element_at(surrogates, F.concat_ws("\x1f", F.lit(kind) if isinstance(kind, str) else kind, canonical))
+
 
-    def of(entity: Column) -> Column:
-        return F.element_at(surrogates, F.concat_ws("\x1f", entity["kind"], entity["canonical"]))
+def _cased(word: Column, surrogate: Column, given: Column) -> Column:
+    """The surrogate with the capitals and apostrophes of the word it stands for."""
 
-    entities = entities_of(found)
-    only = of(entities[0])
+    def capital(c: Column, i: Column) -> Column:
+        was = F.substr(word, i + 1, F.lit(1))
+        return F.when((was != F.lower(was)) & (~given | (i == 0)), F.upper(c)).otherwise(c)
+
+    chars = F.filter(F.split(surrogate, ""), lambda c: c != "")
+    cased = F.when(word == F.upper(word), F.upper(surrogate)).otherwise(F.array_join(F.transform(chars, capital), ""))
+    return F.when(F.instr(word, "’") > 0, F.translate(cased, "'", "’")).otherwise(cased)
+
+
+def _woven(gaps: Column, words: Column) -> Column:
+    return F.array_join(F.zip_with(gaps, words, lambda gap, w: F.concat(gap, F.coalesce(w, F.lit("")))), "")
+
+
+def _mentions_replaced(gap: Column, number: Column, surrogates: Column) -> Column:
+    """What stands before match ``number``, with surrogates for words of names found earlier."""
+
+    def replaced(word: Column) -> Column:
+        result = word
+        for kind in reversed(_NAME_KINDS):
+            known = _entry(surrogates, kind, _canonical(word))
+            result = F.when(known["first"] < number, _cased(word, known["surrogate"], F.lit(kind != "surname"))).otherwise(result)
+        return result
+
+    words = F.regexp_extract_all(gap, F.lit(_MENTION), F.lit(0))
+    return _woven(F.split(gap, _MENTION, -1), F.transform(words, replaced))
+
+
+def _rendered(found: Column, surrogates: Column, key: str) -> Column:
+    """A match in its own format, with the surrogate in place of what it said."""
+    kind = _kind(found)
+    entity = entities_of(found)[0]
+    only = _entry(surrogates, entity["kind"], entity["canonical"])["surrogate"]
     spaced = F.split(found, r"[0-9A-Z]", -1)
     signs = F.filter(F.split(only, ""), lambda c: c != "")
     refilled = F.array_join(F.zip_with(spaced, signs, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
-    head = F.regexp_extract(found, rf"^(?:{_TITLE})\.?\x20", 0)
-    name = F.concat(head, F.array_join(F.transform(entities, lambda e: F.initcap(of(e))), " "))
+    body, pieces, n_given = _pieces(found)
+    given = F.concat(F.lit("given-"), _gender(_head(found)))
+
+    def part(p: Column, i: Column) -> Column:
+        mine = i < n_given
+        surrogate = _entry(surrogates, F.when(mine, given).otherwise("surname"), _canonical(p))["surrogate"]
+        seed = F.xxhash64(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("initial"), F.lower(p)).cast("binary"), 256))
+        initial = _same_class(F.lower(p), seed)
+        return F.when(F.length(p) == 1, F.upper(initial)).otherwise(_cased(p, surrogate, mine))
+
+    name = F.concat(_head(found), _woven(F.split(body, _PIECE, -1), F.transform(pieces, part)))
     email = F.when(found == F.upper(found), F.upper(only)).otherwise(only)
     return (
         F.when(kind == "name", name)
@@ -251,6 +352,13 @@ def _rendered(found: Column, surrogates: Column) -> Column:
     )
 
 
+def _one_gender(mentions: DataFrame) -> DataFrame:
+    """Mentions with ``as_kind``: given names without gender as one that titles elsewhere tell, if any do."""
+    told = mentions.where(F.col("kind").isin("given-f", "given-m")).groupBy("canonical").agg(F.max("kind").alias("told"))
+    told = told.withColumn("kind", F.lit("given-n"))
+    return mentions.join(told, ["kind", "canonical"], "left").withColumn("as_kind", F.coalesce("told", "kind")).drop("told")
+
+
 def replace(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """The rows as ``_row`` with ``_text``, the text without personal data, and ``_kinds``, of its matches in order."""
     whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
@@ -261,24 +369,26 @@ def replace(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
         "_row",
         F.split(body, ANY, -1).alias("_gaps"),
         F.regexp_extract_all(body, F.lit(ANY), F.lit(0)).alias("_found"),
-    )
+    ).withColumn("_kinds", F.transform("_found", _kind))
     found = materialise(found, "personal")
-    mentions = found.select("_id", F.explode("_found").alias("m")).select("_id", F.explode(entities_of(F.col("m"))).alias("e"))
-    mentions = mentions.select("_id", "e.kind", "e.canonical", "e.fixed")
-    given = assign(mentions, key)
-    pairs = F.struct(F.concat_ws("\x1f", "kind", "canonical").alias("entity"), "surrogate")
+    mentions = found.select("_id", F.posexplode("_found").alias("number", "m"))
+    mentions = mentions.select("_id", "number", F.explode(entities_of(F.col("m"))).alias("e"))
+    mentions = mentions.groupBy("_id", "e.kind", "e.canonical").agg(F.min("e.fixed").alias("fixed"), F.min("number").alias("first"))
+    mentions = materialise(_one_gender(mentions), "mentions")
+    given = assign(mentions.select(F.col("as_kind").alias("kind"), "canonical", "fixed"), key)
+    pairs = F.struct(F.concat_ws("\x1f", "kind", "canonical").alias("entity"), F.struct("surrogate", "first").alias("entry"))
     maps = (
-        mentions.select("_id", "kind", "canonical")
-        .distinct()
-        .join(given, ["kind", "canonical"])
+        mentions.join(given.withColumnRenamed("kind", "as_kind"), ["as_kind", "canonical"])
         .groupBy("_id")
         .agg(F.map_from_entries(F.collect_list(pairs)).alias("_map"))
     )
-    rendered = F.transform("_found", lambda m: _rendered(m, F.col("_map")))
-    woven = F.zip_with("_gaps", rendered, lambda gap, s: F.concat(gap, F.coalesce(s, F.lit(""))))
-    changed = found.join(maps, "_id").select(
-        "_row", F.array_join(woven, "").alias("_text"), F.transform("_found", _kind).alias("_kinds")
+    rendered = F.transform("_found", lambda m: _rendered(m, F.col("_map"), key))
+    named = F.array_position("_kinds", "name")
+    gaps = F.transform(
+        "_gaps", lambda gap, i: F.when((named > 0) & (i >= named), _mentions_replaced(gap, i, F.col("_map"))).otherwise(gap)
     )
+    # A name of initials only has no entity, so a text may have no map.
+    changed = found.join(maps, "_id", "left").select("_row", _woven(gaps, rendered).alias("_text"), "_kinds")
     clean = whole.where(~has_some).select("_row", body.alias("_text"), F.array().cast("array<string>").alias("_kinds"))
     return clean.unionByName(changed)
 
