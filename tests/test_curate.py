@@ -2,7 +2,7 @@ import math
 from datetime import date
 
 import pytest
-from conftest import CLEAN, PARTITIONS, drop
+from lake import CLEAN, PARTITIONS, drop
 from pyspark.sql import Observation
 
 from weirline.catalog import create_database, register_partitions, register_raw_table

@@ -3,7 +3,7 @@ import os
 import shutil
 
 import pytest
-from conftest import CLEAN, HEADER, PARTITIONS, drop
+from lake import CLEAN, HEADER, PARTITIONS, drop
 
 from weirline.catalog import (
     deleted_partitions,

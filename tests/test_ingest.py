@@ -2,7 +2,7 @@ import os
 from dataclasses import replace
 
 import pytest
-from conftest import CLEAN, HEADER, PARTITIONS, drop
+from lake import CLEAN, HEADER, PARTITIONS, drop
 
 from weirline.catalog import create_database, register_raw_table
 from weirline.config import CurateRules, JobConfig, LakeNames

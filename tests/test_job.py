@@ -3,7 +3,7 @@ import subprocess
 import sys
 from pathlib import Path
 
-from conftest import CLEAN, PARTITIONS, drop
+from lake import CLEAN, PARTITIONS, drop
 
 from weirline.__main__ import main
 from weirline.catalog import register_partitions, register_raw_table

@@ -1,3 +1,4 @@
+import sys
 from pathlib import Path
 
 import pytest
@@ -29,3 +30,11 @@ def test_query_agrees_with_sql(spark, db, name):
 def test_entry(spark):
     df = contract.entry(spark)
     assert df.columns == ["region", "cnt"] and df.count() > 0
+
+
+def test_the_rest_stays_where_training_data_cannot_be_imported(monkeypatch):
+    for module in [m for m in sys.modules if m.startswith("weirline.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, module)
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    assert contract.queries().keys() == QUERIES.keys()
+    assert contract.oracle_sql().keys() == ORACLE.keys()
