@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -152,3 +153,99 @@ def neighbours(rows, k=5, every=50):
         near[ids == ids[q]] = -2
         out[int(ids[q])] = ids[np.lexsort((ids, -near))[:k]].tolist()
     return out
+
+
+def inner_products(rows, k=5, steps=256, every=50):
+    """Of (vec_id, vector): (query_id, rank, vec_id, score), sorted; ids must be unique."""
+    whole = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            whole[i] = [math.floor(steps * x) for x in v]
+    out = []
+    for q, v in whole.items():
+        if q % every == 0:
+            others = [(sum(a * b for a, b in zip(v, w)), i) for i, w in whole.items() if i != q and len(w) == len(v)]
+            best = sorted(others, key=lambda o: (-o[0], o[1]))[:k]
+            out += [(q, n, i, min(max(s, -(2**63)), 2**63 - 1)) for n, (s, i) in enumerate(best, 1)]
+    return sorted(out)
+
+
+def one_edit(a: str, b: str) -> bool:
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    if len(a) > len(b):
+        a, b = b, a
+    return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def spelling(rows):
+    """Of (doc_id, text): (word, form, root, n, n_near, form_n), sorted."""
+    seen = Counter()
+    for i, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            seen[run if h % 31 else run[: h % len(run)] + run[h % len(run) + 1 :]] += 1
+    n = {w: c for w, c in seen.items() if c >= 2 and len(w) >= 7}
+    # Words one edit apart share a word that is one of them, or either less one letter.
+    shared = defaultdict(set)
+    for w in n:
+        for v in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}:
+            shared[v].add(w)
+    near = defaultdict(set)
+    for group in shared.values():
+        for a in group:
+            near[a] |= {b for b in group if one_edit(a, b)}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best and n[best] >= 10 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n.get(form[w])))
+    return sorted(out)
+
+
+def token_alignment(rows, a, b):
+    """Of (doc_id, text) and two tokenizers: the documents' rows, sorted, by whole texts."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(x): x for x in plain}
+    byte |= {chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in plain)}
+
+    def ends(tokens):
+        at, found = 0, {}
+        for k, t in enumerate(tokens):
+            at += len(t)
+            found[at] = k
+        return found
+
+    aligned, counts = [], Counter()
+    for i, t in rows:
+        a_ids, b_ids = (a.encode(" " + t, add_special_tokens=False).ids, b.encode(t)) if t else ([], [])
+        a_said = [bytes(byte[c] for c in a.id_to_token(x)) for x in a_ids]
+        pieces = [b.id_to_piece(x) for x in b_ids]
+        b_said = [bytes([int(p[3:5], 16)]) if b.is_byte(x) else p.replace("▁", " ").encode() for x, p in zip(b_ids, pieces)]
+        if not t or not b"".join(a_said) == b"".join(b_said) == (" " + t).encode():
+            aligned.append((i, [], [], [], ""))
+            continue
+        a_ends, b_ends = ends(a_said), ends(b_said)
+        p = q = 0
+        groups, links = [], []
+        for cut in sorted(a_ends.keys() & b_ends.keys()):
+            x, y = a_ends[cut] + 1, b_ends[cut] + 1
+            groups.append(",".join(map(str, a_ids[p:x])) + "|" + ",".join(map(str, b_ids[q:y])))
+            links.append((a_ids[x - 1], b_ids[y - 1]))
+            p, q = x, y
+        counts.update(links)
+        aligned.append((i, a_ids, b_ids, links, sha(";".join(groups))))
+    top = defaultdict(int)
+    for (_, y), c in counts.items():
+        top[y] = max(top[y], c)
+    out = [
+        (i, len(x), len(y), len(l), len(l), sum(counts[p] == top[p[1]] for p in l), sum(counts[p] for p in l), h)
+        for i, x, y, l, h in aligned
+    ]
+    return sorted(out, key=repr)

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, near_join, packing, prefix_forest, recompression, secrets, suffix_arrays, surrogates, token_files
+from . import (
+    alignment,
+    bit_slices,
+    decontaminate,
+    language,
+    near_join,
+    packing,
+    prefix_forest,
+    recompression,
+    secrets,
+    spelling,
+    suffix_arrays,
+    surrogates,
+    token_files,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +35,9 @@ QUERIES: dict[str, Query] = {
     "op8_pii_surrogates": surrogates.report,
     "op9_benchmark_decontamination": decontaminate.report,
     "op10_suffix_array_dedup": suffix_arrays.report,
+    "op11_bit_sliced_top_k": bit_slices.report,
+    "op12_spelling_variants": spelling.report,
+    "op13_token_alignment": alignment.report,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -103,8 +120,27 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce
 FROM w LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
+_OP11 = """
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM rows q JOIN rows c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, (row_number() OVER best)::INTEGER AS rank, vec_id, score
+FROM scored
+WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER best <= 5
+"""
+
 ORACLE: dict[str, str] = {
     "op2_substring_dedup": _OP2,
     "op3_ngram_jaccard_join": _OP3,
     "op9_benchmark_decontamination": _OP9,
+    "op11_bit_sliced_top_k": _OP11,
 }
