@@ -7,8 +7,9 @@ neighbourhood of its reduced word is generated in full, but no pair of reduced w
 both sides: a word generates itself, its deletions and its replacements by a higher
 symbol, for what it would insert is a deletion of the longer word, and a lower symbol is a
 higher one from the other side. Neighbours and reduced words of the vocabulary are joined
-on their hashes; pairs whose sets of letters differ in more than one edit can change are
-dropped, and the rest is verified on the words themselves.
+on their hashes. Words carry two sums over their letters' values, plain and by place, and
+as an edit's place is known, or must come out as a whole number, sums that one edit there
+cannot explain drop a pair; the rest is verified on the words themselves.
 
 The number of symbols is the least whose eighth power is the vocabulary's size, so a
 reduced word stands for about as many words at any size. One that stands for more than
@@ -31,6 +32,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -112,14 +114,33 @@ def symbols_for(words: int) -> int:
     return max(2, math.ceil(words ** (1 / 8)))
 
 
-def neighbourhoods(letters: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of words of one length, a row of code points each: the hash of each reduced word,
-    and hashes of its deletions and higher replacements, with the number of each word's."""
+def sums_of(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of the letters of words of one length, and their sums, plain and by place."""
+    value = (mix(letters.astype(np.uint64), 35) >> np.uint64(48)).astype(np.int64) + 1
+    return value, value.sum(axis=1), value @ np.arange(letters.shape[1])
+
+
+@dataclass
+class Neighbours:
+    """Of words of one length: their reduced words' hashes, and neighbours with the edit's place.
+
+    A word that is one edit at that place away has ``rest`` as its sum by place less place times its plain sum.
+    """
+
+    own: np.ndarray
+    counts: np.ndarray
+    key: np.ndarray
+    place: np.ndarray
+    rest: np.ndarray
+
+
+def neighbourhoods(letters: np.ndarray, symbols: int) -> Neighbours:
+    """Deletions and replacements by higher symbols, of words given as rows of code points."""
     n, length = letters.shape
     symbol = (mix(letters.astype(np.uint64), 31) % np.uint64(symbols)).astype(np.int64)
-    value = mix(np.arange(symbols, dtype=np.uint64), 32)
+    hashed = mix(np.arange(symbols, dtype=np.uint64), 32)
     power = powers(length + 1)
-    terms = value[symbol] * power[:length]
+    terms = hashed[symbol] * power[:length]
     upto = np.zeros((n, length + 1), np.uint64)
     np.cumsum(terms, axis=1, out=upto[:, 1:])
     whole = upto[:, -1:]
@@ -128,14 +149,31 @@ def neighbourhoods(letters: np.ndarray, symbols: int) -> tuple[np.ndarray, np.nd
         return mix(hashes ^ mix(np.full(1, size, np.uint64), 33), 34)
 
     shorter = upto[:, :-1] + (whole - upto[:, 1:]) * _INVERSE
-    # Of a run of one symbol any deletion gives the same.
+    # Of a run of one letter any deletion gives the same word.
     fresh = np.ones((n, length), bool)
-    fresh[:, 1:] = symbol[:, 1:] != symbol[:, :-1]
-    replaced = whole[:, :, None] - terms[:, :, None] + value[None, None, :] * power[None, :length, None]
+    fresh[:, 1:] = letters[:, 1:] != letters[:, :-1]
+    replaced = whole[:, :, None] - terms[:, :, None] + hashed[None, None, :] * power[None, :length, None]
     higher = np.arange(symbols)[None, None, :] > symbol[:, :, None]
+    value, plain, by_place = sums_of(letters)
+    place = np.arange(length)
+    # After a deletion the letters behind it stand one place further left.
+    behind = plain[:, None] - np.cumsum(value, axis=1)
+    gone = by_place[:, None] - place * value - behind - place * (plain[:, None] - value)
+    stays = by_place[:, None] - place * plain[:, None]
+
+    def both(deleted: np.ndarray, changed: np.ndarray) -> np.ndarray:
+        return np.concatenate([deleted, np.repeat(changed, symbols, axis=1)], axis=1)[wanted]
+
     keys = np.concatenate([named(shorter, length - 1), named(replaced.reshape(n, -1), length)], axis=1)
     wanted = np.concatenate([fresh, higher.reshape(n, -1)], axis=1)
-    return named(whole[:, 0], length), keys[wanted], wanted.sum(axis=1)
+    places = np.broadcast_to(place, (n, length))
+    return Neighbours(named(whole[:, 0], length), wanted.sum(axis=1), keys[wanted], both(places, places), both(gone, stays))
+
+
+_REDUCED = (
+    "id bigint, plain bigint, by_place bigint, key bigint, "
+    "looks_for array<bigint>, places array<int>, rests array<bigint>"
+)
 
 
 def _reduce(symbols: int):
@@ -152,16 +190,19 @@ def _reduce(symbols: int):
                     mine = order[at : min(at + step, stop)]
                     letters = np.frombuffer("".join(words[i] for i in mine).encode("utf-32-le"), np.uint32)
                     letters = letters.reshape(len(mine), size)
-                    key, looks_for, counts = neighbourhoods(letters, symbols)
-                    bit = np.uint64(1) << (mix(letters.astype(np.uint64), 35) % np.uint64(64))
+                    near = neighbourhoods(letters, symbols)
+                    _, plain, by_place = sums_of(letters)
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch["id"].take(pa.array(mine)),
-                            pa.array(np.bitwise_or.reduce(bit, axis=1).view(np.int64)),
-                            pa.array(key.view(np.int64)),
-                            ragged(looks_for.view(np.int64), counts),
+                            pa.array(plain),
+                            pa.array(by_place),
+                            pa.array(near.own.view(np.int64)),
+                            ragged(near.key.view(np.int64), near.counts),
+                            ragged(near.place.astype(np.int32), near.counts),
+                            ragged(near.rest, near.counts),
                         ],
-                        names=["id", "letters", "key", "looks_for"],
+                        names=["id", "plain", "by_place", "key", "looks_for", "places", "rests"],
                     )
 
     return reduce
@@ -170,28 +211,33 @@ def _reduce(symbols: int):
 def near_pairs(words: DataFrame, block: int = BLOCK, symbols: int | None = None) -> DataFrame:
     """All pairs of words one edit apart, once: word_a, n_a, word_b, n_b."""
     symbols = symbols or symbols_for(words.count())
-    shape = "id bigint, letters bigint, key bigint, looks_for array<bigint>"
-    reduced = materialise(words.select("id", "word").mapInArrow(_reduce(symbols), shape), "reduced")
+    reduced = materialise(words.select("id", "word").mapInArrow(_reduce(symbols), _REDUCED), "reduced")
     crowded = reduced.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > block)
     crowded = materialise(crowded.select("key", F.ceil(F.col("size") / block).cast("int").alias("pieces")), "crowded")
 
     # Spark broadcasts the crowded keys where their files are small: one for each 4,096 words at most.
     there = reduced.join(crowded, "key", "left").select(
-        "key", F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1))).cast("int").alias("piece"), "id", "letters"
-    )
-    asks = reduced.select("id", "letters", F.explode(F.concat(F.array("key"), "looks_for")).alias("key"))
-    pieces = F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)
-    asks = asks.join(crowded, "key", "left").select(
-        "key", F.explode(pieces).alias("piece"), F.col("id").alias("a"), F.col("letters").alias("with")
-    )
-    met = asks.join(there, ["key", "piece"]).where(
-        (F.col("a") != F.col("id")) & (F.bit_count(F.col("with").bitwiseXOR(F.col("letters"))) <= 2)
+        "key", F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1))).cast("int").alias("piece"), "id", "plain", "by_place"
     )
-    # Words with one reduced word meet from both sides.
-    met = met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    visits = F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("piece")
+    asks = reduced.select("id", F.explode(F.arrays_zip("looks_for", "places", "rests")).alias("l"))
+    asks = asks.select(F.col("l.looks_for").alias("key"), F.col("id").alias("a"), F.col("l.places").alias("place"), F.col("l.rests").alias("rest"))
+    asks = asks.join(crowded, "key", "left").select("key", visits, "a", "place", "rest")
+    edited = asks.join(there, ["key", "piece"]).where(F.col("by_place") - F.col("place") * F.col("plain") == F.col("rest"))
+    # Words with one reduced word, an unknown place apart.
+    alike = reduced.join(crowded, "key", "left")
+    alike = alike.select("key", visits, F.col("id").alias("a"), F.col("plain").alias("a_plain"), F.col("by_place").alias("a_place"))
+    change, moved = F.col("plain") - F.col("a_plain"), F.col("by_place") - F.col("a_place")
+    explained = F.when(change == 0, moved == 0).otherwise((moved % change == 0) & (F.signum(moved) * F.signum(change) >= 0))
+    alike = alike.join(there, ["key", "piece"]).where((F.col("a") < F.col("id")) & explained)
+    met = edited.select("a", F.col("id").alias("b")).unionByName(alike.select("a", F.col("id").alias("b")))
     met = met.join(words.select(F.col("id").alias("a"), F.col("word").alias("word_a"), F.col("n").alias("n_a")), "a")
     met = met.join(words.select(F.col("id").alias("b"), F.col("word").alias("word_b"), F.col("n").alias("n_b")), "b")
-    return met.where(F.levenshtein("word_a", "word_b", 1) == 1).select("word_a", "n_a", "word_b", "n_b")
+    pairs = met.where(F.levenshtein("word_a", "word_b", 1) == 1).select("word_a", "n_a", "word_b", "n_b")
+    # Two hashes that are equal by chance could let a pair meet twice.
+    sides = [F.struct(F.col(f"word_{s}").alias("word"), F.col(f"n_{s}").alias("n")) for s in "ab"]
+    pairs = pairs.select(F.least(*sides).alias("x"), F.greatest(*sides).alias("y")).distinct()
+    return pairs.select(F.col("x.word").alias("word_a"), F.col("x.n").alias("n_a"), F.col("y.word").alias("word_b"), F.col("y.n").alias("n_b"))
 
 
 def forms(words: DataFrame, pairs: DataFrame, times: int = TIMES) -> DataFrame:
