@@ -43,10 +43,18 @@ from .common import kept, materialise, ragged, spread, table, text_chunks
 MAX_PAIRS = 1 << 21
 SALTS = 32
 
-_REMEMBERED = 1 << 18
+_REMEMBERED = 1 << 19
 _REMEMBERED_LINKS = 1 << 22
 _SLICE = 1 << 20
 _COUNTED = 1 << 21
+_AT_ONCE = 1 << 13
+#: A sign that is always a token of its own to the second tokenizer.
+_BETWEEN = "\x01"
+
+#: Ids of some segments, where their spans end in bytes from the segment's start, and how many each has.
+_Encoded = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: All tokens' bytes, and where each token's begin and how many they are.
+_Bytes = tuple[np.ndarray, np.ndarray, np.ndarray]
 #: A single space between signs that are not white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _PROBES = ("two words", "a, b. c! don't", "l'été à 10 km", "你好 世界 \U0001f600 x", "<s> <0x41> <|endoftext|> y", "x\n\ny  z q")
@@ -74,19 +82,33 @@ def cuts_of(ends: np.ndarray, widths: np.ndarray, first: np.ndarray) -> np.ndarr
 
 
 def groups_of(
-    a: np.ndarray, a_cuts: np.ndarray, b: np.ndarray, b_cuts: np.ndarray
+    a: np.ndarray, a_cuts: np.ndarray, b: np.ndarray, b_cuts: np.ndarray, written: tuple[list[str], np.ndarray]
 ) -> tuple[np.ndarray, np.ndarray, str, np.ndarray]:
-    """Of tokens with ascending cuts: the last tokens of each group, all groups as text, and where each ends in it."""
+    """Of tokens with ascending cuts: the last tokens of each group, all groups as text, and where each ends in it.
+
+    ``written`` has each id with a comma, a bar and a semicolon behind it, and how long these are.
+    """
     common, i, j = np.intersect1d(a_cuts, b_cuts, assume_unique=True, return_indices=True)
     tokens = np.concatenate([a, b])
     group = np.concatenate([np.searchsorted(common, a_cuts), np.searchsorted(common, b_cuts)])
-    side = np.concatenate([np.zeros(len(a), np.int8), np.ones(len(b), np.int8)])
-    follows = np.full(len(tokens), ord(","), np.uint32)
-    follows[i], follows[len(a) + j] = ord("|"), ord(";")
-    order = np.lexsort((side, group))  # stable, so tokens stay in order
-    words = [f"{t}{chr(c)}" for t, c in zip(tokens[order].tolist(), follows[order].tolist())]
-    ends = np.cumsum(np.array([len(w) for w in words], np.int64))
-    return i, j, "".join(words), ends[np.flatnonzero(follows[order] == ord(";"))]
+    follows = np.zeros(len(tokens), np.int64)
+    follows[i], follows[len(a) + j] = 1, 2
+    order = np.argsort(2 * group + (np.arange(len(tokens)) >= len(a)), kind="stable")
+    entry = (3 * tokens + follows)[order]
+    ends = np.cumsum(written[1][entry])
+    return i, j, "".join([written[0][e] for e in entry.tolist()]), ends[np.flatnonzero(follows[order] == 2)]
+
+
+def _flat(tokens: list[bytes]) -> _Bytes:
+    widths = np.array([len(t) for t in tokens], np.int64)
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(widths) - widths, widths
+
+
+def byte_at(text: str) -> np.ndarray:
+    """The byte where each sign of a text begins, and its end."""
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    widths = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+    return np.concatenate([[0], np.cumsum(widths)])
 
 
 def pair_code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,17 +129,22 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         alphabet = _byte_alphabet()
-        self.a_bytes = [b""] * (max(self.a.get_vocab().values()) + 1)
-        for entry, i in self.a.get_vocab().items():
-            # An entry with a sign beyond the alphabet is a special token's, which plain text does not give.
-            self.a_bytes[i] = bytes(alphabet[c] for c in entry) if all(c in alphabet for c in entry) else b""
+        vocabulary = {i: entry for entry, i in self.a.get_vocab().items()}
+        # An entry with a sign beyond the alphabet is a special token's, which plain text does not give.
+        entries = [vocabulary.get(i, "") for i in range(max(vocabulary) + 1)]
+        self.a_bytes = _flat([bytes(alphabet[c] for c in e) if all(c in alphabet for c in e) else b"" for e in entries])
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [
-            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
-        ]
-        self.a_widths, self.b_widths = (np.array([len(t) for t in bytes_]) for bytes_ in (self.a_bytes, self.b_bytes))
+        self.b_bytes = _flat(
+            [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        )
+        ids = range(max(len(entries), len(pieces)))
+        words = [f"{i}{sign}" for i in ids for sign in ",|;"]
+        self.written = words, np.array([len(w) for w in words])
         self.counts_bytes = self._spans_of("é")[-1].end == 2
+        self.between = self.b.encode(_BETWEEN)[-1]
         self.forget()
+        if any(_BETWEEN in p for p in pieces if p != _BETWEEN):
+            raise ValueError("tokens of the second tokenizer hold the separator")
         if any(re.search("[^▁]▁", p) for p in pieces) or not all(self._separable(p) for p in _PROBES):
             raise ValueError("tokens of these tokenizers reach over a space between words")
 
@@ -141,53 +168,78 @@ class Aligner:
     def full(self) -> bool:
         return len(self.slots) > _REMEMBERED or len(self.links) > _REMEMBERED_LINKS
 
-    def _encode(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Of A and of B: ids of all segments, where their spans end in bytes, and their number in each segment."""
-        spaced = [" " + p for p in parts]
+    def _encode_a(self, spaced: list[str], joined: np.ndarray, chars: np.ndarray) -> _Encoded:
         encoded = self.a.encode_batch(spaced, add_special_tokens=False)
-        a_sizes = [len(e.ids) for e in encoded]
-        a_ids = np.fromiter(chain.from_iterable(e.ids for e in encoded), np.int64, sum(a_sizes))
-        a_ends = np.fromiter((o[1] for e in encoded for o in e.offsets), np.int64, len(a_ids))
-        spans = [self._spans_of(p) for p in parts]
-        b_sizes = [len(s) for s in spans]
-        b_ids = np.fromiter((p.id for s in spans for p in s), np.int64, sum(b_sizes))
-        b_ends = np.fromiter((p.end + 1 for s in spans for p in s), np.int64, len(b_ids))
-        wide = [k for k, s in enumerate(spaced) if not s.isascii()]
-        a_from, b_from = np.cumsum(a_sizes) - a_sizes, np.cumsum(b_sizes) - b_sizes
-        for k in wide:  # from characters to bytes
-            byte = np.concatenate([[0], np.cumsum([len(c.encode()) for c in spaced[k]])])
-            mine = slice(a_from[k], a_from[k] + a_sizes[k])
-            a_ends[mine] = byte[a_ends[mine]]
-            if not self.counts_bytes:
-                mine = slice(b_from[k], b_from[k] + b_sizes[k])
-                b_ends[mine] = byte[b_ends[mine]]
-        return [(a_ids, a_ends, np.array(a_sizes, np.int64)), (b_ids, b_ends, np.array(b_sizes, np.int64))]
-
-    def _fitting(self, parts: list[str], ids: np.ndarray, sizes: np.ndarray, tokens: list[bytes]) -> np.ndarray:
+        sizes = np.array([len(e) for e in encoded], np.int64)
+        ids = np.fromiter(chain.from_iterable([e.ids for e in encoded]), np.int64, sizes.sum())
+        ends = np.fromiter([end for e in encoded for _, end in e.offsets], np.int64, sizes.sum())
+        base = np.repeat(chars, sizes)
+        return ids, joined[base + ends] - joined[base], sizes
+
+    def _encode_b(self, spaced: list[str], joined: np.ndarray, chars: np.ndarray) -> _Encoded:
+        """All segments at once, parted by a sign that is a token of its own."""
+        text = _BETWEEN + "".join(spaced)
+        spans = [(p.id, p.end) for p in self._spans_of(text)]
+        ids, ends = (np.array(c, np.int64) for c in zip(*spans))
+        if not self.counts_bytes:
+            ends = byte_at(text)[ends]
+        cuts = np.flatnonzero(ids == self.between)
+        sizes = np.diff(cuts) - 1
+        inside = np.ones(len(ids), bool)
+        inside[: cuts[0]] = inside[cuts] = False
+        return ids[inside], ends[inside] - 1 - np.repeat(joined[chars], sizes), sizes
+
+    def _encode(self, parts: list[str]) -> tuple[_Encoded, _Encoded]:
+        """Of A and of B: ids of all segments, where their spans end in bytes, and their number in each segment."""
+        if len(parts) > 1 and any(_BETWEEN in p for p in parts):
+            one_by_one = [self._encode([p]) for p in parts]
+            return tuple(tuple(np.concatenate(c) for c in zip(*side)) for side in zip(*one_by_one))
+        spaced = [f" {p}{_BETWEEN}" for p in parts]
+        chars = np.cumsum([0] + [len(s) for s in spaced[:-1]])
+        joined = byte_at("".join(spaced))
+        a = self._encode_a([s[:-1] for s in spaced], joined, chars)
+        if _BETWEEN not in parts[0]:
+            return a, self._encode_b(spaced, joined, chars)
+        spans = self._spans_of(parts[0])
+        ends = np.array([p.end for p in spans], np.int64)
+        return a, (np.array([p.id for p in spans]), (ends if self.counts_bytes else byte_at(parts[0])[ends]) + 1, np.array([len(spans)]))
+
+    def _fitting(self, joined: bytes, lengths: np.ndarray, ids: np.ndarray, sizes: np.ndarray, tokens: _Bytes) -> np.ndarray:
         """Which segments' joined bytes are theirs."""
-        said = [tokens[i] for i in ids.tolist()]
-        data = [b" " + p.encode() for p in parts]
-        if b"".join(said) == b"".join(data) and (_sums(np.array([len(t) for t in said]), sizes) == [len(d) for d in data]).all():
-            return np.ones(len(parts), bool)
-        ends = np.cumsum(sizes).tolist()
-        return np.array([b"".join(said[e - n : e]) == d for e, n, d in zip(ends, sizes.tolist(), data)])
+        data, first, widths = tokens
+        width = widths[ids]
+        said = data[spread(first[ids], width)]
+        says = _sums(width, sizes)
+        fits = says == lengths
+        # Bytes are compared where the segments are as long as their tokens say.
+        mine = spread((np.cumsum(says) - says)[fits], says[fits])
+        theirs = spread((np.cumsum(lengths) - lengths)[fits], lengths[fits])
+        wrong = said[mine] != np.frombuffer(joined, np.uint8)[theirs]
+        fits[fits] = _sums(wrong, lengths[fits]) == 0
+        return fits
 
     def remember(self, parts: list[str]) -> None:
         """Align segments, given without their space, that were not seen before."""
+        for at in range(0, len(parts), _AT_ONCE):
+            self._remember(parts[at : at + _AT_ONCE])
+
+    def _remember(self, parts: list[str]) -> None:
         sides = self._encode(parts)
-        fits = self._fitting(parts, sides[0][0], sides[0][2], self.a_bytes)
-        fits &= self._fitting(parts, sides[1][0], sides[1][2], self.b_bytes)
-        length = np.array([len(p.encode()) + 1 for p in parts], np.int64)
+        joined = " ".join(["", *parts]).encode()
+        length = np.array([len(p) for p in parts], np.int64)
+        length = np.diff(byte_at(joined.decode())[np.concatenate([[0], np.cumsum(length + 1)])])
+        fits = self._fitting(joined, length, sides[0][0], sides[0][2], self.a_bytes)
+        fits &= self._fitting(joined, length, sides[1][0], sides[1][2], self.b_bytes)
         base = np.cumsum(length) - length
         kept_sides = []
-        for (ids, ends, sizes), widths in zip(sides, (self.a_widths, self.b_widths)):
+        for (ids, ends, sizes), (_, _, widths) in zip(sides, (self.a_bytes, self.b_bytes)):
             mine = np.repeat(fits, sizes)
             ids, ends, sizes = ids[mine], ends[mine], np.where(fits, sizes, 0)
             first = np.zeros(len(ids), bool)
             first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
             kept_sides.append((ids, np.repeat(base, sizes) + cuts_of(ends, widths[ids], first), sizes))
         (a, a_cuts, n_a), (b, b_cuts, n_b) = kept_sides
-        i, j, text, ends = groups_of(a, a_cuts, b, b_cuts)
+        i, j, text, ends = groups_of(a, a_cuts, b, b_cuts, self.written)
         size = np.diff(np.searchsorted(a_cuts[i], np.append(base, base[-1] + length[-1]), side="right"))
         stops = np.concatenate([[0], ends])[np.cumsum(size)].tolist()
         self.groups += [text[s : max(s, e - 1)] for s, e in zip([0, *stops[:-1]], stops)]
@@ -200,10 +252,10 @@ class Aligner:
     def segments(self, texts: list[str]) -> list[np.ndarray]:
         """The slots of each text's segments."""
         split = [_CUT.split(t) for t in texts]
-        fresh = list(dict.fromkeys(p for p in chain.from_iterable(split) if p not in self.slots))
+        fresh = list(set(chain.from_iterable(split)).difference(self.slots))
         if fresh:
             self.remember(fresh)
-        return [np.fromiter((self.slots[p] for p in parts), np.int32, len(parts)) for parts in split]
+        return [np.fromiter(map(self.slots.__getitem__, parts), np.int32, len(parts)) for parts in split]
 
     def slots_of(self, texts: list[str | None]) -> list[np.ndarray]:
         """The same, of whole texts; nothing for a text without tokens."""
