@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from support import listed
 
-from weirline.llm import recompression, suffix_arrays
+from weirline.llm import near_join, recompression, suffix_arrays
 from weirline.llm.wordhash import words_of
 
 WORDS = ("doc_id", "n", "n_removed", "kept_sha256")
@@ -79,3 +79,16 @@ def test_suffixes_come_in_order():
         assert sorted(order) == list(range(len(data)))
         prefixes = [text[i : i + depth] for i in order]
         assert prefixes == sorted(prefixes)
+
+
+@pytest.mark.parametrize("length", [1024, 4096])
+def test_words_that_a_polynomial_would_take_for_equal(spark, length):
+    one, other = ("".join("ab"[(k.bit_count() + flip) % 2] for k in range(length)) for flip in (0, 1))
+    words, *_ = words_of(pa.array([one, other]))
+    assert words[0] != words[1]
+    around = [f"{'left'} {i}" for i in range(10)], [f"right {i}" for i in range(10)]
+    rows = [(k, " ".join([*around[0], word, *around[1]])) for k, word in enumerate((one, other))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert [r[2] for r in listed(recompression.deduplicate(docs), *WORDS)] == [0, 0]
+    found = near_join.join(docs)
+    assert listed(found, "class_id", "n_copies") == [(0, 1), (1, 1)]

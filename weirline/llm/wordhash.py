@@ -30,6 +30,18 @@ def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
     return np.cumprod(result, dtype=np.uint64)
 
 
+def _drawn(cells: np.ndarray) -> np.ndarray:
+    """A number for each place in a word and byte there.
+
+    A word's hash is the sum of its bytes' numbers. They follow no rule from place to
+    place, so that no pattern of bytes makes different words' sums equal.
+    """
+    return mix(mix(cells.astype(np.uint64), 41), 42)
+
+
+_DRAWN = _drawn(np.arange(64 << 8))
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each word, first word of each text (one more than texts), first byte and end of each word."""
     offsets, data = utf8(texts)
@@ -49,8 +61,10 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     at = np.flatnonzero(inside)
     size = ends - starts
     head = np.cumsum(size) - size
-    place = np.arange(len(at)) - np.repeat(head, size)
-    terms = (data[at].astype(np.uint64) + np.uint64(1)) * powers(int(size.max()))[place]
+    cell = ((np.arange(len(at)) - np.repeat(head, size)) << 8) | data[at]
+    terms = _DRAWN[np.minimum(cell, len(_DRAWN) - 1)]
+    late = np.flatnonzero(cell >= len(_DRAWN))
+    terms[late] = _drawn(cell[late])
     return mix(np.add.reduceat(terms, head)), first, starts, ends
 
 
