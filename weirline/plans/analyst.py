@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirline.operators.governance import AccessRules, govern, govern_as_view
+from weirline.operators.governance import AccessRules, govern
+from weirline.plans.governed import run_governed
 from weirline.sinks import ResultStore
 
 
@@ -14,22 +15,19 @@ def answer(
     spark: SparkSession,
     rules: AccessRules,
     principal: str,
-    table: str,
+    table: str | None,
     query: Callable[[DataFrame], DataFrame] | str,
     store: ResultStore,
     name: str,
 ) -> str:
-    """Run ``query`` on the governed table and give the location of its result.
+    """Run ``query`` on governed tables and give the location of its result.
 
-    A query is a function of the governed frame, or SQL text in which the table goes
-    by its last name. The text is trusted not to name other tables.
+    A query is a function of the governed ``table``, or SQL text. Text may name any
+    tables, each seen as its reader may see it; ``table`` also goes by its last name there.
     """
     if callable(query):
+        if table is None:
+            raise ValueError("a function needs a table to work on")
         return store.write(query(govern(spark, rules, principal, table)), name)
-    view = table.rsplit(".", 1)[-1]
-    govern_as_view(spark, rules, principal, table, view)
-    try:
-        result = spark.sql(query)
-    finally:
-        spark.catalog.dropTempView(view)
-    return store.write(result, name)
+    names = {table.rsplit(".", 1)[-1].lower(): table} if table else {}
+    return store.write(run_governed(spark, rules, principal, query, names), name)

@@ -52,6 +52,7 @@ from weirline.operators.governance import (
 from weirline.plans.analyst import answer
 from weirline.plans.arrival import run_arrivals
 from weirline.plans.curate import curate, run_batch, shape
+from weirline.plans.governed import run_governed
 from weirline.scratch import new_workspace
 from weirline.sinks import ResultStore, append_parquet, append_to_table, spread_for_partitions
 from weirline.sources import (
@@ -916,6 +917,51 @@ def governed_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(spark, location, "c_mktsegment string, cnt bigint")
 
 
+@query(f"SELECT region, COUNT(*) AS cnt FROM ({CURATED_CUSTOMERS}) c WHERE region = 'BUILDING' GROUP BY region")
+def governed_full_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The restricted analyst's count on the curated table, by its full name in the text."""
+    workspace = new_workspace(spark, "governed-full-name")
+    database = _database(spark, workspace)
+    curated = curate(_raw_customers(spark, sf_dir, workspace), RULES)
+    append_to_table(curated, f"{database}.curated_customers", f"{workspace}/curated/customers", ("region",))
+    rules = AccessRules([Policy("bob", f"{database}.curated_customers", _NOT_SENSITIVE, "region = 'BUILDING'")])
+    text = f"SELECT region, COUNT(*) as cnt\nFROM {database}.curated_customers\nGROUP BY region;"
+    return run_governed(spark, rules, "bob", text)
+
+
+@query(
+    """
+    SELECT o_orderpriority, COUNT(*) AS orders, COUNT(DISTINCT c_custkey) AS customers, MAX(o_totalprice) AS largest
+    FROM customer JOIN orders ON c_custkey = o_custkey
+    WHERE c_mktsegment = 'BUILDING' AND o_orderstatus <> 'P'
+      AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)
+    GROUP BY o_orderpriority
+    """
+)
+def governed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several governed tables in one text: a common table expression, a join and a subquery."""
+    workspace = new_workspace(spark, "governed-join")
+    database = _database(spark, workspace)
+    for name in ("customer", "orders", "nation"):
+        append_to_table(_table(spark, sf_dir, name), f"{database}.{name}", f"{workspace}/curated/{name}")
+    rules = AccessRules(
+        [
+            Policy("analyst", f"{database}.customer", ("c_custkey", "c_nationkey"), "c_mktsegment = 'BUILDING'"),
+            Policy("analyst", f"{database}.orders", None, "o_orderstatus <> 'P'"),
+            Policy("analyst", f"{database}.nation", ("n_nationkey", "n_regionkey")),
+        ]
+    )
+    text = f"""
+        WITH customer AS (
+          SELECT * FROM {database}.customer
+          WHERE c_nationkey IN (SELECT n_nationkey FROM {database}.nation WHERE {database}.nation.n_regionkey = 1)
+        )
+        SELECT o_orderpriority, COUNT(*) AS orders, COUNT(DISTINCT c_custkey) AS customers, MAX(o_totalprice) AS largest
+        FROM customer JOIN {database}.orders o ON c_custkey = o.o_custkey GROUP BY o_orderpriority
+    """
+    return run_governed(spark, rules, "analyst", text)
+
+
 @query("SELECT c_mktsegment, c_nationkey, COUNT(*) AS cnt FROM customer GROUP BY c_mktsegment, c_nationkey")
 def result_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     workspace = new_workspace(spark, "result-sink")
