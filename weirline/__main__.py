@@ -25,6 +25,8 @@ def main(argv: list[str]) -> None:
     else:
         counts = run_batch(spark, config)
     print(f"raw rows: {counts.raw_rows}, cleaned rows: {counts.clean_rows}, written to {config.target_path}")
+    if counts.faults:
+        print(f"lines that do not fit their header: {counts.faults}")
 
 
 if __name__ == "__main__":

@@ -87,9 +87,9 @@ def add_new_columns(spark: SparkSession, table: str, incoming: StructType) -> li
     return [f.name for f in new]
 
 
-def fit_to_table(df: DataFrame, schema: StructType) -> DataFrame:
-    """Columns in table order; those the frame lacks become null."""
-    present = {c.lower(): c for c in df.columns}
+def fit_to_table(df: DataFrame, schema: StructType, beside: Sequence[str] = ()) -> DataFrame:
+    """Columns in table order, those the frame lacks null, and then the ones ``beside`` them."""
+    present = {c.lower(): c for c in df.columns if c not in beside}
 
     def fitted(f: StructField):
         if f.name.lower() in present:
@@ -99,7 +99,7 @@ def fit_to_table(df: DataFrame, schema: StructType) -> DataFrame:
     extra = sorted(set(present) - {f.name.lower() for f in schema.fields})
     if extra:
         raise ValueError(f"the table has no columns {extra}; add them first")
-    return df.select(*[fitted(f) for f in schema.fields])
+    return df.select(*[fitted(f) for f in schema.fields], *[field(c) for c in beside])
 
 
 def update_raw_table(spark: SparkSession, table: str, layouts: Sequence[Sequence[str]]) -> list[str]:

@@ -88,6 +88,9 @@ class LakeNames:
     def curated(self, table: str) -> str:
         return self._under("curated", table)
 
+    def quarantine(self, table: str) -> str:
+        return self._under("quarantine", table)
+
     @property
     def results(self) -> str:
         return self._under("results")
@@ -103,6 +106,10 @@ class JobConfig:
     A bookmarked job takes each raw file once and keeps its progress under
     ``state_path``; any other job curates the whole table on every run.
     With ``added_columns``, raw files may have columns after the known ones.
+    Lines that do not fit their header are counted and left out. With ``quarantine_path``
+    they are kept there by file and line, and with ``max_faults`` a run with more of them
+    writes nothing else. ``choice_columns`` are curated text columns whose values may have
+    several types; each type found gets a column of its own.
     ``max_bytes`` or ``max_files`` cut a large backlog into several commits, so that
     a failure repeats no more than one of them; each commit has its own time stamp.
     """
@@ -123,6 +130,9 @@ class JobConfig:
     added_columns: bool = False
     max_files: int | None = None
     max_bytes: int | None = None
+    quarantine_path: str | None = None
+    max_faults: int | None = None
+    choice_columns: tuple[str, ...] = ()
     rules: CurateRules = CurateRules()
 
     def __post_init__(self) -> None:
@@ -136,6 +146,11 @@ class JobConfig:
     def source(self) -> str:
         return f"{self.source_database}.{self.source_table}"
 
+    @property
+    def staged(self) -> bool:
+        """Whether shaped rows are written once and read again, instead of each sink reading raw files."""
+        return bool(self.cleaned_path or self.quarantine_path or self.choice_columns) or self.max_faults is not None
+
     @property
     def target(self) -> str:
         return f"{self.target_database}.{self.target_table}"
@@ -181,6 +196,9 @@ class JobConfig:
         parser.add_argument("--CLEANED_PATH", default=defaults.get("CLEANED_PATH"))
         parser.add_argument("--MAX_BYTES", type=int)
         parser.add_argument("--MAX_FILES", type=int)
+        parser.add_argument("--QUARANTINE_PATH")
+        parser.add_argument("--MAX_FAULTS", type=int)
+        parser.add_argument("--CHOICE_COLUMNS", default="")
         parser.add_argument("--PARTITION_KEYS", default=",".join(RAW_PARTITIONS))
         parser.add_argument("--CURATED_PARTITION_KEYS", default=",".join(CURATED_PARTITIONS))
         parser.add_argument("--RAW_PATTERN", default="*")
@@ -201,6 +219,9 @@ class JobConfig:
             cleaned_path=args.CLEANED_PATH,
             max_bytes=args.MAX_BYTES,
             max_files=args.MAX_FILES,
+            quarantine_path=args.QUARANTINE_PATH,
+            max_faults=args.MAX_FAULTS,
+            choice_columns=_listed(args.CHOICE_COLUMNS),
             raw_pattern=args.RAW_PATTERN,
             added_columns=args.ADDED_COLUMNS,
             rebalance=not args.NO_REBALANCE,

@@ -25,12 +25,14 @@ def row_counts(df: DataFrame, kept: Column) -> DataFrame:
     )
 
 
-def observe_rows(df: DataFrame, observation: Observation | str) -> DataFrame:
+def observe_rows(df: DataFrame, observation: Observation | str, **further: Column) -> DataFrame:
     """Count the rows flowing past this point of the plan, without another job.
 
     The number arrives with the action that runs the plan. It is exact where no
     shuffle follows. Upstream of a shuffle, a map stage that Spark reruns after
     losing an executor adds its rows again; write with ``rebalance=False``, or
-    use ``row_counts``, where such a figure must be exact even then.
+    use ``row_counts``, where such a figure must be exact even then. ``further`` names
+    conditions to count rows by.
     """
-    return df.observe(observation, F.count(F.lit(1)).alias("rows"))
+    counts = [F.count_if(condition).alias(name) for name, condition in further.items()]
+    return df.observe(observation, F.count(F.lit(1)).alias("rows"), *counts)

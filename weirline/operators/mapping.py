@@ -29,8 +29,10 @@ def _mapped(m: FieldMapping, actual: DataType, declared: DataType, wanted: DataT
     return column.alias(m.target)
 
 
-def apply_mapping(df: DataFrame, mappings: Sequence[FieldMapping | tuple]) -> DataFrame:
-    """Keep the mapped columns, in mapping order; every other column is dropped.
+def apply_mapping(
+    df: DataFrame, mappings: Sequence[FieldMapping | tuple], beside: Sequence[str] = ()
+) -> DataFrame:
+    """Keep the mapped columns, in mapping order; every other column but those ``beside`` them is dropped.
 
     Values that do not fit the target type become null. A missing source column
     or a target named twice is an error.
@@ -55,7 +57,8 @@ def apply_mapping(df: DataFrame, mappings: Sequence[FieldMapping | tuple]) -> Da
                 DataType.fromDDL(m.target_type),
             )
             for m in mappings
-        ]
+        ],
+        *[field(c) for c in beside],
     )
 
 

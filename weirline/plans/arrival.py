@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weirline.catalog import deleted_partitions, describe_raw_table, known_headers, update_raw_table
 from weirline.config import JobConfig
-from weirline.plans.curate import shape
+from weirline.plans.curate import Sinks, curate_into
 from weirline.sinks import BATCH_COLUMN, replace_batch, replace_batch_in_table
 from weirline.sources import find_layouts, list_files, read_files, require_depth
 from weirline.streaming import AcceptedFiles, RunCounts, require_layouts
@@ -61,27 +62,36 @@ def run_arrivals(spark: SparkSession, config: JobConfig) -> RunReport:
         new_columns = update_raw_table(spark, config.source, [x.columns for x in layouts])
         accepted.add(waiting, config.max_files, config.max_bytes)
 
-    counts: dict[str, list[tuple[int, int]]] = {"curated": [], "cleaned": []}
+    counts: list[tuple[RunCounts, RunCounts | None]] = []
 
     def curate_batch(files: DataFrame, batch: int) -> None:
         session = files.sparkSession
         named = [(r.path, r.header) for r in files.select("path", "header").collect()]
-        raw = read_files(session, named, partitions, location)
+        raw = read_files(session, named, partitions, location, faults=True)
         number = F.lit(batch).cast("bigint").alias(BATCH_COLUMN)
-        observed = Observation(), Observation()
-        curated = shape(raw, config.rules).select("*", number)
         options = {"rebalance": config.rebalance, "required": config.rules.keys}
-        replace_batch_in_table(
-            curated, config.target, config.target_path, config.partition_keys, counted=observed, **options
-        )
-        counts["curated"].append(tuple(o.get["rows"] for o in observed))
-        if config.cleaned_path:
-            observed = Observation(), Observation()
-            cleaned = shape(raw, config.rules, config.cleaned_partition_keys).select("*", number)
-            replace_batch(cleaned, config.cleaned_path, config.cleaned_partition_keys, counted=observed, **options)
-            counts["cleaned"].append(tuple(o.get["rows"] for o in observed))
+
+        def curated(df: DataFrame, *counted: Observation) -> None:
+            keys = config.partition_keys
+            replace_batch_in_table(df.select("*", number), config.target, config.target_path, keys, counted=counted, **options)
+
+        def cleaned(df: DataFrame, *counted: Observation) -> None:
+            replace_batch(df.select("*", number), config.cleaned_path, config.cleaned_partition_keys, counted=counted, **options)
+
+        def quarantine(lines: DataFrame) -> None:
+            replace_batch(lines.select("*", number), config.quarantine_path)
+
+        sinks = Sinks(curated, cleaned if config.cleaned_path else None, quarantine if config.quarantine_path else None)
+        counts.append(curate_into(config, raw, sinks))
 
     accepted.process(curate_batch, f"{config.state_path}/curated")
+    if counts:
+        # Batches ran in a session of the stream, so this one may remember the table as it was.
+        spark.catalog.refreshTable(config.target)
     deleted = deleted_partitions(spark, config.source, listed) if partitions else None
-    cleaned = RunCounts.of(counts["cleaned"]) if config.cleaned_path else None
-    return RunReport(RunCounts.of(counts["curated"]), cleaned, new_columns, deleted)
+    cleaned = _summed([c for _, c in counts]) if config.cleaned_path else None
+    return RunReport(_summed([c for c, _ in counts]), cleaned, new_columns, deleted)
+
+
+def _summed(counts: Sequence[RunCounts]) -> RunCounts:
+    return RunCounts.of([(c.raw_rows, c.clean_rows, c.faults) for c in counts])

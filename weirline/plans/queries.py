@@ -867,6 +867,148 @@ def both_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted[0].unionByName(counted[1])
 
 
+# Lines that do not fit their header: every customer whose nation leaves 0 to 2 when divided by 7.
+
+_BROKEN = """
+  SELECT *, CASE c_nationkey % 7 WHEN 0 THEN 'short' WHEN 1 THEN 'long' WHEN 2 THEN 'unclosed quote' END AS kind,
+         CASE c_nationkey % 7
+              WHEN 0 THEN c_custkey::VARCHAR || ',' || c_name
+              WHEN 1 THEN c_custkey::VARCHAR || ',' || c_name || ',' || c_nationkey::VARCHAR || ',' || c_mktsegment || ',more'
+              WHEN 2 THEN c_custkey::VARCHAR || ',"' || c_name || ',' || c_nationkey::VARCHAR || ',' || c_mktsegment
+              ELSE c_custkey::VARCHAR || ',' || c_name || ',' || c_nationkey::VARCHAR || ',' || c_mktsegment END AS line
+  FROM customer
+"""
+_BROKEN_COLUMNS = ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+_BROKEN_RULES = CurateRules(
+    mapping=(
+        ("c_custkey", "string", "c_custkey", "bigint"),
+        ("c_name", "string", "c_name", "string"),
+        ("c_nationkey", "string", "c_nationkey", "int"),
+        ("c_mktsegment", "string", "region", "string"),
+    ),
+    dates=(),
+    keys=("c_custkey",),
+)
+
+
+def _broken_lake(spark: SparkSession, sf_dir: str, workspace: str, **overrides) -> JobConfig:
+    """Raw customers by nation, some lines too short, too long, or with a quote that stays open."""
+    names = LakeNames("weirline_" + workspace.rsplit("-", 1)[1], workspace)
+    config = JobConfig.for_lake(names, "customers", rules=_BROKEN_RULES, bookmark=False, **overrides)
+    create_database(spark, config.source_database, f"{workspace}/database")
+    location = names.raw("customers")
+    register_raw_table(spark, config.source, location, _BROKEN_COLUMNS, ("nation",))
+    columns = [_text(c) for c in _BROKEN_COLUMNS]
+    nation = field("c_nationkey") % 7
+    second = F.when(nation == 2, F.concat(F.lit('"'), columns[1])).otherwise(columns[1])
+    short = F.concat_ws(",", columns[0], second)
+    line = F.when(nation == 0, short).otherwise(F.concat_ws(",", short, *columns[2:], F.when(nation == 1, F.lit("more"))))
+    # One file a nation, with the header line on top and the lines in order below.
+    lines = _table(spark, sf_dir, "customer").select(_text("c_nationkey").alias("nation"), line.alias("value"), field("c_custkey").alias("at"))
+    headers = lines.select("nation", F.lit(",".join(_BROKEN_COLUMNS)).alias("value"), F.lit(-1).cast("bigint").alias("at")).distinct()
+    whole = lines.unionByName(headers).repartition("nation").sortWithinPartitions("nation", "at")
+    whole.select("nation", "value").write.partitionBy("nation").text(location)
+    return config
+
+
+@query(
+    f"""
+    SELECT 'nation=' || c_nationkey::VARCHAR AS folder,
+           1 + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS line, kind, line AS text
+    FROM ({_BROKEN}) b QUALIFY kind IS NOT NULL
+    """
+)
+def quarantined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that do not fit their header, by file and line number, as the batch job sets them aside."""
+    workspace = new_workspace(spark, "quarantine")
+    config = _broken_lake(spark, sf_dir, workspace, quarantine_path=f"{workspace}/quarantine/customers")
+    run_batch(spark, config)
+    folder = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder")
+    return scan_parquet(spark, config.quarantine_path).select(folder, "line", "kind", "text")
+
+
+@query(
+    f"""
+    SELECT c_mktsegment AS region, COUNT(*) AS cnt, MAX(c_custkey) AS newest,
+           (SELECT COUNT(*) FROM ({_BROKEN}) f WHERE kind IS NOT NULL) AS faults
+    FROM ({_BROKEN}) b WHERE kind IS NULL GROUP BY c_mktsegment
+    """
+)
+def faults_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curated rows beside them, and their number, from one pass."""
+    config = _broken_lake(spark, sf_dir, new_workspace(spark, "faults"))
+    faults = run_batch(spark, config).faults
+    counted = scan_table(spark, config.target).groupBy("region")
+    counted = counted.agg(F.count(F.lit(1)).alias("cnt"), F.max("c_custkey").alias("newest"))
+    return counted.withColumn("faults", F.lit(faults).cast("bigint"))
+
+
+@query(
+    """
+    SELECT l_returnflag, l_linestatus, l_quantity::INTEGER % 40 AS layout, COUNT(*) AS cnt,
+           COUNT(l_shipdate) AS shipped, SUM(l_orderkey)::BIGINT AS orders, MAX(l_partkey) AS part
+    FROM lineitem GROUP BY ALL
+    """
+)
+def forty_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty column orders in one folder, too many for a scan each: one scan looks headers up."""
+    workspace = new_workspace(spark, "forty-layouts")
+    names = ["l_orderkey", "l_partkey", "l_quantity", "l_shipdate", "l_returnflag", "l_linestatus"]
+    lines = _table(spark, sf_dir, "lineitem").select(
+        (field("l_quantity").cast("int") % 40).alias("layout"), *[_text(c).alias(c) for c in names]
+    )
+    # Layout k starts with its own column, and then has the others turned by k places, and back to front if k is large.
+    orders = []
+    for k in range(40):
+        turned = names[k % 6 :] + names[: k % 6]
+        orders.append(turned[::-1] if k >= 20 else turned)
+    tagged = [F.concat_ws(",", *[field(c) for c in order], F.lit(str(k))) for k, order in enumerate(orders)]
+    line = F.element_at(F.array(*tagged), field("layout") + 1)
+    heads = spark.createDataFrame([(k, ",".join(order) + f",tag_{k}", -1) for k, order in enumerate(orders)], "layout int, value string, at int")
+    heads = heads.join(lines.select("layout").distinct(), "layout").unionByName(lines.select("layout", line.alias("value"), F.lit(0).alias("at")))
+    ordered = heads.repartition("layout").sortWithinPartitions("layout", "at")
+    ordered.select("layout", "value").write.partitionBy("layout").text(f"{workspace}/raw")
+    found = discover(spark, f"{workspace}/raw", f"{workspace}/state")
+    rows = read_layouts(spark, found, partitions=("layout",))
+    return rows.groupBy("l_returnflag", "l_linestatus", field("layout").cast("int").alias("layout")).agg(
+        F.count(F.lit(1)).alias("cnt"),
+        F.count("l_shipdate").alias("shipped"),
+        F.sum(field("l_orderkey").cast("bigint")).alias("orders"),
+        F.max(field("l_partkey").cast("bigint")).alias("part"),
+    )
+
+
+@query(
+    """
+    SELECT c_custkey,
+           CASE WHEN c_custkey % 2 = 0 THEN c_nationkey::VARCHAR END AS code,
+           CASE WHEN c_custkey % 2 = 1 AND c_nationkey % 3 = 0 THEN c_nationkey END AS code_int,
+           CASE WHEN c_custkey % 2 = 1 AND c_nationkey % 3 = 1 THEN c_nationkey + 0.5::DOUBLE END AS code_double,
+           CASE WHEN c_custkey % 2 = 1 AND c_nationkey % 3 = 2 THEN 'n' || c_nationkey::VARCHAR END AS code_string
+    FROM customer
+    """
+)
+def choice_in_the_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column that turns mixed with the second drop: its types become columns of the target."""
+    workspace = new_workspace(spark, "choice")
+    rules = CurateRules(
+        mapping=(("c_custkey", "string", "c_custkey", "bigint"), ("code", "string", "code", "string")),
+        dates=(),
+        keys=("c_custkey",),
+    )
+    names = LakeNames("weirline_" + workspace.rsplit("-", 1)[1], workspace)
+    config = JobConfig.for_lake(names, "codes", rules=rules, partition_keys=(), choice_columns=("code",))
+    create_database(spark, config.source_database, f"{workspace}/database")
+    register_raw_table(spark, config.source, names.raw("codes"), ("c_custkey", "code"))
+    number = field("c_nationkey")
+    mixed = F.when(number % 3 == 0, number.cast("string")).when(number % 3 == 1, F.concat(number, F.lit(".5")))
+    customer = _table(spark, sf_dir, "customer")
+    for odd, code in ((0, number.cast("string")), (1, mixed.otherwise(F.concat(F.lit("n"), number)))):
+        _drop_csv(customer.where(field("c_custkey") % 2 == odd).select(_text("c_custkey").alias("c_custkey"), code.alias("code")), names.raw("codes"))
+        run_arrivals(spark, config)
+    return scan_table(spark, config.target).select("c_custkey", "code", "code_int", "code_double", "code_string")
+
+
 @query(
     """
     SELECT o_orderstatus, COUNT(*) AS cnt FROM orders GROUP BY o_orderstatus

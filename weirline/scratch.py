@@ -23,6 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").rstrip("/")
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a path that :func:`new_workspace` gave."""
+    if f"{shared_folder(spark)}/weirline/" not in path:
+        raise ValueError(f"{path} is not a workspace of this session")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def new_workspace(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no other run uses. It is not created."""
     return f"{shared_folder(spark)}/weirline/{label}-{uuid.uuid4().hex}"

@@ -11,6 +11,7 @@ from weirline.catalog import add_new_columns, fit_to_table
 from weirline.functions import field
 from weirline.operators.cleaning import drop_missing
 from weirline.operators.counts import observe_rows
+from weirline.sources.records import FAULT
 
 _COMPRESSION = "snappy"
 _SALT = "__weirline_salt"
@@ -59,12 +60,16 @@ def prepare_write(
 
     Rows are counted after the shuffle, before (``arrived``) and after the drop, so
     each is counted once, whichever tasks Spark has to run again. Only then the
-    dropped rows are shuffled too.
+    dropped rows are shuffled too. Rows with a ``FAULT`` are dropped as well, and
+    counted among those that arrived, as ``faults``.
     """
     if rebalance:
         df = spread_for_partitions(df, keys)
+    faulty = {"faults": F.col(FAULT).isNotNull()} if FAULT in df.columns else {}
     if arrived is not None:
-        df = observe_rows(df, arrived)
+        df = observe_rows(df, arrived, **faulty)
+    if faulty:
+        df = df.where(F.col(FAULT).isNull()).drop(FAULT)
     if required:
         df = drop_missing(df, required)
     return df if written is None else observe_rows(df, written)
@@ -107,8 +112,8 @@ def append_to_table(
     """
     spark = df.sparkSession
     if spark.catalog.tableExists(table):
-        add_new_columns(spark, table, df.schema)
-        df = fit_to_table(df, spark.table(table).schema)
+        add_new_columns(spark, table, df.drop(FAULT).schema)
+        df = fit_to_table(df, spark.table(table).schema, _beside(df))
     df = prepare_write(df, keys, rebalance, written, arrived, required)
     writer = df.write.format("parquet").mode("append")
     writer = writer.option("compression", _COMPRESSION)
@@ -119,6 +124,10 @@ def append_to_table(
     writer.saveAsTable(table)
 
 
+def _beside(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c == FAULT]
+
+
 def _prepared_batch(df, keys, rebalance, counted, required) -> DataFrame:
     arrived, written = counted or (None, None)
     return prepare_write(df, keys, rebalance, written, arrived, required)
@@ -156,13 +165,14 @@ def replace_batch_in_table(
 ) -> None:
     """The same for a catalog table, whose partitions are registered as they are written."""
     spark = df.sparkSession
+    schema = df.drop(FAULT).schema
     if spark.catalog.tableExists(table):
-        add_new_columns(spark, table, df.schema)
+        add_new_columns(spark, table, schema)
     else:
-        empty = spark.createDataFrame([], df.schema).write.format("parquet").mode("ignore")
+        empty = spark.createDataFrame([], schema).write.format("parquet").mode("ignore")
         empty = empty.option("compression", _COMPRESSION).partitionBy(*keys, BATCH_COLUMN)
         (empty.option("path", location) if location is not None else empty).saveAsTable(table)
-    df = fit_to_table(df, spark.table(table).schema)
+    df = fit_to_table(df, spark.table(table).schema, _beside(df))
     before = spark.conf.get(_OVERWRITE)
     spark.conf.set(_OVERWRITE, "dynamic")
     try:

@@ -9,9 +9,11 @@ from weirline.sources.layouts import (
     read_files,
     read_layouts,
 )
+from weirline.sources.records import FAULT, locate
 from weirline.sources.scans import scan_parquet, scan_raw_csv, scan_table, text_schema
 
 __all__ = [
+    "FAULT",
     "Discovery",
     "Layout",
     "file_headers",
@@ -19,6 +21,7 @@ __all__ = [
     "group_compatible",
     "infer_columns",
     "list_files",
+    "locate",
     "partition_columns",
     "read_files",
     "read_layouts",

@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from weirline.functions import field, strict_cast
 from weirline.sources.files import partition_columns, require_depth
-from weirline.sources.scans import literal_path, scan_raw_csv
+from weirline.sources.records import FAULT, normal_path, parse_known, parse_own, plain_path, scan_lines, union_of
+from weirline.sources.scans import literal_path
 
 HEADER_SCHEMA = "path string, modificationTime timestamp, length bigint, partition string, header string"
 
@@ -127,9 +128,8 @@ def _headers_by_scanning(spark: SparkSession, files: DataFrame, location: str, p
         .agg(F.min_by("value", "row").alias("header"))
     )
     # The metadata column gives the path as a URL, the listing as plain text.
-    first = lines.select(F.url_decode(F.replace("url", F.lit("+"), F.lit("%2B"))).alias("path"), "header")
-    normal = F.regexp_replace("path", r"^file:/+", "file:/")
-    joined = files.withColumn("k", normal).join(first.select(normal.alias("k"), "header"), "k")
+    first = lines.select(plain_path(F.col("url")).alias("k"), "header")
+    joined = files.withColumn("k", normal_path(F.col("path"))).join(first, "k")
     header = F.regexp_replace(F.regexp_replace("header", "^﻿", ""), "\r$", "")
     return joined.select(*files.columns, header.alias("header"))
 
@@ -208,18 +208,28 @@ def _layout_paths(found: Discovery) -> dict[str, list[str]]:
     return paths
 
 
+#: More headers than this are read by one scan, which looks each file's header up.
+SCANS = 16
+
+
 def read_layouts(
     spark: SparkSession,
     found: Discovery,
     layouts: Sequence[Layout] | None = None,
     partitions: Sequence[str] | None = None,
+    faults: bool = False,
+    scans: int = SCANS,
 ) -> DataFrame:
     """One frame over files with different headers, each value under its own name.
 
-    Each layout is a scan with its own schema; their union has every column that
-    occurs, null where a file lacks it. No rows are shuffled. By default all
-    layouts found are read. A file without partition columns may lie in any
-    folder; one outside the partition columns is refused.
+    It has every column that occurs, null where a file lacks it. No rows are shuffled: a
+    few headers are a scan each, whose tasks compare header lines once more, and any
+    larger number is one scan joined with the headers' small table. By default all layouts
+    found are read. A file without partition columns may lie in any folder; one outside
+    the partition columns is refused.
+
+    A line that does not fit its header is cut and filled; with ``faults`` a column
+    ``FAULT`` tells what is wrong with it.
     """
     if layouts is None:
         layouts = found.layouts
@@ -228,19 +238,35 @@ def read_layouts(
     if partitions is None:
         partitions = partition_columns(found.headers)
     require_depth(found.headers, found.location, partitions)
-    paths = _layout_paths(found)
-    return _by_name(spark, paths, layouts, partitions, found.location, found.pattern)
+    if len(layouts) <= scans:
+        paths = _layout_paths(found)
+        records = _by_name(spark, paths, layouts, partitions, found.location, found.pattern)
+    else:
+        records = _in_one_scan(spark, found, layouts, partitions)
+    return records if faults else records.drop(FAULT)
 
 
 def read_files(
-    spark: SparkSession, files: Sequence[tuple[str, str]], partitions: Sequence[str], location: str
+    spark: SparkSession,
+    files: Sequence[tuple[str, str]],
+    partitions: Sequence[str],
+    location: str,
+    faults: bool = False,
+    scans: int = SCANS,
 ) -> DataFrame:
     """Some files of a location, each a path with its header line, by name."""
     paths: dict[str, list[str]] = {}
     for path, header in files:
         paths.setdefault(header, []).append(path)
     layouts = [Layout(parse_header(h), h, len(p), p[0]) for h, p in paths.items()]
-    return _by_name(spark, paths, layouts, partitions, location)
+    if len(layouts) <= scans:
+        records = _by_name(spark, paths, layouts, partitions, location)
+    else:
+        listed = spark.createDataFrame(files, "path string, header string").withColumn("modificationTime", F.lit(None).cast("timestamp"))
+        at = [literal_path(path) for path, _ in files]
+        lines = scan_lines(spark, at, None, partitions, location, "*", False)
+        records = _looked_up(lines, listed, layouts, partitions)
+    return records if faults else records.drop(FAULT)
 
 
 def _by_name(
@@ -257,9 +283,28 @@ def _by_name(
         nested = not partitions and at == [location]
         read = [location] if nested or at == [location] else [literal_path(p) for p in at]
         base = None if nested else location
-        frames.append(scan_raw_csv(spark, read, layout.columns, partitions, base, pattern, nested))
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return union.select(*[field(c) for c in [*merged_columns(layouts), *partitions]])
+        lines = scan_lines(spark, read, layout.header, partitions, base, pattern, nested)
+        frames.append(parse_own(lines, layout.columns, partitions))
+    return union_of(frames).select(*[field(c) for c in [*merged_columns(layouts), *partitions]], FAULT)
+
+
+def _in_one_scan(
+    spark: SparkSession, found: Discovery, layouts: Sequence[Layout], partitions: Sequence[str]
+) -> DataFrame:
+    known = found.headers.select("path", "header", "modificationTime")
+    if len(layouts) == len(found.layouts):
+        at, nested = [found.location], not partitions
+    else:
+        paths = _layout_paths(found)
+        at, nested = [literal_path(p) for layout in layouts for p in paths[layout.header]], False
+    base = None if nested else found.location
+    lines = scan_lines(spark, at, None, partitions, base, found.pattern, nested)
+    return _looked_up(lines, known, layouts, partitions)
+
+
+def _looked_up(lines: DataFrame, known: DataFrame, layouts: Sequence[Layout], partitions: Sequence[str]) -> DataFrame:
+    by_header = {layout.header: layout.columns for layout in layouts}
+    return parse_known(lines, known, by_header, merged_columns(layouts), partitions)
 
 
 _NUMERIC = ["int", "bigint", "double"]

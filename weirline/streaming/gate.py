@@ -11,6 +11,10 @@ class DiscoveryFailed(RuntimeError):
     """Discovery found files that do not belong to the table."""
 
 
+class TooManyFaults(RuntimeError):
+    """More lines do not fit their header than the job lets pass."""
+
+
 def require_layouts(
     layouts: Sequence[Layout], columns: Sequence[str], required: Sequence[str] | None = None
 ) -> list[str]:

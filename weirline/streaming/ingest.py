@@ -28,15 +28,20 @@ _CLEAN_ROWS = "clean"
 
 @dataclass(frozen=True)
 class RunCounts:
-    """Rows seen and rows written in one run, summed over its micro-batches."""
+    """Rows seen and rows written in one run, summed over its micro-batches.
+
+    ``faults`` are those of the rows seen whose lines do not fit their header.
+    """
 
     raw_rows: int
     clean_rows: int
     batches: int
+    faults: int = 0
 
     @classmethod
-    def of(cls, batches: Sequence[tuple[int, int]]) -> RunCounts:
-        return cls(sum(r for r, _ in batches), sum(c for _, c in batches), len(batches))
+    def of(cls, batches: Sequence[tuple[int, ...]]) -> RunCounts:
+        raw, clean, faults = (sum(part) for part in zip(*((*b, 0)[:3] for b in batches), strict=True)) if batches else (0, 0, 0)
+        return cls(raw, clean, len(batches), faults)
 
 
 def raw_stream(
