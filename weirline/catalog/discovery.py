@@ -70,4 +70,4 @@ def discover(
     """
     listed = list_files(spark, location, pattern) if listed is None else listed
     headers = known_headers(spark, location, state_path, pattern, scan, listed)
-    return Discovery(location, headers, find_layouts(headers), pattern)
+    return Discovery(location, headers, find_layouts(headers), pattern, state_path)

@@ -5,26 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from weirline.catalog.kinds import infer_known
+from weirline.catalog.names import quoted, quoted_column, text_literal, unescaped
+from weirline.catalog.partitions import PartitionLedger
 from weirline.functions import field
 from weirline.sources.files import partition_columns, require_depth
 from weirline.sources.layouts import Discovery, infer_columns, merged_columns
 
 
-def quoted(name: str) -> str:
-    """A dotted table name with every part quoted for SQL."""
-    return ".".join("`" + part.replace("`", "``") + "`" for part in name.split("."))
-
-
-def _text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def create_database(spark: SparkSession, name: str, location: str) -> None:
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(name)} LOCATION {_text(location)}")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(name)} LOCATION {text_literal(location)}")
 
 
 def register_raw_table(
@@ -46,14 +40,10 @@ def register_raw_table(
     )
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {quoted(table)} ({fields}) USING csv "
-        f"OPTIONS (header 'true', enforceSchema 'false') {partitioned} LOCATION {_text(location)}"
+        f"OPTIONS (header 'true', enforceSchema 'false') {partitioned} LOCATION {text_literal(location)}"
     )
 
 
-def quoted_column(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 class RawTable(NamedTuple):
     location: str
     columns: list[str]
@@ -102,7 +92,9 @@ def fit_to_table(df: DataFrame, schema: StructType, beside: Sequence[str] = ())
     return df.select(*[fitted(f) for f in schema.fields], *[field(c) for c in beside])
 
 
-def update_raw_table(spark: SparkSession, table: str, layouts: Sequence[Sequence[str]]) -> list[str]:
+def update_raw_table(
+    spark: SparkSession, table: str, layouts: Sequence[Sequence[str]], register: bool = True
+) -> list[str]:
     """Bring a registered raw table up to date with the header lines found.
 
     New columns are added after the existing ones, and new partitions are
@@ -111,7 +103,9 @@ def update_raw_table(spark: SparkSession, table: str, layouts: Sequence[Sequence
     here, since the table would bind their values to the wrong names; read those
     with ``weirline.sources.read_layouts``. The table itself never binds values
     without comparing headers: a scan of it fails as long as its files' headers
-    differ in length, and ``read_layouts`` reads those too.
+    differ in length, and ``read_layouts`` reads those too. Partitions are found by a
+    listing, unless a ``PartitionLedger`` takes them from a listing that is at hand
+    (``register=False``).
     """
     _, columns, partitions = describe_raw_table(spark, table)
     longest = max(layouts, key=len, default=columns)
@@ -121,29 +115,30 @@ def update_raw_table(spark: SparkSession, table: str, layouts: Sequence[Sequence
             raise ValueError(f"files with header {list(layout)} do not fit table columns {merged}")
     added = StructType([StructField(c, StringType()) for c in merged[len(columns) :]])
     new = add_new_columns(spark, table, added)
-    if partitions:
+    if partitions and register:
         register_partitions(spark, table)
     return new
 
 
-def register_discovered(spark: SparkSession, found: Discovery, table: str) -> DataFrame:
+def register_discovered(
+    spark: SparkSession, found: Discovery, table: str, read: Observation | None = None
+) -> DataFrame:
     """Create the table of what was discovered, or bring it up to date; gives its schema as rows.
 
     The table has text columns, named by the header lines, and the partitions of the
-    folders. The rows tell the types that the values have.
+    folders. The rows tell the types that the values have. What a discovery with state
+    learned before is not read or listed again; ``read`` observes the rows that are.
     """
     partitions = partition_columns(found.headers)
     require_depth(found.headers, found.location, partitions)
     if not spark.catalog.tableExists(table):
         register_raw_table(spark, table, found.location, merged_columns(found.layouts), partitions)
-    update_raw_table(spark, table, [x.columns for x in found.layouts])
-    return schema_rows(spark, infer_columns(spark, found, partitions), partitions)
-
-
-def _unescaped(partition: str) -> Column:
-    """A partition's name without %-escapes, which writers use to different extents."""
-    decoded = F.try_url_decode(F.replace(partition, F.lit("+"), F.lit("%2B")))
-    return F.coalesce(decoded, F.col(partition))
+    update_raw_table(spark, table, [x.columns for x in found.layouts], register=found.state_path is None)
+    if found.state_path is None:
+        return schema_rows(spark, infer_columns(spark, found, partitions), partitions)
+    if partitions:
+        PartitionLedger(spark, f"{found.state_path}/partitions", table, found.location).register(found.headers)
+    return schema_rows(spark, infer_known(spark, found, found.state_path, partitions, read), partitions)
 
 
 def deleted_partitions(spark: SparkSession, table: str, files: DataFrame) -> DataFrame:
@@ -153,7 +148,7 @@ def deleted_partitions(spark: SparkSession, table: str, files: DataFrame) -> Dat
     not data.
     """
     registered = spark.sql(f"SHOW PARTITIONS {quoted(table)}")
-    name = _unescaped("partition").alias("name")
+    name = unescaped("partition").alias("name")
     listed = files.select(name).distinct()
     return registered.select("partition", name).join(listed, "name", "left_anti").select("partition")
 

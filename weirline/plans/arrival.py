@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from weirline.catalog import deleted_partitions, describe_raw_table, known_headers, update_raw_table
+from weirline.catalog import PartitionLedger, describe_raw_table, known_headers, update_raw_table
 from weirline.config import JobConfig
 from weirline.plans.curate import Sinks, curate_into
 from weirline.sinks import BATCH_COLUMN, replace_batch, replace_batch_in_table
@@ -51,6 +51,7 @@ def run_arrivals(spark: SparkSession, config: JobConfig) -> RunReport:
     location, columns, partitions = describe_raw_table(spark, config.source)
     listed = _listing(spark, location, config)
     require_depth(listed, location, partitions)
+    ledger = PartitionLedger(spark, f"{config.state_path}/partitions", config.source, location) if partitions else None
     accepted = AcceptedFiles(spark, f"{config.state_path}/accepted")
     headers = known_headers(spark, location, config.state_path, config.raw_pattern, None, accepted.without(listed))
     # What is waiting may be read several times below; none of that goes back to all that was ever seen.
@@ -59,7 +60,9 @@ def run_arrivals(spark: SparkSession, config: JobConfig) -> RunReport:
     new_columns: list[str] = []
     if layouts:
         require_layouts(layouts, columns, config.rules.raw_columns if config.added_columns else None)
-        new_columns = update_raw_table(spark, config.source, [x.columns for x in layouts])
+        new_columns = update_raw_table(spark, config.source, [x.columns for x in layouts], register=False)
+        if partitions:
+            ledger.register(waiting)
         accepted.add(waiting, config.max_files, config.max_bytes)
 
     counts: list[tuple[RunCounts, RunCounts | None]] = []
@@ -88,7 +91,7 @@ def run_arrivals(spark: SparkSession, config: JobConfig) -> RunReport:
     if counts:
         # Batches ran in a session of the stream, so this one may remember the table as it was.
         spark.catalog.refreshTable(config.target)
-    deleted = deleted_partitions(spark, config.source, listed) if partitions else None
+    deleted = ledger.gone(listed) if ledger is not None else None
     cleaned = _summed([c for _, c in counts]) if config.cleaned_path else None
     return RunReport(_summed([c for c, _ in counts]), cleaned, new_columns, deleted)
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from weirline.catalog import describe_raw_table, discover, update_raw_table
+from weirline.catalog import PartitionLedger, describe_raw_table, discover, update_raw_table
 from weirline.config import CurateRules, JobConfig
 from weirline.functions import field, parse_date
 from weirline.operators import (
@@ -130,7 +130,9 @@ def run_batch(spark: SparkSession, config: JobConfig) -> RunCounts:
     state = config.state_path or new_workspace(spark, "discovery")
     found = discover(spark, location, state, config.raw_pattern, listed=listed)
     require_layouts(found.layouts, columns, config.rules.raw_columns if config.added_columns else None)
-    update_raw_table(spark, config.source, [x.columns for x in found.layouts])
+    update_raw_table(spark, config.source, [x.columns for x in found.layouts], register=config.state_path is None)
+    if partitions and config.state_path is not None:
+        PartitionLedger(spark, f"{state}/partitions", config.source, location).register(found.headers)
     if found.layouts:
         source = read_layouts(spark, found, partitions=partitions, faults=True)
     else:

@@ -1024,6 +1024,37 @@ def crawl_and_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT o_orderstatus, COUNT(*) AS cnt FROM {table} GROUP BY o_orderstatus")
 
 
+@query(
+    """
+    SELECT 'first' AS run, COUNT(*) AS rows_read, CASE WHEN MAX(o_custkey) FILTER (WHERE early) <= 2147483647 THEN 'int'
+           ELSE 'bigint' END AS type_of_customer, COUNT(DISTINCT strftime(o_orderdate, '%Y-%m')) AS partitions
+    FROM (SELECT *, o_orderdate < TIMESTAMP '2000-01-01' AS early FROM orders) o WHERE early
+    UNION ALL
+    SELECT 'second', COUNT(*), 'string', (SELECT COUNT(DISTINCT strftime(o_orderdate, '%Y-%m')) FROM orders)
+    FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01'
+    """
+)
+def crawl_what_is_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two crawls of a growing table: the second reads only new files, and merges their types with what is known."""
+    workspace = new_workspace(spark, "crawl-new")
+    location = f"{workspace}/raw/orders"
+    table = f"{_database(spark, workspace)}.orders"
+    orders = _orders_by_month(spark, sf_dir)
+    old = field("o_orderdate") < "2000-01-01"
+    # From 2000 on customers are named by letters.
+    newer = orders.where(~old).withColumn("o_custkey", F.concat(F.lit("c"), "o_custkey"))
+    outcome = []
+    for run, drop in (("first", orders.where(old)), ("second", newer)):
+        _drop_csv(drop, location, YEAR_MONTH)
+        read = Observation()
+        found = discover(spark, location, f"{workspace}/state")
+        rows = register_discovered(spark, found, table, read)
+        types = {r["name"]: r["type"] for r in rows.collect()}
+        partitions = spark.sql(f"SHOW PARTITIONS {table}").count()
+        outcome.append((run, read.get["rows"], types["o_custkey"], partitions))
+    return spark.createDataFrame(outcome, "run string, rows_read bigint, type_of_customer string, partitions bigint")
+
+
 @query(
     """
     SELECT strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01'

@@ -9,11 +9,12 @@ from weirline.sources.layouts import (
     read_files,
     read_layouts,
 )
-from weirline.sources.records import FAULT, locate
+from weirline.sources.records import FAULT, FILE, locate
 from weirline.sources.scans import scan_parquet, scan_raw_csv, scan_table, text_schema
 
 __all__ = [
     "FAULT",
+    "FILE",
     "Discovery",
     "Layout",
     "file_headers",

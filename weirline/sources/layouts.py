@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from weirline.functions import field, strict_cast
 from weirline.sources.files import partition_columns, require_depth
-from weirline.sources.records import FAULT, normal_path, parse_known, parse_own, plain_path, scan_lines, union_of
+from weirline.sources.records import FAULT, FILE, normal_path, parse_known, parse_own, plain_path, scan_lines, union_of
 from weirline.sources.scans import literal_path
 
 HEADER_SCHEMA = "path string, modificationTime timestamp, length bigint, partition string, header string"
@@ -52,6 +52,7 @@ class Discovery:
     headers: DataFrame
     layouts: list[Layout]
     pattern: str = "*"
+    state_path: str | None = None  #: where what was found out about files is kept
 
 
 def _arrow_access() -> tuple[Callable, Callable]:
@@ -218,6 +219,7 @@ def read_layouts(
     layouts: Sequence[Layout] | None = None,
     partitions: Sequence[str] | None = None,
     faults: bool = False,
+    files: bool = False,
     scans: int = SCANS,
 ) -> DataFrame:
     """One frame over files with different headers, each value under its own name.
@@ -229,7 +231,7 @@ def read_layouts(
     the partition columns is refused.
 
     A line that does not fit its header is cut and filled; with ``faults`` a column
-    ``FAULT`` tells what is wrong with it.
+    ``FAULT`` tells what is wrong with it, and with ``files`` a column ``FILE`` where it is.
     """
     if layouts is None:
         layouts = found.layouts
@@ -243,7 +245,11 @@ def read_layouts(
         records = _by_name(spark, paths, layouts, partitions, found.location, found.pattern)
     else:
         records = _in_one_scan(spark, found, layouts, partitions)
-    return records if faults else records.drop(FAULT)
+    return _with(records, faults, files)
+
+
+def _with(records: DataFrame, faults: bool, files: bool) -> DataFrame:
+    return records.drop(*([] if faults else [FAULT]), *([] if files else [FILE]))
 
 
 def read_files(
@@ -252,21 +258,21 @@ def read_files(
     partitions: Sequence[str],
     location: str,
     faults: bool = False,
+    paths: bool = False,
     scans: int = SCANS,
 ) -> DataFrame:
     """Some files of a location, each a path with its header line, by name."""
-    paths: dict[str, list[str]] = {}
+    at: dict[str, list[str]] = {}
     for path, header in files:
-        paths.setdefault(header, []).append(path)
-    layouts = [Layout(parse_header(h), h, len(p), p[0]) for h, p in paths.items()]
+        at.setdefault(header, []).append(path)
+    layouts = [Layout(parse_header(h), h, len(p), p[0]) for h, p in at.items()]
     if len(layouts) <= scans:
-        records = _by_name(spark, paths, layouts, partitions, location)
+        records = _by_name(spark, at, layouts, partitions, location)
     else:
         listed = spark.createDataFrame(files, "path string, header string").withColumn("modificationTime", F.lit(None).cast("timestamp"))
-        at = [literal_path(path) for path, _ in files]
-        lines = scan_lines(spark, at, None, partitions, location, "*", False)
+        lines = scan_lines(spark, [literal_path(path) for path, _ in files], None, partitions, location, "*", False)
         records = _looked_up(lines, listed, layouts, partitions)
-    return records if faults else records.drop(FAULT)
+    return _with(records, faults, paths)
 
 
 def _by_name(
@@ -285,7 +291,7 @@ def _by_name(
         base = None if nested else location
         lines = scan_lines(spark, read, layout.header, partitions, base, pattern, nested)
         frames.append(parse_own(lines, layout.columns, partitions))
-    return union_of(frames).select(*[field(c) for c in [*merged_columns(layouts), *partitions]], FAULT)
+    return union_of(frames).select(*[field(c) for c in [*merged_columns(layouts), *partitions]], FAULT, FILE)
 
 
 def _in_one_scan(
@@ -330,22 +336,34 @@ def infer_columns(
     """Column types from the values, merged over layouts; partitions are text.
 
     One aggregate over the text of all files tells which types each column's values
-    have. Reads all rows unless ``sampling_ratio`` asks for fewer.
+    have; lines that do not fit their header say nothing. Reads all rows unless
+    ``sampling_ratio`` asks for fewer.
     """
     if partitions is None:
         partitions = partition_columns(found.headers)
-    text = read_layouts(spark, found, partitions=partitions)
+    text = read_layouts(spark, found, partitions=partitions, faults=True).where(F.col(FAULT).isNull())
     if sampling_ratio < 1:
         text = text.sample(sampling_ratio)
     names = merged_columns(found.layouts)
-    seen = text.agg(*[F.collect_set(_value_type(field(c))).alias(str(i)) for i, c in enumerate(names)]).first()
+    seen = text.agg(*[kinds_of(field(c)).alias(str(i)) for i, c in enumerate(names)]).first()
+    return typed(names, [seen[str(i)] for i in range(len(names))], partitions)
+
+
+def typed(names: Sequence[str], kinds: Sequence[int | None], partitions: Sequence[str]) -> T.StructType:
+    """Columns of the types that hold all kinds of values found, given as by :func:`kinds_of`; partitions are text."""
     columns = []
-    for i, name in enumerate(names):
-        kinds = sorted(seen[str(i)], key=_TYPES.index) or ["string"]
-        columns.append(T.StructField(name, T.DataType.fromDDL(reduce(wider_type, kinds))))
+    for name, bits in zip(names, kinds, strict=True):
+        found = [t for i, t in enumerate(_TYPES) if (bits or 0) >> i & 1] or ["string"]
+        columns.append(T.StructField(name, T.DataType.fromDDL(reduce(wider_type, found))))
     return T.StructType(columns + [T.StructField(p, T.StringType()) for p in partitions])
 
 
+def kinds_of(text: Column) -> Column:
+    """Which types the values of a column have, a bit for each; an aggregate that merges."""
+    bits = [F.when(_value_type(text) == t, F.lit(1 << i)) for i, t in enumerate(_TYPES)]
+    return F.coalesce(F.bit_or(F.coalesce(*bits)), F.lit(0))
+
+
 _TYPES = ["int", "bigint", "double", "boolean", "date", "timestamp", "string"]
 
 

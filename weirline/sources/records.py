@@ -20,6 +20,8 @@ from weirline.sources.scans import literal_path, text_schema
 #: Beside a record: null if it fits its header, else ``kind``, ``path`` and ``text`` of the line.
 FAULT = "_fault"
 SHORT, LONG, UNCLOSED = "short", "long", "unclosed quote"
+#: Beside a record: the path of its file.
+FILE = "_file"
 FAULT_SCHEMA = "path string, line bigint, kind string, text string"
 
 # Signs that no line holds: what would part two lines' columns, and what ends a line.
@@ -89,12 +91,13 @@ def _fault(count: Column, width: Column) -> Column:
 
 
 def parse_own(lines: DataFrame, columns: Sequence[str], partition_columns: Sequence[str]) -> DataFrame:
-    """Records of files that all have the same header: ``columns``, partitions and the fault."""
+    """Records of files that all have the same header: ``columns``, partitions, the fault and the file."""
     parsed, cells, count = _fields(len(columns))
     lines = lines.withColumn("_parsed", parsed).withColumn("_count", count)
     # Fields of a short line beyond its end are null, and so is the mark.
     named = [F.when(F.coalesce(F.col("_count"), F.lit(len(columns))) > i, c).alias(n) for i, (n, c) in enumerate(zip(columns, cells))]
-    return lines.select(*named, *[field(p) for p in partition_columns], _fault(F.col("_count"), F.lit(len(columns))))
+    fault = _fault(F.col("_count"), F.lit(len(columns)))
+    return lines.select(*named, *[field(p) for p in partition_columns], fault, plain_path(F.col("_path")).alias(FILE))
 
 
 def parse_known(
@@ -126,7 +129,8 @@ def parse_known(
         return F.when(there, F.try_element_at("_cells", place + 1)).alias(name)
 
     output = [named(i, n) for i, n in enumerate(columns)]
-    return lines.select(*output, *[field(p) for p in partition_columns], _fault(F.col("_count"), F.col("_width")))
+    fault = _fault(F.col("_count"), F.col("_width"))
+    return lines.select(*output, *[field(p) for p in partition_columns], fault, plain_path(F.col("_path")).alias(FILE))
 
 
 def locate(spark: SparkSession, faults: DataFrame) -> DataFrame:
