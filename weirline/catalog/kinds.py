@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from weirline.functions import field
 from weirline.operators.counts import observe_rows
 from weirline.sources.files import partition_columns
 from weirline.sources.layouts import Discovery, kinds_of, merged_columns, read_files, read_layouts, typed
@@ -50,7 +49,7 @@ class KindLedger:
             records = observe_rows(records, read)
         names = [c for c in records.columns if c not in (*partitions, FAULT, FILE)]
         fine = records.where(F.col(FAULT).isNull()).groupBy(FILE)
-        kinds = fine.agg(*[kinds_of(field(c)).alias(str(i)) for i, c in enumerate(names)])
+        kinds = fine.agg(*[kinds_of(c).alias(str(i)) for i, c in enumerate(names)])
         listed = F.array(*[F.struct(F.lit(c).alias("name"), F.col(str(i)).alias("bits")) for i, c in enumerate(names)])
         kinds = kinds.select(F.col(FILE).alias("_known"), F.filter(listed, lambda k: k["bits"] != 0).alias("kinds"))
         # A file without rows gets one too, or it would be new for ever.

@@ -8,6 +8,7 @@ from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weirline.catalog.names import quoted, quoted_column, text_literal, unescaped
 
@@ -68,8 +69,9 @@ class PartitionLedger:
         names = [r.partition for r in new.select("partition").collect()]
         if names:
             add_partitions(self._spark, self._table, self._location, names)
-            rows = self._spark.createDataFrame([(n,) for n in names], _SCHEMA)
-            rows.coalesce(1).write.mode("append").parquet(self._path)
+            # One literal, not rows: no Python worker is needed to write them.
+            rows = self._spark.range(1).select(F.explode(F.split(F.lit("\n".join(names)), "\n")).alias("partition"))
+            rows.write.mode("append").parquet(self._path)
         return len(names)
 
     def gone(self, files: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirline.functions import field, strict_cast
+from weirline.functions import field
 from weirline.sources.files import partition_columns, require_depth
 from weirline.sources.records import FAULT, FILE, normal_path, parse_known, parse_own, plain_path, scan_lines, union_of
 from weirline.sources.scans import literal_path
@@ -345,7 +345,7 @@ def infer_columns(
     if sampling_ratio < 1:
         text = text.sample(sampling_ratio)
     names = merged_columns(found.layouts)
-    seen = text.agg(*[kinds_of(field(c)).alias(str(i)) for i, c in enumerate(names)]).first()
+    seen = text.agg(*[kinds_of(c).alias(str(i)) for i, c in enumerate(names)]).first()
     return typed(names, [seen[str(i)] for i in range(len(names))], partitions)
 
 
@@ -358,27 +358,30 @@ def typed(names: Sequence[str], kinds: Sequence[int | None], partitions: Sequenc
     return T.StructType(columns + [T.StructField(p, T.StringType()) for p in partitions])
 
 
-def kinds_of(text: Column) -> Column:
-    """Which types the values of a column have, a bit for each; an aggregate that merges."""
-    bits = [F.when(_value_type(text) == t, F.lit(1 << i)) for i, t in enumerate(_TYPES)]
-    return F.coalesce(F.bit_or(F.coalesce(*bits)), F.lit(0))
+def kinds_of(name: str) -> Column:
+    """Which types the values of a text column have, a bit for each; an aggregate that merges."""
+    return F.expr(f"coalesce(bit_or({_KIND.format(v=_quoted(name))}), 0)")
 
 
 _TYPES = ["int", "bigint", "double", "boolean", "date", "timestamp", "string"]
 
 
-def _value_type(text: Column) -> Column:
-    """The narrowest type that holds a value; null for none."""
-    whole = text.rlike(r"^[+-]?\d+$")
-    return (
-        F.when(text.isNull() | (text == ""), None)
-        # Most text tells by its first sign that it is neither a number nor a date.
-        .when(~text.rlike(r"^[+-]?[\d.NI]") & ~F.lower(text).isin("true", "false"), "string")
-        .when(whole & strict_cast(text, "int").isNotNull(), "int")
-        .when(whole & strict_cast(text, "bigint").isNotNull(), "bigint")
-        .when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(NaN|Infinity)$"), "double")
-        .when(F.lower(text).isin("true", "false"), "boolean")
-        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & strict_cast(text, "date").isNotNull(), "date")
-        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}") & strict_cast(text, "timestamp").isNotNull(), "timestamp")
-        .otherwise("string")
-    )
+_BIT = {t: 1 << i for i, t in enumerate(_TYPES)}
+
+#: The bit of the narrowest type that holds a value; null for none. Most text tells by its
+#: first sign that it is neither a number nor a date.
+_KIND = rf"""CASE
+  WHEN {{v}} IS NULL OR {{v}} = '' THEN NULL
+  WHEN NOT {{v}} RLIKE r'^[+-]?[0-9.NI]' AND lower({{v}}) NOT IN ('true', 'false') THEN {_BIT["string"]}
+  WHEN {{v}} RLIKE r'^[+-]?[0-9]+$' AND try_cast({{v}} AS INT) IS NOT NULL THEN {_BIT["int"]}
+  WHEN {{v}} RLIKE r'^[+-]?[0-9]+$' AND try_cast({{v}} AS BIGINT) IS NOT NULL THEN {_BIT["bigint"]}
+  WHEN {{v}} RLIKE r'^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(NaN|Infinity)$' THEN {_BIT["double"]}
+  WHEN lower({{v}}) IN ('true', 'false') THEN {_BIT["boolean"]}
+  WHEN {{v}} RLIKE r'^[0-9]{{{{4}}}}-[0-9]{{{{2}}}}-[0-9]{{{{2}}}}$' AND try_cast({{v}} AS DATE) IS NOT NULL THEN {_BIT["date"]}
+  WHEN {{v}} RLIKE r'^[0-9]{{{{4}}}}-[0-9]{{{{2}}}}-[0-9]{{{{2}}}}[ T][0-9]{{{{2}}}}:[0-9]{{{{2}}}}'
+    AND try_cast({{v}} AS TIMESTAMP) IS NOT NULL THEN {_BIT["timestamp"]}
+  ELSE {_BIT["string"]} END"""
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

@@ -67,14 +67,18 @@ def scan_lines(
     )
 
 
-def _fields(width: int) -> tuple[Column, list[Column], Column]:
-    """The parsed line, its first ``width`` fields as text, and how many fields it has (null: not to be told)."""
+def _parsed(lines: DataFrame, width: int) -> DataFrame:
+    """``_cells``, the line's first ``width`` fields and one more, and ``_count``, how many it has (null: not to be told)."""
     # One more for the mark; a line with yet more fields pushes it out.
-    schema = ", ".join(f"f{i} string" for i in range(width + 1))
-    parsed = F.from_csv(F.concat("value", F.lit("," + _MARK)), schema)
-    cells = [F.col("_parsed")[f"f{i}"] for i in range(width + 1)]
-    count = F.array_position(F.array(*[F.coalesce(c, F.lit("")) for c in cells]), _MARK) - 1
-    return parsed, cells[:width], F.when(count >= 0, count)
+    names = [f"f{i}" for i in range(width + 1)]
+    parsed = F.from_csv(F.concat("value", F.lit("," + _MARK)), ", ".join(f"{n} string" for n in names))
+    there = ", ".join(f"coalesce(_cells.{n}, '')" for n in names)
+    count = F.expr(f"nullif(array_position(array({there}), '{_MARK}'), 0) - 1")
+    return lines.withColumn("_cells", parsed).withColumn("_count", count)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def _fault(count: Column, width: Column) -> Column:
@@ -92,10 +96,10 @@ def _fault(count: Column, width: Column) -> Column:
 
 def parse_own(lines: DataFrame, columns: Sequence[str], partition_columns: Sequence[str]) -> DataFrame:
     """Records of files that all have the same header: ``columns``, partitions, the fault and the file."""
-    parsed, cells, count = _fields(len(columns))
-    lines = lines.withColumn("_parsed", parsed).withColumn("_count", count)
+    width = len(columns)
+    lines = _parsed(lines, width)
     # Fields of a short line beyond its end are null, and so is the mark.
-    named = [F.when(F.coalesce(F.col("_count"), F.lit(len(columns))) > i, c).alias(n) for i, (n, c) in enumerate(zip(columns, cells))]
+    named = [F.expr(f"CASE WHEN coalesce(_count, {width}) > {i} THEN _cells.f{i} END AS {_quoted(n)}") for i, n in enumerate(columns)]
     fault = _fault(F.col("_count"), F.lit(len(columns)))
     return lines.select(*named, *[field(p) for p in partition_columns], fault, plain_path(F.col("_path")).alias(FILE))
 
@@ -115,20 +119,17 @@ def parse_known(
     known = known.select(normal_path(F.col("path")).alias("_known"), "header", F.col("modificationTime").alias("_then"))
     # A row for each file, not for each line; Spark broadcasts it while its files are small.
     known = known.join(F.broadcast(places), "header").drop("header")
-    parsed, cells, count = _fields(widest)
     lines = lines.withColumn("_known", plain_path(F.col("_path"))).join(known, "_known", "left")
     changed = F.col("_width").isNull() | (F.col("_then") != F.col("_time"))
     message = F.concat(F.lit("came or changed after discovery, so that its header is not known: "), F.col("_known"))
     width = F.when(changed, F.raise_error(message).cast("int")).otherwise(F.col("_width"))
-    lines = lines.withColumn("_parsed", parsed).withColumn("_count", count).withColumn("_width", width)
-    lines = lines.withColumn("_cells", F.array(*cells))
-
-    def named(i: int, name: str) -> Column:
-        place = F.col("_places")[i]
-        there = place.isNotNull() & (place < F.least(F.coalesce(F.col("_count"), F.col("_width")), F.col("_width")))
-        return F.when(there, F.try_element_at("_cells", place + 1)).alias(name)
-
-    output = [named(i, n) for i, n in enumerate(columns)]
+    lines = _parsed(lines, widest).withColumn("_width", width)
+    cells = ", ".join(f"_cells.f{i}" for i in range(widest))
+    lines = lines.withColumn("_cells", F.expr(f"array({cells})")).withColumn("_end", F.expr("least(coalesce(_count, _width), _width)"))
+    output = [
+        F.expr(f"CASE WHEN _places[{i}] < _end THEN try_element_at(_cells, _places[{i}] + 1) END AS {_quoted(n)}")
+        for i, n in enumerate(columns)
+    ]
     fault = _fault(F.col("_count"), F.col("_width"))
     return lines.select(*output, *[field(p) for p in partition_columns], fault, plain_path(F.col("_path")).alias(FILE))
 
