@@ -1,19 +1,25 @@
-"""Approximate nearest neighbours by cosine: a forest of hash strings with fitted cuts.
-
-Every tree turns a vector into a string of bits. Bit ``d`` says on which side of a cut
-the vector's projection on the tree's ``d``-th random line lies, and each prefix has a
-cut of its own: the median of the rows with that prefix. So the rows of a prefix are
-halved with each bit however close together they lie, and a dense cluster, whatever
-its share of the table, is cut as finely as the rest and along other lines in every
-tree. A query's candidates are all rows that share its whole string in some tree;
-strings are as long as leaves ``2 * budget`` rows or more in each tree. Candidates are
-scored exactly.
-
-In Spark, cuts are medians of a sample of ``LEAF_SAMPLE`` rows a leaf, taken by hash;
-they are what is broadcast, at most trees times ``2 ** MAX_BITS`` numbers. The rows of
-a string are dealt by hash to parts of about ``PART_ROWS`` rows, and a query visits
-all of them, so no row of its string is left out and no task holds more. A table of at
-most ``PART_ROWS`` vectors is searched whole.
+"""Approximate nearest neighbours by cosine: a forest of long hash strings.
+
+Every tree turns a vector into a string of ``STRING_BITS`` bits and keeps the strings of all
+rows sorted. Bit ``d`` says on which side of a cut the vector's projection on the tree's
+``d``-th random line lies. For the first bits each prefix has a cut of its own, the median
+of the rows with that prefix, so the rows of a prefix are halved with each bit however
+close together they lie, and a dense cluster, whatever its share of the table, is cut as
+finely as the rest and along other lines in every tree. Further bits are plain signs.
+
+A query descends in every tree to the rows that share its longest prefixes, and ascends in
+all trees at once: the level is lowered bit by bit until the rows that share so many bits
+with it, over all trees, are as many as the budget says. These are its candidates, and
+they are scored exactly.
+
+In Spark, cuts are medians of a sample of ``LEAF_SAMPLE`` rows a prefix, taken by hash; they
+are what is broadcast, at most trees times ``2 ** MAX_FITTED`` numbers, with as many sizes of
+parts. The rows of a tree lie in parts, one for each prefix of a length at which about
+``PART_ROWS`` to twice as many share it. A first round counts, in the part that holds a
+query's string, the rows on each of its levels; levels above the part are sums of sizes
+of parts. A second round scores the rows of the level chosen, in as many parts as it
+takes. So every row of the prefix is counted and scored, and no task holds more than
+a part. Nothing is different for small tables.
 
 Equal vectors are one class in the index, with the smallest ids of its rows, so that
 any number of copies costs one entry. Vectors that differ in length only have equal
@@ -28,7 +34,8 @@ less. ``recall`` measures against brute force.
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite part,
 and rows without id, take no part, nor do vectors of another length than most; rows
 with the query's own id are no candidates for it; an id is listed once for a query;
-ties go to the smaller id; fewer rows than asked for are returned if there are no more.
+ties go to the smaller id; fewer rows than asked for are returned if there are no more;
+vectors of any magnitude are scaled by a power of two before they are multiplied.
 """
 
 from __future__ import annotations
@@ -42,12 +49,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, ragged, table
 
 TREES = 32
 PART_ROWS = 8192
 LEAF_SAMPLE = 128
-MAX_BITS = 14
+MAX_FITTED = 14
+STRING_BITS = 32
 BUDGET = 0.5
 POWER = 0.65
 NEIGHBOURS = 5
@@ -97,8 +105,8 @@ def classes_of(rows: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _planes(dim: int, trees: int, bits: int) -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((dim, trees * bits))
+def _planes(dim: int, trees: int) -> np.ndarray:
+    return np.random.default_rng(SEED).standard_normal((dim, trees * STRING_BITS))
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
@@ -113,20 +121,30 @@ def _noise(tie: np.ndarray, count: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+def scaled(matrix: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that squares neither overflow nor vanish."""
+    exponent = np.frexp(np.abs(matrix).max(axis=1, initial=0, keepdims=True))[1]
+    return np.ldexp(matrix, -exponent)
+
+
 def places_of(matrix: np.ndarray, tie: np.ndarray, planes: np.ndarray, trees: int) -> np.ndarray:
     """Where each vector's direction lies on the lines of each tree."""
-    unit = matrix / np.abs(matrix).max(axis=1, keepdims=True)
+    unit = scaled(matrix)
     unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
     places = unit @ planes + _NOISE * _noise(tie, planes.shape[1])
     return places.reshape(len(matrix), trees, -1)
 
 
-def _leaves(places: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+def strings_of(places: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """The string of each row of one tree, as a number; cuts are in the order of a heap."""
+    fitted = int(len(cuts) + 1).bit_length() - 1
     node = np.zeros(len(places), np.int64)
-    for bit in range(places.shape[1]):
+    for bit in range(fitted):
         node = 2 * node + 1 + (places[:, bit] > cuts[node])
-    return node - len(cuts)
+    string = node - len(cuts)
+    for bit in range(fitted, places.shape[1]):
+        string = 2 * string + (places[:, bit] > 0)
+    return string
 
 
 def cuts_of(places: np.ndarray) -> np.ndarray:
@@ -145,16 +163,14 @@ def cuts_of(places: np.ndarray) -> np.ndarray:
 
 def _cuts(classes: DataFrame, n: int, dim: int, trees: int, bits: int) -> np.ndarray:
     """The cuts of all trees, from a sample."""
-    if not bits:
-        return np.zeros((trees, 0))
     one_in = max(1, n // (LEAF_SAMPLE * 2**bits))
 
     def place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = _planes(dim, trees, bits)
+        planes = _planes(dim, trees)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                places = places_of(_matrix(batch["vec"]), np.asarray(batch["tie"]), planes, trees)
+                places = places_of(_matrix(batch["vec"]), np.asarray(batch["tie"]), planes, trees)[:, :, :bits]
                 for tree in range(trees):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(places), tree, np.int32)), pa.array(list(places[:, tree]), pa.list_(pa.float64()))],
@@ -174,57 +190,100 @@ def _cuts(classes: DataFrame, n: int, dim: int, trees: int, bits: int) -> np.nda
     return cuts
 
 
-def _indexed(classes: DataFrame, dim: int, cuts: np.ndarray, pieces: int, visits: bool) -> DataFrame:
-    """A row for each class and tree: tree, part, cls and vec.
+def _with_strings(classes: DataFrame, dim: int, cuts: np.ndarray) -> DataFrame:
+    """cls, vec and the string of each tree."""
+    trees = len(cuts)
 
-    The rows of a string are dealt to ``pieces`` parts. With ``visits`` there is a row
-    for each part of the string, as a query visits them.
-    """
-    trees, bits = len(cuts), int(cuts.shape[1] + 1).bit_length() - 1
-
-    def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = _planes(dim, trees, bits)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = _planes(dim, trees)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                n = batch.num_rows
-                tie = np.asarray(batch["tie"])
-                places = places_of(_matrix(batch["vec"]), tie, planes, trees)
-                mine = np.zeros(n, np.int64) if visits else (tie % pieces).astype(np.int64)
-                for tree in range(trees):
-                    part = _leaves(places[:, tree], cuts[tree]) * pieces + mine
-                    for piece in range(pieces) if visits else (0,):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, tree, np.int32)), pa.array(part + piece), batch["cls"], batch["vec"]],
-                            names=["tree", "part", "cls", "vec"],
-                        )
+                places = places_of(_matrix(batch["vec"]), np.asarray(batch["tie"]), planes, trees)
+                strings = np.stack([strings_of(places[:, tree], cuts[tree]) for tree in range(trees)], axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["cls"], batch["vec"], ragged(strings.ravel(), np.full(len(strings), trees))],
+                    names=["cls", "vec", "strings"],
+                )
+
+    return classes.select("cls", "tie", "vec").mapInArrow(add, "cls bigint, vec array<double>, strings array<bigint>")
+
+
+def prefix_range(strings: np.ndarray, own: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where, in sorted strings, those begin and end that share ``level`` bits with one's own."""
+    shift = STRING_BITS - level
+    low = (own >> shift) << shift
+    return np.searchsorted(strings, low), np.searchsorted(strings, low + (np.int64(1) << shift))
+
 
-    return classes.select("cls", "tie", "vec").mapInArrow(hash_rows, "tree int, part bigint, cls bigint, vec array<double>")
+def _level_counts(depth: int, sizes: np.ndarray):
+    """For each query of a part, how many rows share so many bits with it, by level."""
+
+    def count(key: tuple, group: pa.Table) -> pa.Table:
+        tree, part = (int(k.as_py()) for k in key)
+        asks = np.asarray(group["asks"])
+        strings = np.asarray(group["string"])
+        rows, own = np.sort(strings[~asks]), strings[asks]
+        above = [sizes[tree].reshape(1 << level, -1).sum(axis=1)[part >> (depth - level)] for level in range(depth)]
+        counts = [np.full(len(own), n) for n in above]
+        for level in range(depth, STRING_BITS + 1):
+            first, last = prefix_range(rows, own, np.full(len(own), level, np.int64))
+            counts.append(last - first)
+        table = np.stack(counts, axis=1).astype(np.int64) if len(own) else np.zeros((0, STRING_BITS + 1), np.int64)
+        return pa.table({"cls": group["cls"].filter(pa.array(asks)), "counts": ragged(table.ravel(), np.full(len(own), STRING_BITS + 1))})
+
+    return count
 
 
 def _best(k: int):
     def score(group: pa.Table) -> pa.Table:
-        rows, queries = group.filter(pc.invert(group["query"])), group.filter(group["query"])
+        order = group.filter(pc.invert(group["asks"])).sort_by("string")
+        queries = group.filter(group["asks"])
         schema = pa.struct([("away", pa.float64()), ("cls", pa.int64())])
-        best: list[list[dict]] = []
-        if rows.num_rows and queries.num_rows:
-            matrix = _matrix(rows["vec"].combine_chunks())
+        best: list[list[dict]] = [[] for _ in range(queries.num_rows)]
+        if order.num_rows and queries.num_rows:
+            matrix = scaled(_matrix(order["vec"].combine_chunks()))
             norm = np.sqrt((matrix * matrix).sum(axis=1))
-            cls = np.asarray(rows["cls"])
-            for vec in _matrix(queries["vec"].combine_chunks()):
-                near = (matrix * vec).sum(axis=1) / (norm * np.sqrt((vec * vec).sum()))
+            cls = np.asarray(order["cls"])
+            first, last = prefix_range(np.asarray(order["string"]), np.asarray(queries["string"]), np.asarray(queries["level"], np.int64))
+            for i, vec in enumerate(scaled(_matrix(queries["vec"].combine_chunks()))):
+                mine = slice(first[i], last[i])
+                near = (matrix[mine] * vec).sum(axis=1) / (norm[mine] * np.sqrt((vec * vec).sum()))
                 top = np.arange(len(near))
                 if len(near) > k:
                     least = np.partition(near, len(near) - k)[len(near) - k]
                     top = np.flatnonzero(near >= least)
-                best.append([{"away": -s, "cls": c} for s, c in zip(near[top].tolist(), cls[top].tolist())])
-        else:
-            best = [[] for _ in range(queries.num_rows)]
+                best[i] = [{"away": -s, "cls": c} for s, c in zip(near[top].tolist(), cls[mine][top].tolist())]
         return pa.table({"cls": queries["cls"], "best": pa.array(best, pa.list_(schema))})
 
     return score
 
 
+def _levels(coded: DataFrame, asked: DataFrame, depth: int, trees: int, wanted: int) -> DataFrame:
+    """cls and level of each query: the most bits that, over all trees, ``wanted`` rows or more share with it."""
+
+    def parts(df: DataFrame, asks: bool) -> DataFrame:
+        each = df.select("cls", F.posexplode("strings").alias("tree", "string"))
+        return each.select("cls", "tree", _part("string", depth), "string", F.lit(asks).alias("asks"))
+
+    sizes = np.zeros((trees, 1 << depth), np.int64)
+    for row in parts(coded, False).groupBy("tree", "part").count().collect():
+        sizes[row["tree"], row["part"]] = row["count"]
+    counts = parts(coded, False).unionByName(parts(asked, True)).groupBy("tree", "part")
+    counts = counts.applyInArrow(_level_counts(depth, sizes), "cls bigint, counts array<bigint>")
+    every = counts.groupBy("cls").agg(F.collect_list("counts").alias("trees"))
+    totals = F.transform(
+        F.sequence(F.lit(0), F.lit(STRING_BITS)),
+        lambda level: F.aggregate("trees", F.lit(0).cast("bigint"), lambda n, counts: n + F.get(counts, level)),
+    )
+    enough = F.size(F.filter(totals, lambda n: n >= wanted))
+    return every.select("cls", F.greatest(enough - 1, F.lit(0)).alias("level"))
+
+
+def _part(string: str, depth: int) -> Column:
+    return F.shiftright(string, STRING_BITS - depth).cast("int").alias("part")
+
+
 def search(
     vectors: DataFrame,
     is_query: Column,
@@ -246,18 +305,27 @@ def search(
     classes = materialise(classes_of(rows, k), "vectors")
     n = classes.count()
     a_side = max(64, math.ceil(budget * n**POWER))
-    bits = min(MAX_BITS, max(0, int(math.log2(n / (2 * a_side))))) if n > part_rows else 0
-    trees = trees if bits else 1
-    pieces = max(1, math.ceil(n / 2**bits / part_rows))
-    cuts = _cuts(classes, n, dim, trees, bits)
+    halvings = math.log2(max(2.0, n / (2 * a_side)))
+    fitted = min(MAX_FITTED, math.ceil(halvings) + 2)
+    depth = min(fitted, max(0, int(math.log2(max(1.0, n / part_rows)))))
+    cuts = _cuts(classes, n, dim, trees, fitted)
+    coded = materialise(_with_strings(classes, dim, cuts), "strings")
 
     asking = materialise(
         rows.where(is_query).distinct().join(classes.select("vec", "cls"), "vec").select("vec_id", "cls"), "queries"
     )
-    asked = asking.select("cls").distinct().join(classes, "cls")
-
-    index = _indexed(classes, dim, cuts, pieces, False).withColumn("query", F.lit(False))
-    visits = _indexed(asked, dim, cuts, pieces, True).withColumn("query", F.lit(True))
+    asked = coded.join(asking.select("cls").distinct(), "cls")
+    levels = materialise(_levels(coded, asked, depth, trees, 2 * a_side * trees), "levels")
+
+    index = coded.select("cls", "vec", F.posexplode("strings").alias("tree", "string"))
+    index = index.select("tree", _part("string", depth), "cls", "string", F.lit(0).alias("level"), "vec", F.lit(False).alias("asks"))
+    visits = asked.join(levels, "cls").select("cls", "vec", "level", F.posexplode("strings").alias("tree", "string"))
+    # A prefix shorter than a part's has several parts, side by side.
+    wide = f"greatest({depth} - level, 0)"
+    first = f"shiftleft(shiftright(string, {STRING_BITS - depth} + {wide}), {wide})"
+    part = F.expr(f"explode(sequence({first}, {first} + shiftleft(1L, {wide}) - 1))").alias("part")
+    visits = visits.select("tree", part, "cls", "string", "level", "vec")
+    visits = visits.select("tree", F.col("part").cast("int").alias("part"), "cls", "string", "level", "vec", F.lit(True).alias("asks"))
     scored = index.unionByName(visits).groupBy("tree", "part").applyInArrow(
         _best(k + 1), "cls bigint, best array<struct<away:double,cls:bigint>>"
     )
