@@ -7,7 +7,7 @@ from pyspark.sql import Observation
 
 from weirline.catalog import create_database, register_partitions, register_raw_table
 from weirline.config import CurateRules, JobConfig, LakeNames
-from weirline.operators import grouped_count
+from weirline.operators import counts_from_footers, grouped_count
 from weirline.plans import curate, run_arrivals, run_batch
 from weirline.sinks import append_parquet, append_to_table
 from weirline.streaming import DiscoveryFailed
@@ -218,3 +218,13 @@ def test_null_checks_reach_the_raw_scan(spark, tmp_path):
     plan = curate(raw(spark, tmp_path), RULES)._jdf.queryExecution().executedPlan().toString()
     assert "IsNotNull(email)" in plan
     assert "year" not in plan.split("ReadSchema")[1]
+
+
+def test_counts_from_footers_read_no_rows(spark, tmp_path):
+    drop(tmp_path / "raw", "a.csv", [*CLEAN, "109,A,B,e@x,s,,2023-01-01,1"])
+    append_parquet(curate(raw(spark, tmp_path / "raw"), RULES), str(tmp_path / "out"), ["region"])
+    counted = counts_from_footers(spark, str(tmp_path / "out"), "region")
+    assert {r.region: r.cnt for r in counted.collect()} == {**REGION_COUNTS, None: 1}
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(" in plan and "PushedGroupBy: [region]" in plan
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"

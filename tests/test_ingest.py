@@ -1,4 +1,5 @@
 import os
+from datetime import datetime
 from dataclasses import replace
 
 import pytest
@@ -257,3 +258,20 @@ def test_removed_partition_is_reported(spark, tmp_path, database):
     gone.unlink()
     assert [r.partition for r in lake.run().deleted.collect()] == ["year=2026/month=04"]
     assert lake.rows().count() == 8
+
+
+@pytest.mark.parametrize("range_files", [2, 1000])
+@pytest.mark.parametrize("bounds,steps", [({"max_files": 3}, [3, 3, 3, 2]), ({"max_bytes": 40}, [4, 4, 3]), ({}, [5, 5, 1])])
+def test_steps_by_ranges(spark, tmp_path, monkeypatch, range_files, bounds, steps):
+    """Steps are the same however many ranges the files are ordered in."""
+    monkeypatch.setattr("weirline.streaming.accepted.STEP_FILES", 5)
+    schema = "path string, modificationTime timestamp, length bigint, partition string, header string"
+    rows = [(f"f{i:02d}", datetime(2026, 1, 1 + i // 4), 10, "", "a") for i in range(11)]
+    accepted = AcceptedFiles(spark, str(tmp_path / "accepted"))
+    accepted.add(spark.createDataFrame(rows[::-1], schema).repartition(3), len(rows), range_files=range_files, **bounds)
+    got = sorted((r.step, r.path) for r in accepted._known().collect())
+    assert [p for _, p in got] == [r[0] for r in rows]
+    assert [sum(s == step for s, _ in got) for step in sorted({s for s, _ in got})] == steps
+    done = []
+    accepted.process(lambda files, number: done.append([r.path for r in files.orderBy("path").collect()]), str(tmp_path / "done"))
+    assert [len(d) for d in done] == steps and sorted(p for d in done for p in d) == [r[0] for r in rows]

@@ -63,7 +63,7 @@ def run_arrivals(spark: SparkSession, config: JobConfig) -> RunReport:
         new_columns = update_raw_table(spark, config.source, [x.columns for x in layouts], register=False)
         if partitions:
             ledger.register(waiting)
-        accepted.add(waiting, config.max_files, config.max_bytes)
+        accepted.add(waiting, sum(x.files for x in layouts), config.max_files, config.max_bytes)
 
     counts: list[tuple[RunCounts, RunCounts | None]] = []
 

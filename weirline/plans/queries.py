@@ -29,6 +29,7 @@ from weirline.functions import field, parse_date
 from weirline.operators import (
     append_column,
     apply_mapping,
+    counts_from_footers,
     drop_missing,
     first_rows,
     grouped_count,
@@ -438,6 +439,14 @@ def _governed(spark: SparkSession, sf_dir: str, principal: str) -> DataFrame:
     return govern(spark, _rules(), principal, "customer", _table(spark, sf_dir, "customer"))
 
 
+@query(f"SELECT region, COUNT(*) AS cnt FROM ({CURATED_CUSTOMERS}) c GROUP BY region")
+def footer_region_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The region count of the curated files, from their footers: no row is read."""
+    location = f"{new_workspace(spark, 'footers')}/curated/customers"
+    append_parquet(curate(_raw_customers(spark, sf_dir, new_workspace(spark, "footers-raw")), RULES), location, ("region",))
+    return counts_from_footers(spark, location, "region")
+
+
 @query("SELECT * FROM customer")
 def governed_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_all(_governed(spark, sf_dir, "full"))
