@@ -17,6 +17,7 @@ from weirline.catalog import (
 from weirline.catalog.discovery import HeaderLedger
 from weirline.config import CurateRules
 from weirline.sources import (
+    file_access,
     group_compatible,
     infer_columns,
     list_files,
@@ -307,3 +308,12 @@ def test_parquet_drift(spark, tmp_path):
     spark.createDataFrame([(1,)], "a int").write.mode("append").parquet(path)
     spark.createDataFrame([(2, "x")], "a int, b string").write.mode("append").parquet(path)
     assert sorted(map(tuple, scan_parquet(spark, path, merge_schema=True).collect())) == [(1, None), (2, "x")]
+
+
+def test_files_are_found_by_any_name_of_their_storage(tmp_path):
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b" / "x%20y").write_text("here")
+    located = file_access()
+    for path in (f"{tmp_path}/a b/x%20y", f"file:{tmp_path}/a b/x%20y", f"file://{tmp_path}/a b/x%20y"):
+        system, inner = located(path)
+        assert system.open_input_file(inner).read() == b"here"

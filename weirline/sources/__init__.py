@@ -2,6 +2,7 @@ from weirline.sources.files import list_files, partition_columns, require_depth
 from weirline.sources.layouts import (
     Discovery,
     Layout,
+    file_access,
     file_headers,
     find_layouts,
     group_compatible,
@@ -17,6 +18,7 @@ __all__ = [
     "FILE",
     "Discovery",
     "Layout",
+    "file_access",
     "file_headers",
     "find_layouts",
     "group_compatible",

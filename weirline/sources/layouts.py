@@ -96,6 +96,14 @@ def _arrow_access() -> tuple[Callable, Callable]:
     return located, with_first_lines
 
 
+def file_access() -> Callable[[str], tuple[fs.FileSystem, str]]:
+    """How a task finds a file by a path as Spark writes it: the file system, and the path within it.
+
+    Spark's names for object stores are taken too, such as ``s3a://``.
+    """
+    return _arrow_access()[0]
+
+
 def can_open(path: str) -> bool:
     """Whether this process reaches a file without going through the JVM."""
     located, _ = _arrow_access()
