@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirline.scratch import new_workspace
+from weirline.sources import file_access
 
 from .common import CHUNK_BYTES, kept, materialise, spread, table, text_chunks, utf8
 
@@ -178,8 +179,8 @@ class FileWriter:
 class FileReader:
     """Random access to one file."""
 
-    def __init__(self, path: str) -> None:
-        system, name = pa.fs.FileSystem.from_uri(path)
+    def __init__(self, path: str, located: Callable | None = None) -> None:
+        system, name = (located or pa.fs.FileSystem.from_uri)(path)
         self.file = system.open_input_file(name)
         size = self.file.size() // 8
         trailer = self._words(size - _TRAILER, size)
@@ -340,12 +341,13 @@ def write_ids(
     """
     spark = docs.sparkSession
     folder = folder or new_workspace(spark, "llm-tokens")
+    located = file_access()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode = _encoder(tokenizer, end_id, by_word)
-        system, base = pa.fs.FileSystem.from_uri(folder)
+        system, base = located(folder)
         system.create_dir(base, recursive=True)
         part, rows = TaskContext.get().partitionId(), []
         open_file: FileWriter | None = None
@@ -386,11 +388,12 @@ _READ_IDS = 1 << 22
 
 def read_ids(manifest: DataFrame) -> DataFrame:
     """A row for each document of the files: doc_id, start, n_tokens, ids_crc32, path and place in the file."""
+    located = file_access()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch["path"].to_pylist(), batch["start"].to_pylist()):
-                file = FileReader(path)
+                file = FileReader(path, located)
                 ends = np.cumsum(file.lengths)
                 at = 0
                 while at < len(ends):
