@@ -110,6 +110,8 @@ class JobConfig:
     they are kept there by file and line, and with ``max_faults`` a run with more of them
     writes nothing else. ``choice_columns`` are curated text columns whose values may have
     several types; each type found gets a column of its own.
+    With ``merge_batches``, so many finished batches of a partition value are merged into one
+    after a run, and what they replace is deleted by the next run.
     ``max_bytes`` or ``max_files`` cut a large backlog into several commits, so that
     a failure repeats no more than one of them; each commit has its own time stamp.
     """
@@ -133,6 +135,7 @@ class JobConfig:
     quarantine_path: str | None = None
     max_faults: int | None = None
     choice_columns: tuple[str, ...] = ()
+    merge_batches: int | None = None
     rules: CurateRules = CurateRules()
 
     def __post_init__(self) -> None:
@@ -141,6 +144,8 @@ class JobConfig:
             raise ValueError(f"arguments must not be empty: {empty}")
         if self.bookmark and not self.state_path:
             raise ValueError("a bookmarked job needs state_path, shared storage for its progress")
+        if self.merge_batches is not None and (self.merge_batches < 2 or not self.bookmark):
+            raise ValueError("merge_batches takes two or more, and a bookmarked job")
 
     @property
     def source(self) -> str:
@@ -199,6 +204,7 @@ class JobConfig:
         parser.add_argument("--QUARANTINE_PATH")
         parser.add_argument("--MAX_FAULTS", type=int)
         parser.add_argument("--CHOICE_COLUMNS", default="")
+        parser.add_argument("--MERGE_BATCHES", type=int)
         parser.add_argument("--PARTITION_KEYS", default=",".join(RAW_PARTITIONS))
         parser.add_argument("--CURATED_PARTITION_KEYS", default=",".join(CURATED_PARTITIONS))
         parser.add_argument("--RAW_PATTERN", default="*")
@@ -222,6 +228,7 @@ class JobConfig:
             quarantine_path=args.QUARANTINE_PATH,
             max_faults=args.MAX_FAULTS,
             choice_columns=_listed(args.CHOICE_COLUMNS),
+            merge_batches=args.MERGE_BATCHES,
             raw_pattern=args.RAW_PATTERN,
             added_columns=args.ADDED_COLUMNS,
             rebalance=not args.NO_REBALANCE,

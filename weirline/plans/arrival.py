@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weirline.catalog import PartitionLedger, describe_raw_table, known_headers, update_raw_table
 from weirline.config import JobConfig
 from weirline.plans.curate import Sinks, curate_into
-from weirline.sinks import BATCH_COLUMN, replace_batch, replace_batch_in_table
+from weirline.sinks import BATCH_COLUMN, BatchMerges, replace_batch, replace_batch_in_table
 from weirline.sources import find_layouts, list_files, read_files, require_depth
 from weirline.streaming import AcceptedFiles, RunCounts, require_layouts
 
@@ -91,6 +91,9 @@ def run_arrivals(spark: SparkSession, config: JobConfig) -> RunReport:
     if counts:
         # Batches ran in a session of the stream, so this one may remember the table as it was.
         spark.catalog.refreshTable(config.target)
+    if config.merge_batches and spark.catalog.tableExists(config.target):
+        # Every batch is committed by now, so none of them will be run again.
+        BatchMerges(spark, config.target, f"{config.state_path}/merges").run(config.merge_batches)
     deleted = ledger.gone(listed) if ledger is not None else None
     cleaned = _summed([c for _, c in counts]) if config.cleaned_path else None
     return RunReport(_summed([c for c, _ in counts]), cleaned, new_columns, deleted)

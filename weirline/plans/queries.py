@@ -833,6 +833,26 @@ def incremental_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select(F.split_part("partition", F.lit("/"), F.lit(1)).alias("partition")).distinct()
 
 
+@query(
+    f"""
+    SELECT region, COUNT(*) AS cnt, SUM(customer_id)::BIGINT AS ids, 1 AS batches FROM ({CURATED_CUSTOMERS}) c GROUP BY region
+    """
+)
+def merged_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many small batches, merged by the job into one partition a region: the same rows, by the table's name."""
+    workspace = new_workspace(spark, "merged-batches")
+    config = _lake(spark, workspace, "customers", max_files=1, merge_batches=2)
+    customers = _render_customers(spark, sf_dir)
+    for n in range(2):
+        _drop_csv(customers.where(F.pmod(F.hash("ssn"), F.lit(2)) == n), f"{workspace}/raw/customers", YEAR_MONTH)
+    run_arrivals(spark, config)
+    shown = spark.sql(f"SHOW PARTITIONS {config.target}").select(F.split_part("partition", F.lit("/"), F.lit(1)).alias("p"))
+    named = F.concat(F.lit("region="), F.coalesce("region", F.lit("__HIVE_DEFAULT_PARTITION__")))
+    curated = scan_table(spark, config.target).groupBy("region", named.alias("p"))
+    rows = curated.agg(F.count("*").alias("cnt"), F.sum("customer_id").alias("ids"))
+    return rows.join(shown.groupBy("p").agg(F.count("*").cast("int").alias("batches")), "p").drop("p")
+
+
 @query(
     """
     SELECT job, COUNT(*) AS rows_read FROM customer, (VALUES ('arrivals'), ('batch')) j(job) GROUP BY job

@@ -1,3 +1,4 @@
+from weirline.sinks.merging import BatchMerges
 from weirline.sinks.results import ResultStore
 from weirline.sinks.tables import (
     BATCH_COLUMN,
@@ -11,6 +12,7 @@ from weirline.sinks.tables import (
 
 __all__ = [
     "BATCH_COLUMN",
+    "BatchMerges",
     "ResultStore",
     "append_parquet",
     "append_to_table",
