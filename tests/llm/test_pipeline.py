@@ -33,7 +33,7 @@ def test_each_stage_works_on_what_the_one_before_kept(spark, sf_dir, documents):
             assert set(after) == {r[0] for r in brute.decontaminate(texts, items) if not r[5]}
         else:
             assert set(after) == set(before)
-            found = {r["_row"].doc_id for r in surrogates.replace(spark.createDataFrame(list(before.values()))).collect() if r["_kinds"]}
+            found = {r["_row"].doc_id for r in surrogates.replace(spark.createDataFrame(list(before.values())), "k").collect() if r["_kinds"]}
             assert {i for i, r in after.items() if r.text != before[i].text} == found
             assert all(r.n_chars == len(r.text) for i, r in after.items() if i in found)
         if name != "pii_surrogates":

@@ -2,8 +2,8 @@
 
 Found are e-mail addresses, IBANs, payment cards, US social security numbers, IPv4
 addresses, phone numbers and names after a title: any number of words with inner
-capitals, apostrophes and hyphens, initials and particles. Later bare mentions of a
-found name's words in the same text (in capitals or with one at the start) are
+capitals, apostrophes and hyphens, initials and particles. Bare mentions of a
+found name's words anywhere in the same text (in capitals or with one at the start) are
 replaced as well. Each distinct entity (in canonical
 form: e-mails in lower case, numbers as their digits, each part of a name) gets one
 surrogate for the whole corpus, so that what referred to one person still does:
@@ -13,21 +13,22 @@ surrogate for the whole corpus, so that what referred to one person still does:
 * an e-mail address keeps its top-level domain, a phone number its country code, a
   card its first digit and a right check digit, an IBAN its country, a social
   security number lies in the range never issued;
-* a given name comes from a list for the title's gender and the name's script, a
-  surname keeps its last letter, which bears gender in some languages; a given name
-  after a title without gender is the one known from titles with gender, if any is;
+* names are made of syllables of their script, one more with each draw, so that they can be
+  said and never run out; a given name ends as the title's gender has it, a surname as it
+  ended, which bears gender in some languages; a given name after a title without gender
+  is the one known from titles with gender, if any is;
 * the last word of a name that is no initial is the surname, hyphened parts stand for
   themselves, an initial follows its letter and key only; titles and particles stay.
 
 Surrogates come from a hash under ``key``. They are then checked over all entities:
 where two of a kind got the same, or one that occurs in the texts, all but one draw
-again, until there is none left. Entities and their surrogates stay in Spark; texts
+again, until there is none left. The key is the caller's secret: there is no default. Entities and their surrogates stay in Spark; texts
 without personal data are not shuffled.
 
 Defined cases: a null or empty text stays; equal rows get equal texts; a match is of
 the first kind in the order above that fits it; letters of scripts without a class
 here stay as they are; capitalised words right after a name count as part of it;
-words before the first titled mention stay; kinds list titled names, not bare
+kinds list titled names, not bare
 mentions; other columns are kept as they are, whatever their names.
 """
 
@@ -40,10 +41,12 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-KEY = "change-me"
+#: Where a session keeps the key, and the key of the given tables, whose people are made up.
+KEY_SETTING = "spark.weirline.pii.key"
+TABLES_KEY = "given tables"
 MAX_DRAWS = 60
 
-# Titles by the gender they tell, given names by gender and script.
+# Titles by the gender they tell.
 FEMALE = ("Mrs", "Ms", "Miss", "Mme", "Madame", "Mlle", "Frau", "Señora", "Sra", "Signora", "г-жа", "Госпожа", "Κυρία")
 MALE = ("Mr", "Monsieur", "Herr", "Señor", "Sr", "Signor", "г-н", "Господин", "Κύριος")
 NEUTRAL = ("Dr", "Prof", "Doctor", "Professor", "Professeur", "Docteur", "Doktor", "Доктор", "Профессор", "д-р", "проф", "Δρ")
@@ -51,14 +54,26 @@ PARTICLES = (
     "van von vom der den des de del della dell di da das do dos du d la las le los l el al bin ibn ben bint "
     "zu zum zur ter ten af av y"
 ).split()
-GIVEN = {
-    ("Latin", "f"): "anna clara elena emma ines julia laura lena maria nora paula sofia".split(),
-    ("Latin", "m"): "adam bruno daniel emil felix hugo jonas leo martin oscar paul simon".split(),
-    ("Cyrillic", "f"): "анна вера елена ирина мария нина ольга софия".split(),
-    ("Cyrillic", "m"): "антон борис виктор иван максим олег павел сергей".split(),
-    ("Greek", "f"): "αννα ελενη ιωαννα κατερινα μαρια νικη σοφια χριστινα".split(),
-    ("Greek", "m"): "αλεξης γιωργος δημητρης κωστας μανος νικος πετρος στελιος".split(),
+#: What names are made of, by script: starts and ends of syllables, ends of given names by gender.
+STARTS = {
+    "Latin": "b d f g h j k l m n p r s t v z br dr gr kl pr st tr".split(),
+    "Cyrillic": "б в г д ж з к л м н п р с т".split(),
+    "Greek": "β γ δ ζ θ κ λ μ ν π ρ σ τ φ".split(),
 }
+VOWELS = {"Latin": "a e i o u".split(), "Cyrillic": "а е и о у".split(), "Greek": "α ε η ι ο".split()}
+ENDS = {
+    ("Latin", "f"): "la na ra ria lina sette".split(),
+    ("Latin", "m"): "bo lan mus nor rik ton".split(),
+    ("Latin", "n"): "by lie nis ry sen vie".split(),
+    ("Cyrillic", "f"): "ла на рина сия".split(),
+    ("Cyrillic", "m"): "лан мир рик тон".split(),
+    ("Cyrillic", "n"): "ли ни ри си".split(),
+    ("Greek", "f"): "λα νη ρια σινα".split(),
+    ("Greek", "m"): "λος μης νας ρων".split(),
+    ("Greek", "n"): "λι νι ρι σι".split(),
+}
+#: Ends of surnames that bear gender; of any other surname the last letter stays.
+_SURNAME_END = r"(?:[ое]в|[ое]ва|ин|ина|ск(?:ий|ая)|ου|ος|ης|[oe]v[aá]|ov|ev|s[ck]a|s[ck]i|sky|.)$"
 
 _TITLE = "|".join(sorted((*FEMALE, *MALE, *NEUTRAL), key=len, reverse=True))
 _LETTER = r"[\p{L}\p{M}]"
@@ -187,9 +202,8 @@ def _entity(kind: Column | str, canonical: Column, country: Column | str = "") -
     return F.struct(lit[0].alias("kind"), canonical.alias("canonical"), lit[1].alias("fixed"))
 
 
-def entities_of(found: Column) -> Column:
-    """The entities of a match: kind, canonical form and what of it stays."""
-    kind = _kind(found)
+def entities_of(found: Column, kind: Column) -> Column:
+    """The entities of a match of a kind: kind, canonical form and what of it stays."""
     digits = F.regexp_replace(found, r"\D", "")
     _, pieces, n_given = _pieces(found)
     given = F.concat(F.lit("given-"), _gender(_head(found)))
@@ -214,12 +228,53 @@ def entities_of(found: Column) -> Column:
     )
 
 
+def _pick(lists: dict[str, list[str]], script: Column, number: Column) -> Column:
+    """One of the list of a script, Latin if the script has none."""
+    result = None
+    for name in ("Latin", "Cyrillic", "Greek"):
+        members = lists[name]
+        one = F.element_at(F.array(*map(F.lit, members)), F.pmod(number, F.lit(len(members))).cast("int") + 1)
+        result = one if result is None else F.when(script == name, one).otherwise(result)
+    return result
+
+
+def _syllables(seed: Column, count: Column, script: Column) -> Column:
+    def syllable(i: Column) -> Column:
+        start = _pick(STARTS, script, F.xxhash64(seed, F.lit("start"), i))
+        return F.concat(start, _pick(VOWELS, script, F.xxhash64(seed, F.lit("vowel"), i)))
+
+    return F.array_join(F.transform(F.sequence(F.lit(1), count.cast("int")), syllable), "")
+
+
+def _given_name(kind: Column, seed: Column, draw: Column, script: Column) -> Column:
+    def ended(gender: str) -> Column:
+        ends = {name: ENDS[name, gender] for name in STARTS}
+        return F.concat(_syllables(seed, draw + 1, script), _pick(ends, script, F.xxhash64(seed, F.lit("end"))))
+
+    return F.when(kind == "given-f", ended("f")).when(kind == "given-m", ended("m")).otherwise(ended("n"))
+
+
+def _family_name(canonical: Column, seed: Column, draw: Column, script: Column) -> Column:
+    """What stands between apostrophes is made anew, single letters within their class."""
+
+    def part(p: Column, i: Column) -> Column:
+        own = F.concat(seed, i.cast("string"))
+        end = F.regexp_extract(p, _SURNAME_END, 0)
+        # A consonant goes before an end that starts with a vowel.
+        opens = _same_class(F.substr(end, F.lit(1), F.lit(1)), F.lit(0)).isin("a", "à", "а", "α", "ά")
+        joint = F.when(opens, _pick(STARTS, script, F.xxhash64(own, F.lit("joint")))).otherwise("")
+        made = F.concat(_syllables(own, draw + 2, script), joint, end)
+        return F.when(F.length(p) > 1, made).otherwise(_substituted(p, own))
+
+    return F.array_join(F.transform(F.split(canonical, "'"), part), "'")
+
+
 def _candidate(kind: Column, canonical: Column, fixed: Column, draw: Column, key: str) -> Column:
     """The surrogate of an entity at its ``draw``-th attempt."""
     seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canonical, draw).cast("binary"), 256)
     whole = _substituted(canonical, seed)
     n = F.length(canonical)
-    # From the fourth draw on, names and addresses grow: short ones may have used up their class.
+    # From the fourth draw on, addresses grow: short ones may have used up their class.
     longer = F.array_join(
         F.transform(
             F.sequence(F.lit(1), F.greatest(draw - 2, F.lit(1))),
@@ -240,16 +295,7 @@ def _candidate(kind: Column, canonical: Column, fixed: Column, draw: Column, key
     payload = F.concat(F.substr(canonical, F.lit(1), F.lit(1)), _substituted(F.substr(canonical, F.lit(2), n - 2), seed))
     valid = _luhn_digit(F.substr(canonical, F.lit(1), n - 1)) == F.substr(canonical, n, F.lit(1))
     last = F.when(valid, _luhn_digit(payload)).otherwise(F.substr(whole, n, F.lit(1)))
-    surname = F.concat(_substituted(F.substr(canonical, F.lit(1), n - 1), seed), longer, F.substr(canonical, n, F.lit(1)))
-    given = surname
-    for (script, gender), names in GIVEN.items():
-        listed = F.element_at(F.array(*map(F.lit, names)), _draw(seed, 0, F.lit(len(names))) + 1)
-        mine = (kind == f"given-{gender}") & (fixed == script) & (draw == 0)
-        given = F.when(mine, listed).otherwise(given)
-    for script in ("Latin", "Cyrillic", "Greek"):
-        names = sorted(GIVEN[script, "f"] + GIVEN[script, "m"])
-        listed = F.element_at(F.array(*map(F.lit, names)), _draw(seed, 0, F.lit(len(names))) + 1)
-        given = F.when((kind == "given-n") & (fixed == script) & (draw == 0), listed).otherwise(given)
+    script = _script(canonical)
     kept = F.length(fixed)
     return (
         F.when(kind == "email", email)
@@ -258,17 +304,19 @@ def _candidate(kind: Column, canonical: Column, fixed: Column, draw: Column, key
         .when(kind == "ssn", F.concat(F.lit("9"), F.substr(whole, F.lit(2), n)))
         .when(kind == "ip", F.array_join(octets, "."))
         .when(kind == "phone", F.concat(F.substr(canonical, F.lit(1), kept), F.substr(whole, kept + 1, n)))
-        .when(kind == "surname", surname)
-        .otherwise(given)
+        .when(kind == "surname", _family_name(canonical, seed, draw, script))
+        .otherwise(_given_name(kind, seed, draw, script))
     )
 
 
-def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
+def assign(entities: DataFrame, key: str) -> DataFrame:
     """kind, canonical and surrogate of all distinct entities (kind, canonical, fixed).
 
     In each round the entities without a surrogate draw one; it stands unless the
     same was drawn or given before within the kind, or is itself an entity.
     """
+    if not key:
+        raise ValueError("surrogates need a key")
     mentioned = entities.groupBy("kind", "canonical").agg(F.min("fixed").alias("fixed"))
     waiting = materialise(mentioned, "entities")
     known = waiting.select("kind", F.col("canonical").alias("surrogate"))
@@ -290,7 +338,7 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def _entry(surrogates: Column, kind: Column | str, canonical: Column) -> Column:
-    """What a text's map has for an entity: surrogate and first, the number of its first match."""
+    """The surrogate that a text's map has for an entity."""
     return F.try_element_at(surrogates, F.concat_ws("\x1f", F.lit(kind) if isinstance(kind, str) else kind, canonical))
 
 
@@ -310,25 +358,24 @@ def _woven(gaps: Column, words: Column) -> Column:
     return F.array_join(F.zip_with(gaps, words, lambda gap, w: F.concat(gap, F.coalesce(w, F.lit("")))), "")
 
 
-def _mentions_replaced(gap: Column, number: Column, surrogates: Column) -> Column:
-    """What stands before match ``number``, with surrogates for words of names found earlier."""
+def _mentions_replaced(gap: Column, surrogates: Column) -> Column:
+    """What stands between matches, with surrogates for words of the text's names."""
 
     def replaced(word: Column) -> Column:
         result = word
         for kind in reversed(_NAME_KINDS):
             known = _entry(surrogates, kind, _canonical(word))
-            result = F.when(known["first"] < number, _cased(word, known["surrogate"], F.lit(kind != "surname"))).otherwise(result)
+            result = F.when(known.isNotNull(), _cased(word, known, F.lit(kind != "surname"))).otherwise(result)
         return result
 
     words = F.regexp_extract_all(gap, F.lit(_MENTION), F.lit(0))
     return _woven(F.split(gap, _MENTION, -1), F.transform(words, replaced))
 
 
-def _rendered(found: Column, surrogates: Column, key: str) -> Column:
+def _rendered(found: Column, kind: Column, surrogates: Column, key: str) -> Column:
     """A match in its own format, with the surrogate in place of what it said."""
-    kind = _kind(found)
-    entity = entities_of(found)[0]
-    only = _entry(surrogates, entity["kind"], entity["canonical"])["surrogate"]
+    entity = entities_of(found, kind)[0]
+    only = _entry(surrogates, entity["kind"], entity["canonical"])
     spaced = F.split(found, r"[0-9A-Z]", -1)
     signs = F.filter(F.split(only, ""), lambda c: c != "")
     refilled = F.array_join(F.zip_with(spaced, signs, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
@@ -337,7 +384,7 @@ def _rendered(found: Column, surrogates: Column, key: str) -> Column:
 
     def part(p: Column, i: Column) -> Column:
         mine = i < n_given
-        surrogate = _entry(surrogates, F.when(mine, given).otherwise("surname"), _canonical(p))["surrogate"]
+        surrogate = _entry(surrogates, F.when(mine, given).otherwise("surname"), _canonical(p))
         seed = F.xxhash64(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("initial"), F.lower(p)).cast("binary"), 256))
         initial = _same_class(F.lower(p), seed)
         return F.when(F.length(p) == 1, F.upper(initial)).otherwise(_cased(p, surrogate, mine))
@@ -359,41 +406,49 @@ def _one_gender(mentions: DataFrame) -> DataFrame:
     return mentions.join(told, ["kind", "canonical"], "left").withColumn("as_kind", F.coalesce("told", "kind")).drop("told")
 
 
-def replace(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
+def session_key(spark: SparkSession, default: str = "") -> str:
+    """The key that the session holds under ``KEY_SETTING``."""
+    return spark.conf.get(KEY_SETTING, default)
+
+
+def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The rows as ``_row`` with ``_text``, the text without personal data, and ``_kinds``, of its matches in order."""
+    if not key:
+        raise ValueError("surrogates need a key")
     whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
     body = F.col("_row").getField(text)
-    has_some = F.coalesce(body.rlike(ANY), F.lit(False))
-    found = whole.where(has_some).select(
-        F.monotonically_increasing_id().alias("_id"),
-        "_row",
-        F.split(body, ANY, -1).alias("_gaps"),
-        F.regexp_extract_all(body, F.lit(ANY), F.lit(0)).alias("_found"),
-    ).withColumn("_kinds", F.transform("_found", _kind))
+    # Texts are searched once, and those with a match cut at it; all rows are kept with what was found.
+    found = whole.select(
+        F.monotonically_increasing_id().alias("_id"), "_row", F.regexp_extract_all(body, F.lit(ANY), F.lit(0)).alias("_found")
+    )
+    some = F.size("_found") > 0
+    found = found.withColumn("_gaps", F.when(some, F.split(body, ANY, -1)))
+    found = found.withColumn("_kinds", F.when(some, F.transform("_found", _kind)))
     found = materialise(found, "personal")
-    mentions = found.select("_id", F.posexplode("_found").alias("number", "m"))
-    mentions = mentions.select("_id", "number", F.explode(entities_of(F.col("m"))).alias("e"))
-    mentions = mentions.groupBy("_id", "e.kind", "e.canonical").agg(F.min("e.fixed").alias("fixed"), F.min("number").alias("first"))
+    matches = F.arrays_zip("_found", "_kinds")
+    personal = found.where("_gaps IS NOT NULL")
+    mentions = personal.select("_id", F.explode(matches).alias("m"))
+    mentions = mentions.select("_id", F.explode(entities_of(F.col("m._found"), F.col("m._kinds"))).alias("e"))
+    mentions = mentions.groupBy("_id", "e.kind", "e.canonical").agg(F.min("e.fixed").alias("fixed"))
     mentions = materialise(_one_gender(mentions), "mentions")
     given = assign(mentions.select(F.col("as_kind").alias("kind"), "canonical", "fixed"), key)
-    pairs = F.struct(F.concat_ws("\x1f", "kind", "canonical").alias("entity"), F.struct("surrogate", "first").alias("entry"))
+    pairs = F.struct(F.concat_ws("\x1f", "kind", "canonical").alias("entity"), "surrogate")
     maps = (
         mentions.join(given.withColumnRenamed("kind", "as_kind"), ["as_kind", "canonical"])
         .groupBy("_id")
         .agg(F.map_from_entries(F.collect_list(pairs)).alias("_map"))
     )
-    rendered = F.transform("_found", lambda m: _rendered(m, F.col("_map"), key))
-    named = F.array_position("_kinds", "name")
-    gaps = F.transform(
-        "_gaps", lambda gap, i: F.when((named > 0) & (i >= named), _mentions_replaced(gap, i, F.col("_map"))).otherwise(gap)
-    )
+    rendered = F.transform(matches, lambda m: _rendered(m["_found"], m["_kinds"], F.col("_map"), key))
+    named = F.array_contains("_kinds", "name")
+    gaps = F.transform("_gaps", lambda gap: F.when(named, _mentions_replaced(gap, F.col("_map"))).otherwise(gap))
     # A name of initials only has no entity, so a text may have no map.
-    changed = found.join(maps, "_id", "left").select("_row", _woven(gaps, rendered).alias("_text"), "_kinds")
-    clean = whole.where(~has_some).select("_row", body.alias("_text"), F.array().cast("array<string>").alias("_kinds"))
+    changed = personal.join(maps, "_id", "left").select("_row", _woven(gaps, rendered).alias("_text"), "_kinds")
+    clean = found.where("_gaps IS NULL")
+    clean = clean.select("_row", body.alias("_text"), F.array().cast("array<string>").alias("_kinds"))
     return clean.unionByName(changed)
 
 
-def without_personal_data(docs: DataFrame, key: str = KEY, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
+def without_personal_data(docs: DataFrame, key: str, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """The same rows and columns with surrogates in the text, and its length where there is a column for it."""
     done = replace(docs, key, text)
     new = {text: F.col("_text")}
@@ -406,7 +461,7 @@ def without_personal_data(docs: DataFrame, key: str = KEY, text: str = "text", n
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query op8: each document's text without personal data, and what was found."""
-    done = replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = replace(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark, TABLES_KEY))
     return done.select(
         "_row.doc_id",
         F.size("_kinds").cast("bigint").alias("n_found"),
