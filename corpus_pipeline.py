@@ -25,7 +25,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with surrogates in place of personal data."""
-    return surrogates.without_personal_data(docs)
+    return surrogates.without_personal_data(docs, surrogates.session_key(spark, surrogates.TABLES_KEY))
 
 
 def pack_best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
