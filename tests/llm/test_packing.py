@@ -72,3 +72,19 @@ def test_odd_texts(odd, odd_rows, empty, repeated):
     assert {r.doc_id for r in found if r.bin is None} == {1, 2, 3}
     assert pack_documents(empty).count() == 0
     assert len(listed(pack_documents(repeated), "doc_id", "piece")) == repeated.count()
+
+
+def test_equal_rows_spread_over_shards(spark):
+    """One row over and over, its id null or not: no shard holds them all, and all are packed."""
+    rows = [(None, "a b c", "s")] * 3000 + [(7, "d e", None)] * 3000 + [(8, "f", "s"), (9, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = pack_documents(docs, 16, shard_rows=100).collect()
+    assert Counter(r.doc_id for r in found) == Counter(r[0] for r in rows)
+    shards = Counter(r.bin >> 32 for r in found if r.bin is not None)
+    assert len(shards) == 61 and max(shards.values()) < 300
+    held = defaultdict(list)
+    for r in found:
+        if r.bin is not None:
+            held[r.bin].append(r)
+    for inside in held.values():
+        assert sum(r.n_words for r in inside) <= 16 and max(Counter(r.doc_id for r in inside).values()) == 1

@@ -10,7 +10,7 @@ new bin is opened.
 
 Shards of about ``shard_rows`` documents are drawn by a hash of the row, so that a
 source or cluster with a third of all rows has a third of every shard rather than a
-shard of its own, and one shard fits one task. Only sizes, sources and clusters travel
+shard of its own, and one shard fits one task. Rows that are equal are numbered for it. Only sizes, sources and clusters travel
 to the shards, never texts. Bins of different shards are not merged, so each shard
 may leave its last bins part empty: at most a bin or so in a thousand at the default.
 
@@ -37,6 +37,7 @@ from .wordhash import grouped
 
 CAPACITY = 2048
 SHARD_ROWS = 4096
+_COPY_BLOCK = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -100,7 +101,16 @@ def best_fit(
         (F.lit(0) if draw is None else draw).cast("bigint").alias("draw"),
     )
     shards = max(1, -(-docs.count() // shard_rows))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "draw", "size"), F.lit(shards)).cast("int"))
+    # Rows that are equal are counted first and told apart by a number, so that they spread over all shards.
+    equal = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / _COPY_BLOCK))
+    equal = equal.withColumn("block", F.explode(F.transform(blocks, lambda b: b * _COPY_BLOCK)))
+    last = F.least(F.col("copies"), F.col("block") + _COPY_BLOCK) - 1
+    rows = equal.withColumn("copy", F.explode(F.sequence("block", last))).drop("copies", "block")
+    drawn = F.when(F.col("copy") == 0, F.xxhash64("doc_id", "draw", "size")).otherwise(
+        F.xxhash64("doc_id", "draw", "size", "copy")
+    )
+    rows = rows.withColumn("shard", F.pmod(drawn, F.lit(shards)).cast("int"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ("shard",), 1):
