@@ -81,6 +81,22 @@ def test_suffixes_come_in_order():
         assert prefixes == sorted(prefixes)
 
 
+def test_windows_that_a_polynomial_would_take_for_equal(spark):
+    # The difference of the two is a multiple of 2**64 for the base of the anchors' hashes.
+    gap = np.ones(1, int)
+    for step in (1, 2, 2, 2, 4, 4, 8, 8, 16, 16, 32, 64, 128):
+        gap = np.concatenate([np.zeros(step, int), gap]) - np.concatenate([gap, np.zeros(step, int)])
+    pad = bytes(97 + (i * i + 3 * i) % 10 for i in range(400 - len(gap)))
+    one, other = (pad + bytes((97 + np.maximum(g, 0)).tolist()) for g in (gap, -gap))
+    for order in ([other, one, other, one], [one, other, other, one, one], [one, other]):
+        data = np.frombuffer(b"\xff".join([*order, b""]), np.uint8)
+        repeated, _ = suffix_arrays.repeated_windows(data, np.arange(len(order)) * 401, 400)
+        assert repeated.tolist() == [order.count(w) > 1 for w in order]
+    rows = [(k, f"{'left' * (k + 3)} {(one, other)[k % 2].decode()} {k}{'right' * k}") for k in range(6)]
+    found = suffix_arrays.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert listed(found, *BYTES) == brute.byte_dedup(rows, 400)
+
+
 @pytest.mark.parametrize("length", [1024, 4096])
 def test_words_that_a_polynomial_would_take_for_equal(spark, length):
     one, other = ("".join("ab"[(k.bit_count() + flip) % 2] for k in range(length)) for flip in (0, 1))
